@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, materialize, mix64, shingle_hashes, small_batches, table, utf8_rows, word_hashes
-from cairn.llm.components import star_roots, union_all
+from cairn.llm.components import star_roots
 
 #: Positions of the circle; the second permutation is a shuffle of as many values.
 CIRCLE = 1 << 20
@@ -108,15 +108,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(a, "u").join(b, "v").withColumn("common", common).where(100 * F.col("common") >= percent * (F.size("su") + F.size("sv") - F.col("common"))).select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5, star_rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id, kept, class_id, root (component of classes) and t of every row of docs.
 
     Texts with equal shingle sets are one class, whose copies are never
-    expanded. Classes meet in bands. In each band bucket the members are first
-    held against one leader, for `star_rounds` rounds with other leaders: this
-    joins large groups of copies with a number of comparisons linear in their
-    size. Pairs of a bucket that are still in different components are then all
-    compared, so no link that the bands bring up is lost.
+    expanded. Classes meet in bands. The members of a band bucket are first
+    held against one leader, the class with the least share of shingles of its
+    own, which is the middle of a group of copies: most of a large group joins
+    by a number of comparisons linear in its size. Then all pairs of a bucket
+    that are still in different components are compared, so no link that the
+    bands bring up is lost. Shingles that one class alone holds bound its
+    overlap with any other; pairs that this rules out are never made.
 
     Null and empty texts and texts without words have no shingles and link
     with nothing. Rows that share a doc_id are told apart by their shingle
@@ -127,8 +129,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5, s
     sk = materialize(sketches(docs, shingle_size), "sketches")
     classes = materialize(sk.where("class_id is not null").groupBy("class_id").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes")
     # Buckets with one class say nothing; the count is combined before the shuffle.
-    keyed = classes.select("class_id", "n", F.explode("bands").alias("bucket"))
-    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min("class_id").alias("leader")).where("members > 1").drop("members")
+    keyed = classes.select("class_id", "n", F.posexplode("bands").alias("band", "bucket"))
+    shared = keyed.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     buckets = materialize(keyed.join(shared, "bucket"), "buckets")
     members = buckets.select("class_id").distinct()
     wanted = classes.join(members, "class_id", "left_semi").select("least_id").distinct()
@@ -136,34 +138,27 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5, s
     cand = d.join(wanted, d.doc_id.eqNullSafe(wanted.least_id), "left_semi")
     sets = materialize(shingle_sets(cand, shingle_size).groupBy("class_id").agg(F.first("shingles").alias("shingles")), "sets")
 
-    found: list[DataFrame] = []
-    roots = None
-    tried: list[DataFrame] = []
-    for k in range(star_rounds):
-        if k == 0:
-            pairs = buckets.where("class_id != leader").select(F.col("leader").alias("u"), F.col("class_id").alias("v"))
-        else:
-            # another leader for the members that aren't in the first leader's component: the least by a hash of the round
-            open_ = _open_members(buckets, roots)
-            by = F.struct(F.xxhash64("class_id", F.lit(k)).alias("h"), F.col("class_id").alias("c"))
-            lead = open_.groupBy("bucket").agg(F.min(by).alias("l")).select("bucket", F.col("l.c").alias("next"))
-            pairs = open_.join(lead, "bucket").where("class_id != next").select(F.least("class_id", "next").alias("u"), F.greatest("class_id", "next").alias("v"))
-        pairs = pairs.distinct()
-        good = materialize(_verified(pairs, sets, percent), "verified")
-        found.append(good)
-        roots = materialize(star_roots(union_all(found)), "roots")
-        if k + 1 < star_rounds and not _open_members(buckets, roots).limit(1).count():
-            break
-    else:
-        open_ = _open_members(buckets, roots)
-        a = open_.select("bucket", F.col("class_id").alias("u"), F.col("n").alias("nu"), F.col("root").alias("ru"))
-        b = open_.select("bucket", F.col("class_id").alias("v"), F.col("n").alias("nv"), F.col("root").alias("rv"))
-        near = (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")) & (F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv"))
-        rest = a.join(b, "bucket").where(near).select("u", "v").distinct()
-        good = materialize(_verified(rest, sets, percent), "verified")
-        found.append(good)
-        if good.limit(1).count():
-            roots = materialize(star_roots(union_all(found)), "roots")
+    twos = buckets.where("members = 2").groupBy("bucket").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).select("u", "v")
+    big = buckets.where("members > 2")
+    own = materialize(_own_shingles(sets.join(big.select("class_id").distinct(), "class_id", "left_semi")), "own")
+    # what a class alone holds is in no intersection: too much of it, and no link can be
+    live = materialize(big.join(own, "class_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "live")
+    by = F.struct((F.col("own") / F.col("n")).alias("share"), "class_id", "n", "own")
+    lead = live.groupBy("bucket").agg(F.min(by).alias("l")).select("bucket", F.col("l.class_id").alias("lc"), F.col("l.n").alias("ln"), F.col("l.own").alias("lo"))
+    stars = live.join(lead, "bucket").where("class_id != lc").where(_can_link("n", "own", "ln", "lo", percent)).select(F.least("class_id", "lc").alias("u"), F.greatest("class_id", "lc").alias("v"))
+    good = materialize(_verified(twos.unionByName(stars).distinct(), sets, percent), "verified")
+    roots = materialize(star_roots(good), "roots")
+
+    # every pair of a bucket whose components still differ, in the first band that both share
+    at = _open_members(live, roots).join(classes.select("class_id", "bands"), "class_id")
+    names = ["class_id", "n", "own", "root", "bands"]
+    left, right = (at.select("bucket", "band", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "uv")
+    first = F.array_position(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), True) == F.col("l.band") + 1
+    near = (F.col("class_id_u") < F.col("class_id_v")) & (F.col("root_u") != F.col("root_v")) & _can_link("n_u", "own_u", "n_v", "own_v", percent) & first
+    rest = left.alias("l").join(right.drop("band").alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & near).select(F.col("class_id_u").alias("u"), F.col("class_id_v").alias("v"))
+    more = materialize(_verified(rest, sets, percent), "verified")
+    if more.limit(1).count():
+        roots = materialize(star_roots(good.unionByName(more)), "roots")
 
     of = classes.select("class_id", "least_id").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -174,6 +169,20 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5, s
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "class_id", "root", "t")
 
 
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """class_id and own: how many of its shingles no other of these classes holds."""
+    each = sets.select("class_id", F.explode("shingles").alias("x"))
+    single = each.groupBy("x").agg(F.count(F.lit(1)).alias("holders"), F.min(F.xxhash64("class_id")).alias("c")).where("holders = 1")
+    counts = single.groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+    return sets.select("class_id", F.xxhash64("class_id").alias("c")).join(counts, "c").select("class_id", "own")
+
+
+def _can_link(n_u: str, own_u: str, n_v: str, own_v: str, percent: int):
+    """Whether the shingles that two classes hold alone leave enough for a link."""
+    most = F.least(F.col(n_u) - F.col(own_u), F.col(n_v) - F.col(own_v))
+    return 100 * most >= percent * (F.col(n_u) + F.col(n_v) - most)
+
+
 def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
     """Members of buckets that hold more than one component so far."""
     r = roots.select(F.col("node").alias("class_id"), "root")
