@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -161,28 +163,24 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> L
     return LanguageModel.fit(np.stack([np.frombuffer(r.v, np.float32) for r in rows]), [r.lang for r in rows])
 
 
-def predictions(docs: DataFrame, model: LanguageModel | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, then lang_pred and score of each whole text.
+def predicted(model: LanguageModel | None):
+    """lang_pred and score of each whole text, as a struct column of the table that has `text`.
 
     Null texts and texts without a letter are `und` with score 0, and so are
-    all texts if nothing could be learned.
+    all texts if nothing could be learned. Only texts go to Python.
     """
-    small_batches(docs.sparkSession)
-    inner = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_whole"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("_letters"))
-    fields = [inner.schema[c] for c in keep]
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-    def predict(batches):
+    @F.pandas_udf("lang_pred string, score double")
+    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
-        for batch in batches:
-            n = batch.num_columns
-            letters = batch.column(n - 1).to_pylist()
-            said = [model.predict(v) if ok and model else (UNKNOWN, 0.0) for v, ok in zip(features(*utf8_rows(batch.column(n - 2))), letters, strict=True)]
-            columns = [batch.column(i) for i in range(n - 2)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([s[0] for s in said], pa.string()), pa.array([s[1] for s in said], pa.float64())], [*keep, "lang_pred", "score"])
+        for texts, letters in batches:
+            vectors = features(*utf8_rows(pa.array(texts, pa.large_string())))
+            said = [model.predict(v) if ok and model else (UNKNOWN, 0.0) for v, ok in zip(vectors, letters, strict=True)]
+            yield pd.DataFrame(said, columns=["lang_pred", "score"])
 
-    return inner.mapInArrow(predict, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+    return predict(F.coalesce(F.col("text"), F.lit("")), letters)
 
 
 def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
@@ -193,8 +191,10 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
     repeated rows get a row each; other columns are ignored; an empty table
     gives no rows.
     """
+    small_batches(docs.sparkSession)
     model = fit_languages(docs.select("doc_id", "text", "lang"), per_language)
-    return predictions(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])
+    said = docs.select("doc_id", held_out().alias("held_out"), predicted(model).alias("said"))
+    return said.select("doc_id", "held_out", "said.lang_pred", "said.score")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

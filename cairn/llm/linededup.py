@@ -72,33 +72,36 @@ def _dense(n_lines: Column, sparse: Column) -> Column:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """docs with _text (the kept lines), _n_lines and _n_dropped beside their own columns."""
+    """row (all columns of docs), kept_text, n_lines and n_dropped."""
     id_, no_id, t = row_key()
-    b = bitmaps.select(F.col("id").alias("_id"), F.col("no_id").alias("_no_id"), F.col("t").alias("_t"), F.col("drop_words").alias("_drop"))
-    left = docs.withColumns({"_lid": id_, "_lno": no_id, "_lt": t})
-    on = (F.col("_lid") == F.col("_id")) & (F.col("_lno") == F.col("_no_id")) & (F.col("_lt") == F.col("_t"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.size(lines_of(F.col("text")))
-    bit = lambda i: F.call_function("shiftrightunsigned", F.element_at(F.col("_bits"), (F.floor(i / 64) + 1).cast("int")), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
-    joined = left.join(b, on, "left").withColumn("_bits", F.when(F.col("_drop").isNotNull(), _dense(n, F.col("_drop"))))
-    kept = F.array_join(F.filter(lines_of(F.col("text")), lambda _, i: bit(i) == 0), "\n")
-    dropped = F.coalesce(F.aggregate(F.map_values("_drop"), F.lit(0), lambda a, x: a + F.bit_count(x)), F.lit(0))
-    return joined.withColumns({"_n_lines": n.cast("long"), "_n_dropped": dropped.cast("long"), "_text": F.when(F.col("_drop").isNull(), text).otherwise(kept)}).drop("_lid", "_lno", "_lt", "_id", "_no_id", "_t", "_drop", "_bits")
+    b = bitmaps.select(*[F.col(c).alias(f"b_{c}") for c in ROW], "drop_words")
+    left = docs.select(F.struct("*").alias("row"), id_, no_id, t)
+    on = (F.col("id") == F.col("b_id")) & (F.col("no_id") == F.col("b_no_id")) & (F.col("t") == F.col("b_t"))
+    lines = lines_of(F.col("row.text"))
+    n = F.size(lines)
+    word = lambda i: F.element_at(F.col("bits"), (F.floor(i / 64) + 1).cast("int"))
+    bit = lambda i: F.call_function("shiftrightunsigned", word(i), (i % 64).cast("int")).bitwiseAND(F.lit(1).cast("long"))
+    joined = left.join(b, on, "left").withColumn("bits", F.when(F.col("drop_words").isNotNull(), _dense(n, F.col("drop_words"))))
+    kept = F.array_join(F.filter(lines, lambda _, i: bit(i) == 0), "\n")
+    dropped = F.coalesce(F.aggregate(F.map_values("drop_words"), F.lit(0), lambda a, x: a + F.bit_count(x)), F.lit(0))
+    text = F.when(F.col("drop_words").isNull(), F.coalesce(F.col("row.text"), F.lit(""))).otherwise(kept)
+    return joined.select("row", text.alias("kept_text"), n.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
-    """docs with _text, _n_lines and _n_dropped.
+    """row (all columns of docs), kept_text, n_lines and n_dropped.
 
     Null and empty texts are one empty line, which is always kept. Each
     row counts as a document, with or without an id of its own; equal rows get
-    equal decisions. Other columns pass through; an empty table gives no rows.
+    equal decisions. Other columns stay inside row, whatever their names; an
+    empty table gives no rows.
     """
     return apply_bitmaps(docs, drop_bitmaps(docs.select("doc_id", "text"), min_docs, keep_first))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("_text", 256).alias("kept_sha256"))
+    return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 OP10_SQL = r"""

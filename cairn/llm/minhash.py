@@ -205,6 +205,6 @@ def keep_one(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -> DataF
     by = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "t")
     stay = found.groupBy("root").agg(F.min(by).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.t").alias("_st"))
     has_word = F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    left = docs.where(has_word).withColumn("_t", F.xxhash64("text"))
-    one = left.join(stay, left["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.col("_t") == F.col("_st"))).drop("_id", "_st").dropDuplicates(["doc_id", "_t"])
-    return one.drop("_t").unionByName(docs.where(~has_word))
+    left = docs.where(has_word).select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("k_id"), F.xxhash64("text").alias("k_t"))
+    one = left.join(stay, F.col("k_id").eqNullSafe(F.col("_id")) & (F.col("k_t") == F.col("_st"))).dropDuplicates(["k_id", "k_t"])
+    return one.select("row.*").unionByName(docs.where(~has_word))

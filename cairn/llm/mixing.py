@@ -11,6 +11,15 @@ from cairn.llm.common import WORD, materialize, md5_key, table
 RANGE_DIGITS = 3
 
 
+def word_count():
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def source_key():
+    """'0' and the name, or '1' for null: sorts by code point with null last."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+
+
 def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, most_epochs: float) -> DataFrame:
     """Adds target to totals(skey, source_size), which has one row for each source.
 
@@ -32,7 +41,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, mo
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, before and rest of every row of docs.
+    """doc_id, size, source_size, target, taken, epochs, part and skey of every row of docs.
 
     Within its source a document has a hash-random key. Keys are cut into
     4096 ranges of equal width, which are spread over the cluster and sorted;
@@ -45,10 +54,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     last, rows with equal ids and sizes tie and are interchangeable. A source
     of size 0 has target 0; an empty table gives no rows.
     """
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # '0' + name or '1' for null: sorts by code point with null last
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    sized = materialize(docs.select("doc_id", skey.alias("skey"), size.alias("size")).withColumn("key", md5_key("doc_id", "size")).withColumn("span", F.substring("key", 1, RANGE_DIGITS)), "sized")
+    sized = materialize(docs.select("doc_id", source_key().alias("skey"), word_count().alias("size")).withColumn("key", md5_key("doc_id", "size")).withColumn("span", F.substring("key", 1, RANGE_DIGITS)), "sized")
     spans = materialize(sized.groupBy("skey", "span").agg(F.sum("size").alias("span_size")), "spans")
     targets = source_targets(spans.groupBy("skey").agg(F.sum("span_size").alias("source_size")), weights, share, most_epochs)
     by_span = Window.partitionBy("skey").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -71,13 +77,10 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """
     m = mixture(docs, **how)
     copies = m.groupBy("doc_id", "skey", "size").agg(F.max(F.col("epochs") + F.when(F.col("size") > 0, (2 * F.col("part") >= F.col("size")).cast("long")).otherwise(F.lit(0))).alias("_copies"))
-    skey = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    left = docs.withColumns({"_skey": skey, "_size": size})
-    c = copies.select(F.col("doc_id").alias("_id"), F.col("skey").alias("_s"), F.col("size").alias("_n"), "_copies")
-    on = left["doc_id"].eqNullSafe(c["_id"]) & (F.col("_skey") == F.col("_s")) & (F.col("_size") == F.col("_n"))
-    taken = left.join(c.where("_copies > 0"), on).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return taken.select(*[left[c] for c in docs.columns])
+    c = copies.where("_copies > 0").select(F.col("doc_id").alias("c_id"), F.col("skey").alias("c_skey"), F.col("size").alias("c_size"), F.col("_copies").alias("copies"))
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("m_id"), source_key().alias("m_skey"), word_count().alias("m_size"))
+    on = F.col("m_id").eqNullSafe(F.col("c_id")) & (F.col("m_skey") == F.col("c_skey")) & (F.col("m_size") == F.col("c_size"))
+    return left.join(c, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,16 +16,13 @@ TOKENIZER = "word_bpe_49k.json"
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without an identifiable language go: those without text or without a letter."""
     model = language.fit_languages(docs.select("doc_id", "text", "lang"))
-    columns = docs.columns
-    said = language.predictions(docs, model, columns)
-    return said.where(F.col("lang_pred") != language.UNKNOWN).select(*columns)
+    return docs.where(language.predicted(model)["lang_pred"] != language.UNKNOWN)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in at least 10 documents go; n_chars follows the text."""
-    columns = docs.columns
-    out = linededup.dedup_lines(docs).withColumns({"text": F.col("_text"), "n_chars": F.length("_text").cast("long")})
-    return out.select(*columns)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return linededup.dedup_lines(docs).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
