@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -12,17 +14,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, small_batches, table
+from cairn.llm.tokens import byte_alphabet
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85]")
-LONGEST_KEPT, MOST_KEPT = 64, 400_000
+#: White space that two libraries see differently, and all beyond Latin letters (composed ones, so NFC changes nothing).
+ODD = re.compile("[\x1c-\x1f\x85\u0250-\U0010ffff]")
+#: The vocabulary's pattern of words, for Latin text: letters, one digit, or other signs, and English endings.
+PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_²³¹¼½¾]+|[\d²³¹¼½¾]|(?:[^\w\s]|_)+")
+LONGEST_KEPT, MOST_KEPT = 64, 1_000_000
 
 
 class WordIds(dict):
-    """Word -> its token ids as little-endian 32-bit bytes, remembered up to a bound.
+    """Lower-case word -> its token ids as little-endian 32-bit bytes, remembered up to a bound.
 
     The vocabulary drops white space and its pattern never spans it, so a
-    text's ids are those of its words, one after another.
+    text's ids are those of its words, one after another; a new word goes to
+    the library's merges alone. Texts beyond Latin letters go to the library
+    whole.
     """
 
     def __init__(self, path: str):
@@ -30,12 +38,14 @@ class WordIds(dict):
 
         super().__init__()
         self.library = Tokenizer.from_file(path)
-
-    def of(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        self.merges = self.library.model
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        letters = {b: c for c, b in byte_alphabet().items()}
+        self.bytes = {b: letters[b] for b in range(256)}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.of(word)
+        tokens = self.merges.tokenize(word.encode().decode("latin-1").translate(self.bytes))
+        ids = array("I", [t.id for t in tokens]).tobytes()
         if len(word) <= LONGEST_KEPT:
             if len(self) >= MOST_KEPT:
                 self.clear()
@@ -45,9 +55,9 @@ class WordIds(dict):
     def text(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if ODD_SPACE.search(text):
-            return self.of(text)
-        return b"".join(map(self.__getitem__, text.split()))
+        if ODD.search(text) or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, PATTERN.findall(text.lower())))
 
 
 _words: dict[str, WordIds] = {}
@@ -107,16 +117,20 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 
 def lower_bound(counts: Counter, cap: int) -> int:
     """The larger of the sum bound and the bounds of Martello and Toth on items over a threshold."""
-    best = -(-sum(s * n for s, n in counts.items()) // cap)
-    sizes = sorted(counts)
-    for t in [s for s in sizes if s <= cap // 2] or [0]:
-        big = sum(n for s, n in counts.items() if s > cap - t)
-        mid = [(s, n) for s, n in counts.items() if cap // 2 < s <= cap - t]
-        small = sum(s * n for s, n in counts.items() if t <= s <= cap // 2)
-        n_mid = sum(n for _, n in mid)
-        free = n_mid * cap - sum(s * n for s, n in mid)
-        best = max(best, big + n_mid + max(0, -(-(small - free) // cap)))
-    return best
+    number = np.zeros(cap + 1, np.int64)
+    for s, n in counts.items():
+        number[s] += n
+    up_to = np.concatenate([[0], np.cumsum(number)])  # items shorter than s
+    tokens = np.concatenate([[0], np.cumsum(number * np.arange(cap + 1))])
+    best = -(-int(tokens[-1]) // cap)
+    half = cap // 2 + 1
+    t = np.arange(1, half)
+    big = up_to[-1] - up_to[cap - t + 1]
+    mid = up_to[cap - t + 1] - up_to[half]
+    free = mid * cap - (tokens[cap - t + 1] - tokens[half])
+    small = tokens[half] - tokens[t]
+    over = np.maximum(0, -(-(small - free) // cap))
+    return max(best, int((big + mid + over).max(initial=0)))
 
 
 def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: int = 12, steps: int = 400) -> list[tuple[int, ...]]:
@@ -126,23 +140,25 @@ def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: in
     filling of as many documents is at least as large place by place.
     """
     sizes = sorted((s for s, n in counts.items() if n), reverse=True)
+    negative = [-s for s in sizes]
     found: list[tuple[int, tuple[int, ...]]] = []
     budget = [steps]
 
+    def left(s: int, taken: tuple[int, ...]) -> bool:
+        return counts[s] > taken.count(s) + (s == largest)
+
     def grow(i: int, room: int, taken: tuple[int, ...]) -> None:
         if budget[0] <= 0 or len(found) >= 4 * width:
             return
         budget[0] -= 1
         fits = False
-        for j in range(i, len(sizes)):
-            s = sizes[j]
-            if s <= room and counts[s] > taken.count(s) + (s == largest):
+        for j in range(max(i, bisect_left(negative, -room)), len(sizes)):
+            if left(sizes[j], taken):
                 fits = True
-                grow(j, room - s, (*taken, s))
+                grow(j, room - sizes[j], (*taken, sizes[j]))
                 if budget[0] <= 0:
                     break
-        smaller = any(s <= room and counts[s] > taken.count(s) + (s == largest) for s in sizes[:i])
-        if not fits and not smaller and room <= most_waste:
+        if not fits and room <= most_waste and not any(left(sizes[j], taken) for j in range(bisect_left(negative, -room), i)):
             found.append((room, taken))
 
     grow(0, cap - largest, ())
