@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,22 +11,11 @@ from pyspark.sql import functions as F
 from cairn.functions import rules, text
 from cairn.operators import findings as fin
 from cairn.operators import sequences as seq
+from cairn.plans import choices, files  # noqa: F401 - they register their queries
+from cairn.plans.registry import QUERIES, SQL, query  # noqa: F401 - the catalogue's names
 from cairn.sources.readers import config_corpus, table
 from cairn.streaming import scan as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 #: The corpus and its expected findings, stated from the columns of part.
 CORPUS = """corpus AS (SELECT p_brand AS origin, p_partkey, p_size, 'f' || p_partkey || '.yaml' AS file_name,
