@@ -59,11 +59,11 @@ def unique_match(left: DataFrame, left_id: str, right: DataFrame, right_id: str,
     """Gives the first left row of each key the right row of that key, where there is exactly one; each is used once.
 
     Both sides are combined to one row a key before they meet. Rows with a null
-    key match nothing; left rows with one id are one operation.
+    key match nothing; left rows with one id and key are one operation.
     """
     first = left.groupBy(*keys).agg(F.min(left_id).alias(left_id))
     single = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min(right_id).alias("matched")).where("_n = 1").drop("_n")
-    return left.join(first.join(single, keys).select(left_id, "matched"), left_id, "left")
+    return left.join(first.join(single, keys), [left_id, *keys], "left").select(*left.columns, "matched")
 
 
 def proper_prefixes(path: Column) -> Column:

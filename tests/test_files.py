@@ -91,9 +91,10 @@ def test_lanes(spark):
 
 
 def test_unique_match_uses_a_finding_once(spark):
-    ops = spark.createDataFrame([(1, "k"), (2, "k"), (3, "m"), (4, None)], "op int, key string")
+    ops = spark.createDataFrame([(1, "k"), (2, "k"), (3, "m"), (4, None), (1, "x")], "op int, key string")
     found = spark.createDataFrame([(7, "k"), (8, "m"), (9, "m"), (5, None)], "f int, key string")
-    assert {r.op: r.matched for r in sel.unique_match(ops, "op", found, "f", ["key"]).collect()} == {1: 7, 2: None, 3: None, 4: None}
+    said = {(r.op, r.key): r.matched for r in sel.unique_match(ops, "op", found, "f", ["key"]).collect()}
+    assert said == {(1, "k"): 7, (2, "k"): None, (3, "m"): None, (4, None): None, (1, "x"): None}
 
 
 def test_path_conflicts(spark):
