@@ -11,8 +11,8 @@ def source_id(name: Column, content: Column) -> Column:
 
 
 def csv_guard(value: Column) -> Column:
-    """Puts an apostrophe before text that a spreadsheet would run as a formula."""
-    return F.when(F.ltrim(value).rlike(r"^[=+\-@]"), F.concat(F.lit("'"), value)).otherwise(value)
+    """Puts an apostrophe before text that a spreadsheet would run as a formula, also after white space."""
+    return F.when(value.rlike(r"(?U)^\s*[=+\-@]|^[\t\r\n]"), F.concat(F.lit("'"), value)).otherwise(value)
 
 
 def markdown_cell(value: Column) -> Column:

@@ -59,3 +59,13 @@ def top_with_rest(rows: DataFrame, key: str, k: int) -> DataFrame:
     top = counts.orderBy(F.desc("n"), key).limit(k)
     rest = counts.join(top.select(key), key, "left_anti").agg(F.count(F.lit(1)).alias("other_keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return top.select(F.col(key).cast("string").alias("label"), "n", F.lit(0).cast("long").alias("other_keys")).unionByName(rest.select(F.lit("other").alias("label"), "n", "other_keys"))
+
+
+def grade(valid: Column, kind: Column, edges: Column, nodes: Column) -> Column:
+    """How well a claim is founded: E3 for a checked known value, E2 for edges, E1 for places alone, else E0."""
+    return F.when(valid & (kind == "known"), "E3").when(edges > 0, "E2").when(nodes > 0, "E1").otherwise("E0")
+
+
+def bounded_grade(own: Column, algorithm: Column) -> Column:
+    """A quantum class is E3 only where its algorithm is."""
+    return F.when((own == "E3") & (algorithm != "E3"), "E2").otherwise(own)

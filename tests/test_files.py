@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cairn.functions.programs import config_scalars, node_calls
 from cairn.operators import scanners
 from cairn.operators import selection as sel
-from cairn.sources import archives
+from cairn.sources import archives, sinks
 
 
 def test_config_scalars():
@@ -107,3 +107,17 @@ def test_merged_values(spark):
     rows = spark.createDataFrame([("one", 1), ("one", 1), ("two", 2), ("two", 1), ("many", 1), ("many", 2), ("many", 3), ("many", 4), ("many", 5), ("null", None), ("null", 1)], "g string, v int")
     said = {r.g: (r.state, r.alternatives) for r in sel.merged_values(rows, ["g"], "v").collect()}
     assert said == {"one": ("known", "1"), "two": ("ambiguous", "1,2"), "many": ("unknown", None), "null": ("unknown", None)}
+
+
+def test_reports_round_trip(spark, tmp_path):
+    rows = [("s", "b.py", 2, 'say "x", y\nz'), ("s", "a.py", 10, "=1+1"), ("s", "a.py", 9, None)]
+    found = spark.createDataFrame(rows, "source_id string, file_name string, line int, evidence string")
+    sinks.write_csv(found, f"{tmp_path}/csv")
+    back = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(f"{tmp_path}/csv")
+    assert back.columns == [label for _, label in sinks.COLUMNS]
+    assert sorted((r["文件"], r["行号"], r["证据"] or "") for r in back.collect()) == [("a.py", "10", "'=1+1"), ("a.py", "9", ""), ("b.py", "2", 'say "x", y\nz')]
+    sinks.write_json(found.withColumn("content", F.lit("x")), f"{tmp_path}/json")
+    assert sorted(spark.read.json(f"{tmp_path}/json").columns) == ["evidence", "file_name", "line", "source_id"]
+    sinks.write_rows(sinks.html_rows(found), f"{tmp_path}/html")
+    assert "<td>say &quot;x&quot;, y" in "".join(r.value for r in spark.read.text(f"{tmp_path}/html").collect())
+    sinks.write_csv(found.limit(0), f"{tmp_path}/none")

@@ -23,6 +23,8 @@ def test_sensitive_names(spark):
 
 def test_escapes(spark):
     assert one(spark, text.csv_guard(F.col("v")), v=" =1+1") == "' =1+1"
+    assert one(spark, text.csv_guard(F.col("v")), v="\t@x") == "'\t@x"
+    assert one(spark, text.csv_guard(F.col("v")), v="a=1") == "a=1"
     assert one(spark, text.markdown_cell(F.col("v")), v="a|b\nc") == "a\\|b<br>c"
     assert one(spark, text.html_text(F.col("v")), v="<a b='c'>&") == "&lt;a b=&#x27;c&#x27;&gt;&amp;"
     assert one(spark, text.fence(F.col("v")), v="x ```` y") == "`````"
