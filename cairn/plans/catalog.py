@@ -101,7 +101,8 @@ def imported_calls(source: str) -> list[tuple[int, str, str]]:
         return []
     bound: dict[str, str] = {}
     rebound: set[str] = set()
-    for node in ast.walk(tree):
+    nodes = list(ast.walk(tree))
+    for node in nodes:
         if isinstance(node, ast.Import | ast.ImportFrom):
             base = f"{node.module}." if isinstance(node, ast.ImportFrom) and node.module else ""
             for a in node.names:
@@ -111,7 +112,7 @@ def imported_calls(source: str) -> list[tuple[int, str, str]]:
         elif isinstance(node, ast.arg):
             rebound.add(node.arg)
     out = []
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name):
             root = node.func.value.id
             api = f"{bound.get(root, '').rsplit('.', 1)[-1]}.{node.func.attr}"
@@ -132,6 +133,8 @@ def python_ast_scan(spark, sf_dir):
     third = F.when(k % 5 == 0, F.lit("# m.generate_private_key()")).otherwise(F.concat(F.lit("x = m."), call, F.lit("(2048)")))
     content = F.concat_ws("\n", F.concat(F.lit("from cryptography.hazmat.primitives.asymmetric import "), module, F.lit(" as m")), second, third)
     files = table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))
+    # a file without these words has no such call; the others are parsed
+    files = files.where(F.contains("content", F.lit("cryptography")) & F.contains("content", F.lit("generate_")))
 
     def scan(batches):
         for rows in batches:
