@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 try:
     import yaml
-except ImportError:  # without it, YAML files get a diagnostic and JSON files are read by tokens of their own
+except ImportError:  # without it, each configuration file gets a diagnostic
     yaml = None
 
 MOST_DEPTH = 64
@@ -32,7 +32,7 @@ def config_scalars(source: str, strict_json: bool) -> Iterator[tuple[int, str, s
     if yaml is None:
         raise ValueError("no YAML parser")
     try:
-        yield from _walk(yaml.SafeLoader(source))
+        yield from _walk(getattr(yaml, "CSafeLoader", yaml.SafeLoader)(source))
     except yaml.YAMLError as e:
         raise ValueError(str(e)) from e
 
