@@ -123,16 +123,118 @@ def paragraph_bands(docs: DataFrame) -> DataFrame:
     return docs.select(*_key(), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(bands, "d long, t long, start int, bucket long")
 
 
+def common_diagonals(ha: np.ndarray, hb: np.ndarray) -> list[tuple[int, int]]:
+    """One pair of places for each diagonal on which two texts have an equal hash of ANCHOR words."""
+    order = np.argsort(hb, kind="stable")
+    low, high = (np.searchsorted(hb[order], ha, side) for side in ("left", "right"))
+    at = np.flatnonzero(high > low)
+    met = np.zeros(len(ha) + len(hb), bool)
+    for x in at if (high - low).sum() > 1 << 20 else ():  # repetitive texts: one place at a time
+        met[x - order[low[x] : high[x]] + len(hb)] = True
+    if not met.any() and len(at):
+        n = (high - low)[at]
+        y = order[np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        met[np.repeat(at, n) - y + len(hb)] = True
+    return [(d, 0) for d in (np.flatnonzero(met) - len(hb)).tolist()]
+
+
+def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int | None, int | None]]:
+    """All passages that a and b share, those inside others of a left out: s, e, p, lp, before and after.
+
+    p and lp are the places in a and b of the words of least hash. before and
+    after are hashes of ANCHOR words that reach one word over the ends.
+    """
+    ha, hb = _rolling(a, ANCHOR), _rolling(b, ANCHOR)
+    out, reach = [], -1
+    for s, e, ls in sorted(common_runs(a, b, common_diagonals(ha, hb)), key=lambda r: (r[0], -r[1], r[2])):
+        if e <= reach:
+            continue
+        reach = e
+        equal = np.flatnonzero(ha[s : e - ANCHOR + 1] == hb[ls : ls + e - s - ANCHOR + 1])
+        p = int(equal[np.argmin(ha[s + equal])])
+        before = int(ha[s - 1 : s].view(np.int64)[0]) ^ 1 if s else None
+        after = int(ha[e - ANCHOR + 1 : e - ANCHOR + 2].view(np.int64)[0]) ^ 2 if e < len(a) else None
+        out.append((s, e, s + p, ls + p, before, after))
+    return out
+
+
+PAIR = ["d", "t", "ld", "lt"]
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages of each pair of documents, which are compared whole."""
+
+    def verify(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            wa, fa, _, _ = word_hashes(*utf8_rows(batch.column(4)))
+            wb, fb, _, _ = word_hashes(*utf8_rows(batch.column(5)))
+            rows = [(i, *run) for i in range(batch.num_rows) for run in shared_passages(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]])]
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            take = pa.array(cols[0], pa.int64())
+            found = [*[pa.array(c, pa.int32()) for c in cols[1:5]], *[pa.array(c, pa.int64()) for c in cols[5:]]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(4)], *found], [*PAIR, "s", "e", "p", "lp", "before", "after"])
+
+    both = pairs.join(texts, ["d", "t"]).join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("text").alias("ltext")), ["ld", "lt"])
+    return both.select(*PAIR, "text", "ltext").mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, p int, lp int, before long, after long")
+
+
+def passage_runs(docs: DataFrame, stored: DataFrame) -> DataFrame:
+    """Passages of pairs of documents, found until every bucket is settled.
+
+    In a round the members of a bucket are held against its least document.
+    Those whose place is in a passage of it are settled; the others stay with
+    the next least one. Once that settles little, or few pairs are left, all
+    pairs of a bucket are compared. The words over the ends of a passage are a
+    bucket, too: documents that go on together where they leave the leader
+    meet there.
+    """
+    doc, leader = F.struct("d", "t"), F.struct("ld", "lt")
+    # one exchange serves the aggregate and the join
+    dealt = stored.repartition("bucket")
+    ends = lambda rows: rows.groupBy("bucket").agg(F.min(F.struct("d", "t", "start")).alias("l"), F.max(doc).alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("l.d") != F.col("m.d")) | (F.col("l.t") != F.col("m.t"))).select("bucket", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"), "n")
+    rows = materialize(dealt.join(ends(dealt), "bucket"), "shared")
+    texts = materialize(docs.select(*_key(), "text").join(rows.select("d", "t").distinct(), ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
+    runs = done = None
+    before = 0
+    while True:
+        sizes = rows.groupBy("bucket").agg(F.max("n").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+        members, most = sizes[0] or 0, sizes[1] or 0
+        if not members:
+            return runs if runs is not None else verified(rows.select(*PAIR).distinct(), texts)
+        every = before and (most <= 4 * members or members > 0.9 * before)
+        before = members
+        if every:
+            earlier = rows.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")).distinct()
+            pairs = rows.select("bucket", "d", "t").distinct().join(earlier, "bucket").where(doc > leader)
+        else:
+            pairs = rows.where(doc != leader)
+        pairs = pairs.select(*PAIR).distinct()
+        pairs = materialize(pairs if done is None else pairs.join(done, PAIR, "left_anti"), "passagepairs")
+        done = pairs if done is None else done.unionByName(pairs)
+        new = materialize(verified(pairs, texts), "runs")
+        runs = new if runs is None else runs.unionByName(new)
+        over = [new.where(f"{c} is not null").select(F.col(c).alias("bucket"), "d", "t", F.expr(at).cast("int").alias("start")) for c, at in (("before", "s - 1"), ("after", "e"))]
+        left = over[0].unionByName(over[1]).distinct()
+        if not every:
+            spans = runs.select(*PAIR, "s", "e")
+            unsettled = rows.where(doc != leader).join(spans, PAIR, "left").groupBy("bucket", "d", "t", "start").agg(F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False)).alias("in")).where("not in")
+            left = left.unionByName(unsettled.select("bucket", "d", "t", "start"))
+        rows = materialize(left.join(ends(left), "bucket"), "open")
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words and kept_doc_id: passages of over 50 words that an earlier document has, too.
 
     Words are numbered from 0 in the whole text, end is past the last one.
     Overlapping paragraphs of content-defined bounds have MinHash bands; each
-    paragraph in a bucket is held against the bucket's least one, so a group
-    of copies costs comparisons linear in its size. The texts of both are then
-    compared word by word around the paragraphs. Verified pairs are clustered
-    by components; the least (document, place) of a component stays and all
-    others are removals, whose overlapping spans are merged.
+    paragraph in a bucket is held against the bucket's least document, so a
+    group of copies costs comparisons linear in its size, and what that
+    doesn't settle goes through further rounds. Documents are compared whole,
+    word by word. Verified pairs are clustered by components; the least
+    (document, place) of a component stays and all others are removals, whose
+    overlapping spans are merged.
 
     Null, empty and short texts have no passages. Equal rows of one doc_id
     count once, rows with one doc_id and different texts are documents of
@@ -140,34 +242,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document are left alone. Other columns are ignored; an empty table gives
     no rows.
     """
-    place = F.struct("d", "t", "start")
-    stored = materialize(paragraph_bands(docs), "paragraphs")
-    shared = stored.groupBy("bucket").agg(F.min(place).alias("least"), F.max(F.struct("d", "t")).alias("last")).where((F.col("least.d") != F.col("last.d")) | (F.col("least.t") != F.col("last.t"))).select("bucket", F.col("least.d").alias("ld"), F.col("least.t").alias("lt"), F.col("least.start").alias("ls"))
-    pairs = stored.join(shared, "bucket").where((F.col("d") != F.col("ld")) | (F.col("t") != F.col("lt")))
-    # all collisions of one pair of documents are verified together
-    pairs = materialize(pairs.groupBy("d", "t", "ld", "lt").agg(F.collect_set(F.struct("start", "ls")).alias("at")), "passagepairs")
-    ids = pairs.select("d", "t").unionByName(pairs.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
-    keyed = docs.select(*_key(), "text")
-    texts = materialize(keyed.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
-    both = pairs.join(texts, ["d", "t"]).join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("text").alias("ltext")), ["ld", "lt"])
-
-    def verify(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            wa, fa, _, _ = word_hashes(*utf8_rows(batch.column(5)))
-            wb, fb, _, _ = word_hashes(*utf8_rows(batch.column(6)))
-            rows = []
-            for i, at in enumerate(batch.column(4).to_pylist()):
-                found = [(p["start"], p["ls"]) for p in at]
-                for s, e, ls in common_runs(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]], found):
-                    first = min((x for x, y in found if s <= x < e and x - y == s - ls), default=s)
-                    rows.append((i, s, e, first, first - s + ls))
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            take = pa.array(cols[0], pa.int64())
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(4)], *[pa.array(c, pa.int32()) for c in cols[1:]]], ["d", "t", "ld", "lt", "s", "e", "p", "lp"])
-
-    runs = materialize(both.select("d", "t", "ld", "lt", "at", "text", "ltext").mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, p int, lp int"), "runs")
+    runs = passage_runs(docs, materialize(paragraph_bands(docs), "paragraphs"))
     node = F.struct("d", "t", F.col("p").alias("p"))
     named = runs.withColumn("node", node)
     roots = star_roots(named.select(F.col("node").alias("u"), F.struct(F.col("ld").alias("d"), F.col("lt").alias("t"), F.col("lp").alias("p")).alias("v")))

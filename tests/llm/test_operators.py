@@ -157,6 +157,22 @@ def test_passages(docs, nothing):
     assert passages.repeated_passages(nothing).count() == 0
 
 
+def test_passages_behind_a_shorter_excerpt(spark):
+    """Documents that share more than the bucket's least one has: an excerpt too short to count, or one that ends before."""
+    texts, wanted = [], {}
+    for k in range(8):
+        passage, at = prose(60, 500 + k), 4 * k
+        words = passage.split()
+        head = " ".join(words[:50] if k % 2 else words[:52])
+        again = f" {prose(20, 700 + k)} {head}" if k % 4 == 1 else ""
+        texts += [(at, head + again), *[(at + i, f"{prose(40, 600 + 4 * k + i)} {passage} {prose(40, 800 + 4 * k + i)}") for i in (1, 2, 3)]]
+        wanted |= {at + i: at + k % 2 for i in range(1 + k % 2, 4)}
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    # the first document behind an excerpt of 52 words repeats only these
+    assert {i: r.kept_doc_id for i, r in got.items()} == wanted
+    assert all(r.start <= 40 and r.end >= (92 if i % 8 == 1 else 100) for i, r in got.items())
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Menu</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>One  <b>two</b>\n three.<p>Be.<aside>side</aside></article><div id=comments><p>reader comment that is long enough to look like text, really</div><footer>&copy;</footer>"
     plain = f"<body><ul class=menu><li><a href=a>x</a></ul><div><p>{prose(40, 1)}</p><p>{prose(40, 2)}</p></div><form>Name</form>"
