@@ -9,15 +9,13 @@ from pyspark.sql import functions as F
 from cairn.llm.common import P_WORD, materialize, mix64, small_batches, table, utf8_rows, word_hashes
 from cairn.llm.components import star_roots
 
-#: A paragraph starts at a word whose trigram hash is the least of so many words on either side: every nine words or so.
-REACH = 4
-#: It ends at the first such word at least so many words on.
-PARAGRAPH = 16
-#: Bands and rows. A paragraph of Jaccard 0.8 meets with probability 0.87; a passage of over 50 words holds three or more.
-BANDS, ROWS = 2, 2
-SHINGLE = 5
 #: Words of a passage; words in a row that may differ inside it, the share of all its words, and the equal words on each side of them.
 PASSAGE, GAP, GAP_SHARE, ANCHOR = 51, 2, 0.1, 8
+#: A paragraph is so many shingles of ANCHOR words, and its band is their MinHash. Of a passage with at most a tenth of
+#: differing words, in runs of ANCHOR equal ones or more, one run has ten words: it holds a whole paragraph.
+PARAGRAPH = 3
+#: Members of a bucket that are compared pairwise.
+FEW = 16
 
 
 def _rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -27,47 +25,13 @@ def _rolling(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def paragraph_starts(words: np.ndarray) -> np.ndarray:
-    """Content-defined starts: they move with the words around them and depend on nothing farther."""
-    h = _rolling(words, 3)
-    n = len(h)
-    if n < 2 * REACH + 1:
+def paragraph_minima(shingles: np.ndarray) -> np.ndarray:
+    """The places of the least shingle of each paragraph, the last of equal ones; a paragraph starts at every word."""
+    n = len(shingles) - PARAGRAPH + 1
+    if n < 1:
         return np.zeros(0, np.int64)
-    mid = h[REACH : n - REACH]
-    least = np.ones(len(mid), bool)
-    for j in range(1, REACH + 1):
-        least &= (mid < h[REACH - j : n - REACH - j]) & (mid <= h[REACH + j : n - REACH + j])
-    return np.flatnonzero(least) + REACH
-
-
-def paragraphs(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-end words of the overlapping paragraphs of a text."""
-    cuts = paragraph_starts(words)
-    to = np.searchsorted(cuts, cuts + PARAGRAPH)
-    ok = to < len(cuts)
-    return cuts[ok], cuts[to[ok]]
-
-
-def band_keys(words: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """One row of band keys for each paragraph; range minima by doubling."""
-    h = _rolling(words, SHINGLE)
-    count = end - SHINGLE + 1 - start
-    power = np.floor(np.log2(count)).astype(np.int64)
-    out = np.empty((BANDS, len(start)), np.uint64)
-    for b in range(BANDS):
-        key = np.full(len(start), b, np.uint64)
-        for r in range(ROWS):
-            level = mix64(h ^ np.uint64((b * ROWS + r + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            least = np.empty(len(start), np.uint64)
-            for p in range(int(power.max()) + 1):
-                at = np.flatnonzero(power == p)
-                if len(at):
-                    least[at] = np.minimum(level[start[at]], level[start[at] + count[at] - (1 << p)])
-                step = 1 << p
-                level = np.minimum(level[:-step], level[step:]) if len(level) > step else level[:0]
-            key = mix64(key ^ least)
-        out[b] = key
-    return out.view(np.int64)
+    windows = np.lib.stride_tricks.sliding_window_view(shingles, PARAGRAPH)[:, ::-1]
+    return np.unique(np.arange(n) + PARAGRAPH - 1 - np.argmin(windows, axis=1))
 
 
 def common_runs(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
@@ -100,7 +64,7 @@ def _key() -> list:
 
 
 def paragraph_bands(docs: DataFrame) -> DataFrame:
-    """d, t, start and bucket: a row for each paragraph and band."""
+    """d, t, start and bucket: a row for each place that is the MinHash of a paragraph, in texts long enough for a passage."""
     small_batches(docs.sparkSession)
 
     def bands(batches):
@@ -109,13 +73,12 @@ def paragraph_bands(docs: DataFrame) -> DataFrame:
         for batch in batches:
             words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
             row, starts, keys = [], [], []
-            for i in range(batch.num_rows):
-                w = words[first[i] : first[i + 1]]
-                s, e = paragraphs(w)
-                if len(s):
-                    row.append(np.full(BANDS * len(s), i))
-                    starts.append(np.tile(s, BANDS))
-                    keys.append(band_keys(w, s, e).ravel())
+            for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
+                h = _rolling(words[first[i] : first[i + 1]], ANCHOR)
+                at = paragraph_minima(h)
+                row.append(np.full(len(at), i))
+                starts.append(at)
+                keys.append(h[at].view(np.int64))
             if row:
                 take = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys))], ["d", "t", "start", "bucket"])
@@ -138,11 +101,20 @@ def common_diagonals(ha: np.ndarray, hb: np.ndarray) -> list[tuple[int, int]]:
     return [(d, 0) for d in (np.flatnonzero(met) - len(hb)).tolist()]
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, int | None, int | None]]:
+def _cumulative(words: np.ndarray) -> list[int]:
+    """Hashes of the first word, the first two, and so on."""
+    out, h = [], 0
+    for w in words.tolist():
+        h = (h * P_WORD + w) & (1 << 64) - 1
+        out.append(h)
+    return mix64(np.array(out, np.uint64)).view(np.int64).tolist()
+
+
+def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, list[int], list[int]]]:
     """All passages that a and b share, those inside others of a left out: s, e, p, lp, before and after.
 
     p and lp are the places in a and b of the words of least hash. before and
-    after are hashes of ANCHOR words that reach one word over the ends.
+    after are hashes of the words of a over the ends, fewer than a paragraph.
     """
     ha, hb = _rolling(a, ANCHOR), _rolling(b, ANCHOR)
     out, reach = [], -1
@@ -152,9 +124,8 @@ def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, i
         reach = e
         equal = np.flatnonzero(ha[s : e - ANCHOR + 1] == hb[ls : ls + e - s - ANCHOR + 1])
         p = int(equal[np.argmin(ha[s + equal])])
-        before = int(ha[s - 1 : s].view(np.int64)[0]) ^ 1 if s else None
-        after = int(ha[e - ANCHOR + 1 : e - ANCHOR + 2].view(np.int64)[0]) ^ 2 if e < len(a) else None
-        out.append((s, e, s + p, ls + p, before, after))
+        over = ANCHOR + PARAGRAPH - 1
+        out.append((s, e, s + p, ls + p, _cumulative(a[max(0, s - over) : s][::-1]), _cumulative(a[e : e + over])))
     return out
 
 
@@ -173,63 +144,89 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             rows = [(i, *run) for i in range(batch.num_rows) for run in shared_passages(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]])]
             cols = list(zip(*rows, strict=True)) or [()] * 7
             take = pa.array(cols[0], pa.int64())
-            found = [*[pa.array(c, pa.int32()) for c in cols[1:5]], *[pa.array(c, pa.int64()) for c in cols[5:]]]
+            found = [*[pa.array(c, pa.int32()) for c in cols[1:5]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[5:]]]
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(4)], *found], [*PAIR, "s", "e", "p", "lp", "before", "after"])
 
     both = pairs.join(texts, ["d", "t"]).join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("text").alias("ltext")), ["ld", "lt"])
-    return both.select(*PAIR, "text", "ltext").mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, p int, lp int, before long, after long")
+    return both.select(*PAIR, "text", "ltext").mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, p int, lp int, before array<long>, after array<long>")
+
 
+def _after_least(bands: DataFrame) -> DataFrame:
+    """The rows of each bucket that aren't of its least document, with that as ld and lt."""
+    least = F.first(F.struct("d", "t")).over(Window.partitionBy("bucket").orderBy("d", "t").rowsBetween(Window.unboundedPreceding, 0))
+    return bands.withColumn("l", least).where(F.struct("d", "t") != F.col("l")).select("bucket", "d", "t", "start", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"))
 
-def passage_runs(docs: DataFrame, stored: DataFrame) -> DataFrame:
-    """Passages of pairs of documents, found until every bucket is settled.
 
-    In a round the members of a bucket are held against its least document.
-    Those whose place is in a passage of it are settled; the others stay with
-    the next least one. Once that settles little, or few pairs are left, all
-    pairs of a bucket are compared. The words over the ends of a passage are a
-    bucket, too: documents that go on together where they leave the leader
-    meet there.
+def _windows(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """d, t, start and bucket: all windows of PASSAGE words that hold one of the places."""
+
+    def windows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
+            row, starts, keys = [], [], []
+            for i, at in enumerate(batch.column(3).to_pylist()):
+                h = _rolling(words[first[i] : first[i + 1]], PASSAGE)
+                holds = np.zeros(len(h), bool)
+                for q in at:
+                    holds[max(0, q - PASSAGE + ANCHOR) : q + 1] = True
+                w = np.flatnonzero(holds)
+                row.append(np.full(len(w), i))
+                starts.append(w)
+                keys.append(h[w].view(np.int64))
+            take = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts or [np.zeros(0)]).astype(np.int32)), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))], ["d", "t", "start", "bucket"])
+
+    held = places.groupBy("d", "t").agg(F.collect_set("start").alias("at"))
+    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(windows, "d long, t long, start int, bucket long")
+
+
+def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
+    """Passages of pairs of documents.
+
+    Members of a bucket are held against its least document; those whose place
+    is in a passage of it are settled. Of the others all pairs are compared in
+    buckets of up to FEW. The rest have a common phrase and mostly nothing
+    else: their windows of 51 words are buckets, whose members do share a
+    passage with the least one. Documents that go on together for a paragraph
+    or more where they leave a leader meet in buckets of their own.
     """
-    doc, leader = F.struct("d", "t"), F.struct("ld", "lt")
-    # one exchange serves the aggregate and the join
-    dealt = stored.repartition("bucket")
-    ends = lambda rows: rows.groupBy("bucket").agg(F.min(F.struct("d", "t", "start")).alias("l"), F.max(doc).alias("m"), F.count(F.lit(1)).alias("n")).where((F.col("l.d") != F.col("m.d")) | (F.col("l.t") != F.col("m.t"))).select("bucket", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"), "n")
-    rows = materialize(dealt.join(ends(dealt), "bucket"), "shared")
-    texts = materialize(docs.select(*_key(), "text").join(rows.select("d", "t").distinct(), ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
-    runs = done = None
-    before = 0
-    while True:
-        sizes = rows.groupBy("bucket").agg(F.max("n").cast("double").alias("n")).agg(F.sum("n"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
-        members, most = sizes[0] or 0, sizes[1] or 0
-        if not members:
-            return runs if runs is not None else verified(rows.select(*PAIR).distinct(), texts)
-        every = before and (most <= 4 * members or members > 0.9 * before)
-        before = members
-        if every:
-            earlier = rows.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")).distinct()
-            pairs = rows.select("bucket", "d", "t").distinct().join(earlier, "bucket").where(doc > leader)
-        else:
-            pairs = rows.where(doc != leader)
-        pairs = pairs.select(*PAIR).distinct()
-        pairs = materialize(pairs if done is None else pairs.join(done, PAIR, "left_anti"), "passagepairs")
-        done = pairs if done is None else done.unionByName(pairs)
-        new = materialize(verified(pairs, texts), "runs")
-        runs = new if runs is None else runs.unionByName(new)
-        over = [new.where(f"{c} is not null").select(F.col(c).alias("bucket"), "d", "t", F.expr(at).cast("int").alias("start")) for c, at in (("before", "s - 1"), ("after", "e"))]
-        left = over[0].unionByName(over[1]).distinct()
-        if not every:
-            spans = runs.select(*PAIR, "s", "e")
-            unsettled = rows.where(doc != leader).join(spans, PAIR, "left").groupBy("bucket", "d", "t", "start").agg(F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False)).alias("in")).where("not in")
-            left = left.unionByName(unsettled.select("bucket", "d", "t", "start"))
-        rows = materialize(left.join(ends(left), "bucket"), "open")
+    # the bands are shuffled once and not stored
+    rows = materialize(_after_least(bands), "shared")
+    ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
+    texts = materialize(docs.select(*_key(), "text").join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
+    first = materialize(rows.select(*PAIR).distinct(), "passagepairs")
+    runs = materialize(verified(first, texts), "runs")
+    inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
+    left = materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t").distinct()
+    pairs = few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")), "bucket").where(F.struct("d", "t") > F.struct("ld", "lt")).select(*PAIR)
+    hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
+    pairs = pairs.unionByName(_after_least(_windows(hot, texts)).select(*PAIR)).distinct()
+    more = materialize(pairs.join(first, PAIR, "left_anti"), "passagepairs")
+    return runs.unionByName(materialize(verified(more, texts), "runs"))
+
+
+def extended(runs: DataFrame) -> DataFrame:
+    """Runs with the words over their ends that an earlier document with a run at the same end of the leader's has, too."""
+    own = materialize(runs.withColumn("run", F.monotonically_increasing_id()), "numbered")
+    places = {"before": F.col("lp") - F.col("p") + F.col("s"), "after": F.col("lp") - F.col("p") + F.col("e")}
+    over = [own.select("run", "d", "t", "ld", "lt", F.lit(side).alias("side"), at.alias("at"), F.posexplode(side).alias("more", "hash")) for side, at in places.items()]
+    least = F.first(F.struct("d", "t")).over(Window.partitionBy("ld", "lt", "side", "at", "more", "hash").orderBy("d", "t").rowsBetween(Window.unboundedPreceding, 0))
+    more = over[0].unionByName(over[1]).withColumn("l", least).where(F.struct("d", "t") != F.col("l"))
+    most = more.groupBy("run").agg(*[F.max(F.when(F.col("side") == side, F.col("more") + 1)).alias(f"n_{side}") for side in places])
+    return own.join(most, "run", "left").withColumn("s", F.col("s") - F.coalesce("n_before", F.lit(0))).withColumn("e", F.col("e") + F.coalesce("n_after", F.lit(0))).select(*PAIR, "s", "e", "p", "lp")
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """doc_id, start, end, n_words and kept_doc_id: passages of over 50 words that an earlier document has, too.
 
     Words are numbered from 0 in the whole text, end is past the last one.
-    Overlapping paragraphs of content-defined bounds have MinHash bands; each
-    paragraph in a bucket is held against the bucket's least document, so a
+    Paragraphs of ten words start at every word; the MinHash of their shingles
+    is their band, so that no passage is without a bucket. Each place in a
+    bucket is held against the bucket's least document, so a
     group of copies costs comparisons linear in its size, and what that
     doesn't settle goes through further rounds. Documents are compared whole,
     word by word. Verified pairs are clustered by components; the least
@@ -242,7 +239,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document are left alone. Other columns are ignored; an empty table gives
     no rows.
     """
-    runs = passage_runs(docs, materialize(paragraph_bands(docs), "paragraphs"))
+    runs = extended(passage_runs(docs, paragraph_bands(docs)))
     node = F.struct("d", "t", F.col("p").alias("p"))
     named = runs.withColumn("node", node)
     roots = star_roots(named.select(F.col("node").alias("u"), F.struct(F.col("ld").alias("d"), F.col("lt").alias("t"), F.col("lp").alias("p")).alias("v")))

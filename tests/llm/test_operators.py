@@ -173,6 +173,38 @@ def test_passages_behind_a_shorter_excerpt(spark):
     assert all(r.start <= 40 and r.end >= (92 if i % 8 == 1 else 100) for i, r in got.items())
 
 
+def test_passages_against_all_windows(spark):
+    """Every 51-word window that an earlier document has is in a span; short, repetitive and changed passages too."""
+    texts = []
+    for k in range(150):
+        passage = prose(51 + k % 5, 1000 + k)
+        texts += [f"{prose(30 + k % 7, 2000 + 2 * k + i)} {passage} {prose(25, 4000 + 2 * k + i)}" for i in (0, 1)]
+    for k, part in enumerate(("la ", "la li lu ", "one two three four five six seven eight nine ten ")):
+        texts += [f"{prose(20, 5000 + 2 * k + i)} {' '.join((part * 60).split()[:60])} {prose(20, 6000 + 2 * k + i)}" for i in (0, 1)]
+    got: dict = {}
+    for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.end))
+    seen: dict = {}
+    for i, text in enumerate(texts):
+        words = text.split()
+        for at in range(len(words) - 50):
+            if seen.setdefault(tuple(words[at : at + 51]), i) != i:
+                assert any(s <= at and at + 51 <= e for s, e in got.get(i, [])), (i, at)
+    assert set(got) == set(range(1, len(texts), 2))
+    # four single words differ in each passage of 51, wherever eight equal ones are between them
+    rng, pairs = np.random.default_rng(8), []
+    for k in range(150):
+        words = prose(51, 7000 + k).split()
+        first = f"{prose(20, 8000 + k)} {' '.join(words)} {prose(20, 9000 + k)}"
+        gaps = 8 + rng.multinomial(7, [0.2] * 5)
+        for j, at in enumerate(np.cumsum(gaps)[:4] + np.arange(4)):
+            words[at] = f"changed{k}x{j}"
+        pairs += [(2 * k, first), (2 * k + 1, f"{prose(25, 10000 + k)} {' '.join(words)} {prose(20, 11000 + k)}")]
+    want = {2 * k + 1 for k in range(150) if passages.common_runs(*[np.array([hash(w) for w in pairs[2 * k + i][1].split()]) for i in (1, 0)], [(5, 0)])}
+    found = {r.doc_id for r in passages.repeated_passages(spark.createDataFrame(pairs, "doc_id long, text string")).collect()}
+    assert len(want) > 20 and found == want
+
+
 def test_pages(spark):
     page = "<html><head><title>t</title><script>var a='<p>x</p>'</script></head><body><nav><a href=/>Menu</a></nav><div class='ad'>Buy</div><article><h1>A &amp; B</h1><p>One  <b>two</b>\n three.<p>Be.<aside>side</aside></article><div id=comments><p>reader comment that is long enough to look like text, really</div><footer>&copy;</footer>"
     plain = f"<body><ul class=menu><li><a href=a>x</a></ul><div><p>{prose(40, 1)}</p><p>{prose(40, 2)}</p></div><form>Name</form>"
