@@ -14,8 +14,10 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: those without text or without a letter."""
+    """Documents without an identifiable language go: those without text or without a letter, also where nothing can be learned."""
     model = language.fit_languages(docs.select("doc_id", "text", "lang"))
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     return docs.where(language.predicted(model)["lang_pred"] != language.UNKNOWN)
 
 

@@ -149,6 +149,12 @@ def test_language(docs, nothing, spark):
     assert len(said) > 30 and sum(r.lang_pred == rows[r.doc_id][2] for r in said) >= 0.97 * len(said)
 
 
+def test_unlabelled_documents_stay(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    df = spark.createDataFrame([(1, "clean text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [r.doc_id for r in corpus_pipeline.language_id(spark, df, "").collect()] == [1]
+
+
 def test_passages(docs, nothing):
     rows = passages.repeated_passages(docs).collect()
     own = {(r.doc_id, r.kept_doc_id): r for r in rows}
