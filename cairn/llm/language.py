@@ -124,20 +124,26 @@ def held_out():
 def training_sample(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """text and lang of at most `per_language` documents of each language outside the held-out fold.
 
-    Documents are chosen by the hash of their id. Counts of the languages come
+    Documents are chosen by the hash of their id and text; equal rows count
+    once. Counts of the languages come
     first, so that only about twice the wanted number of rows meets in the
     ranking of a language, however many documents it has; what comes to the
     driver is a number for each label.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    u = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rate = {r.lang: 2.0 * per_language / r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    key = F.xxhash64(F.lit("sample"), "doc_id", "text")
+    u = F.pmod(key, F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rate = {r.lang: 2.0 * per_language / r.n for r in rows.groupBy("lang").agg(F.approx_count_distinct(key).alias("n")).collect()}
     if not rate:
         return rows.select("text", "lang")
-    near = rows.select("doc_id", "lang", u.alias("u")).where(F.col("u") <= _by_language(rate))
-    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "doc_id"))).where(F.col("r") <= per_language)
+    near = rows.select(key.alias("key"), "lang", u.alias("u")).where(F.col("u") <= _by_language(rate)).distinct()
+    first = near.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))).where(F.col("r") <= per_language)
     cut = {r.lang: r.u for r in first.groupBy("lang").agg(F.max("u").alias("u")).collect()}
-    return rows.where(u <= _by_language(cut)).select("text", "lang") if cut else rows.where("false").select("text", "lang")
+    if not cut:
+        return rows.where("false").select("text", "lang")
+    # few rows are left; those that tie with the last one are cut here
+    chosen = rows.where(u <= _by_language(cut)).select(key.alias("key"), u.alias("u"), "text", "lang").dropDuplicates(["key", "lang"])
+    return chosen.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("u", "key"))).where(F.col("r") <= per_language).select("text", "lang")
 
 
 def _by_language(values: dict[str, float]):

@@ -149,6 +149,13 @@ def test_language(docs, nothing, spark):
     assert len(said) > 30 and sum(r.lang_pred == rows[r.doc_id][2] for r in said) >= 0.97 * len(said)
 
 
+def test_the_training_sample_is_bounded(spark):
+    """Rows of null or repeated ids are told apart by text; equal rows count once."""
+    same = [(None, f"text {i}", "en") for i in range(300)] + [(1, f"texte {i}", "fr") for i in range(300)] + [(None, "hola", "es")] * 3000
+    sample = language.training_sample(spark.createDataFrame(same, "doc_id long, text string, lang string"), 20).collect()
+    assert {k: sum(r.lang == k for r in sample) for k in ("en", "fr", "es")} == {"en": 20, "fr": 20, "es": 1}
+
+
 def test_unlabelled_documents_stay(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     df = spark.createDataFrame([(1, "clean text", None), (2, "123", None), (3, None, None)], "doc_id long, text string, lang string")
