@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from weakref import WeakKeyDictionary
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +13,11 @@ from pyspark.sql import functions as F
 #: Bytes that end a word: space and \t \n \v \f \r.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
-#: Rows of text in one Arrow batch. Texts may be long, so batches stay far below Spark's 10,000.
-BATCH_ROWS = 1000
+#: Rows and bytes of one Arrow batch. Texts, vectors and graphs may be long, so batches stay far below Spark's 10,000 rows.
+BATCH_ROWS, BATCH_BYTES = 1000, "32mb"
 
 _own_scratch: dict[str, str] = {}
+_written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,18 +25,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the memory of Python workers; the setting holds for the session."""
+    """Bounds the memory of Python workers; all operators set the same values, which hold for the session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder of the cluster, a part of it for each application.
+
+    A temporary folder serves only where the session names none and the master
+    is local (as in tests); on a cluster its files would be spread over machines.
+    """
+    app, base = spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_scratch.setdefault(app, "") or tempfile.mkdtemp(prefix="cairn-")
-        _own_scratch[app] = base
-    return f"{base.rstrip('/')}/cairn"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _own_scratch:
+            _own_scratch[app] = tempfile.mkdtemp(prefix="cairn-")
+        base = _own_scratch[app]
+    return f"{base.rstrip('/')}/cairn/{app}"
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
@@ -42,21 +51,31 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     The written table cuts the lineage: a lost executor costs the running
     tasks, never the steps before, and rows that depend on task order
-    (range-partition numbers) are fixed once.
+    (range-partition numbers) are fixed once. A result reads such tables until
+    it is written itself; clear_scratch() then deletes them.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[out] = path
+    return out
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_table(df: DataFrame) -> None:
-    """Deletes a table of materialize() that no later step reads."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/cairn/" in f:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Deletes a table of materialize() that no later step reads; the file system of its path may be remote, so Hadoop's client does it."""
+    if df in _written:
+        _delete(df.sparkSession, _written.pop(df))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Deletes all tables that this application's operators wrote; results that still read them must be written before."""
+    _delete(spark, scratch(spark))
 
 
 # ---- vectorised word hashing over Arrow buffers -------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import html, language, linededup, minhash, mixing, packing, passages, tokens, vectors
+from cairn.llm import html, language, linededup, minhash, mixing, neighbours, packing, passages, tokens, vectors
 
 
 def queries():
@@ -14,7 +14,7 @@ def queries():
         "op5_substring_dedup": passages.op5_substring_dedup,
         "op6_minhash_near_dedup": minhash.op6_minhash_near_dedup,
         "op7_best_fit_packing": packing.op7_best_fit_packing,
-        "op8_nearest_neighbours": vectors.op8_nearest_neighbours,
+        "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_language_id": language.op9_language_id,
         "op10_line_dedup": linededup.op10_line_dedup,
     }

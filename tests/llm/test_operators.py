@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from cairn.llm import html, language, linededup, minhash, mixing, packing, passages, tokens, vectors
+from cairn.llm import html, language, linededup, minhash, mixing, neighbours, packing, passages, tokens, vectors
 from tests.llm import brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size long, bucket string, class_id string, _t string"
@@ -256,7 +256,7 @@ def test_near_vectors(embeddings):
 def test_nearest(embeddings):
     x, df = embeddings
     got: dict = {}
-    for r in vectors.search_inner(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=128).orderBy("query_id", "rank").collect():
+    for r in neighbours.search_inner(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=128).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
     assert not set(got) & {900, 901}
     hits = total = 0
@@ -267,7 +267,7 @@ def test_nearest(embeddings):
         assert all(abs(v - s[i]) < 1e-9 for _, i, v in got[q])
         hits, total = hits + len(set(best) & {i for _, i, _ in got[q]}), total + 20
     assert hits >= 0.95 * total
-    assert vectors.search_inner(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+    assert neighbours.search_inner(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
 def test_pipeline_stages(spark, docs):
