@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, table
@@ -39,29 +39,58 @@ def row_key() -> list[Column]:
 ROW = ["id", "no_id", "t"]
 
 
+def heavy_keys(lines: DataFrame, partitions: int) -> DataFrame:
+    """h1 and pieces: keys whose lines would fill much of a task, and in how many pieces to deal them.
+
+    A sketch of bounded size finds them; what it says decides only how lines
+    are dealt, never which lines go. At most 4 keys for each partition are heavy.
+    """
+    most = 4 * partitions
+    top = lines.agg(F.expr(f"approx_top_k(h1, {most}, {max(10_000, 4 * most)})").alias("top"), F.count(F.lit(1)).alias("n"))
+    each = F.ceil(F.col("n") / most)
+    return top.select(F.explode("top").alias("x"), each.alias("each")).where("x.count > each").select(F.col("x.item").alias("h1"), F.ceil(F.col("x.count") / F.col("each")).alias("pieces"))
+
+
+def streamed_lines(lines: DataFrame, heavy: DataFrame) -> DataFrame:
+    """Adds heavy, new (the first line of a document with an id in its group), n_docs and is_first of each line's group, a key or a piece of one."""
+    # the broadcast table has at most 4 rows for each partition
+    dealt = lines.join(F.broadcast(heavy), "h1", "left").withColumn("heavy", F.col("pieces").isNotNull())
+    dealt = dealt.withColumn("piece", F.when(F.col("heavy"), F.pmod(F.xxhash64("id", "no_id"), F.col("pieces"))).otherwise(F.lit(0))).drop("pieces")
+    group = ["h1", "h2", "piece"]
+    ranged = dealt.repartitionByRange(*group)
+    by = Window.partitionBy(*group).orderBy("no_id", "id", "t", "p")
+    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    new = (~F.col("no_id") & ~F.lag("id").over(by).eqNullSafe(F.col("id"))).cast("long")
+    streamed = ranged.withColumn("new", new).withColumns({"n_docs": F.sum("new").over(whole), "is_first": F.row_number().over(by) == 1})
+    return streamed
+
+
 def drop_bitmaps(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """id, no_id, t and drop_words: for each document that loses lines, the set words of its bitmap.
 
     Bit p % 64 of word p / 64 says that line p goes; words without a set bit
     are left out, which compresses bitmaps of long documents with few drops.
 
-    Keys in at least `min_docs` documents lose all their lines, or all but the
-    first by (document, position) with keep_first. How often a key occurs and
-    where first is found by aggregates that are combined before the shuffle, so
-    a key in a third of all documents costs one row for each task. Only the
-    lines with such keys are then sorted by document; the join with the keys
-    is one that adaptive execution can split.
+    Line hashes are partitioned by range, and each range is sorted by hash,
+    document and position, so that a window streams over the occurrences of a
+    key in order: it counts the key's documents and finds its first
+    occurrence. A heavy key is cut into pieces by document, which the ranges
+    spread over tasks; the counts and first occurrences of its pieces then
+    meet in a table with one row for each heavy key. Keys in at least
+    `min_docs` documents lose all their lines, or all but the first by
+    (document, position) with keep_first.
     """
+    spark = docs.sparkSession
     keyed = materialize(docs.select(*row_key(), keys_of(F.col("text")).alias("keys")), "linekeys")
-    # the first occurrence of each key in each document, streamed within the row's own array
-    once = keyed.select(F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("k")).select("k.h1", "k.h2")
-    hot = once.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= min_docs).select("h1", "h2")
     lines = keyed.select(*ROW, F.posexplode("keys").alias("p", "k")).where("k is not null").select(*ROW, "p", "k.h1", "k.h2")
-    hits = lines.join(hot, ["h1", "h2"], "left_semi" if not keep_first else "inner")
+    heavy = materialize(heavy_keys(lines.select("h1"), int(spark.conf.get("spark.sql.shuffle.partitions"))), "heavykeys")
+    streamed = streamed_lines(lines, heavy)
+    marks = materialize(streamed.where(F.col("heavy") | (F.col("n_docs") >= min_docs)), "linemarks")
+    place = F.struct("no_id", "id", "t", "p")
+    totals = marks.where("heavy").groupBy("h1", "h2").agg(F.sum("new").alias("all_docs"), F.min(place).alias("first"))
+    hits = marks.join(F.broadcast(totals), ["h1", "h2"], "left").where(F.coalesce("all_docs", "n_docs") >= min_docs)
     if keep_first:
-        place = F.struct("no_id", "id", "p")
-        first = hits.groupBy("h1", "h2").agg(F.min(place).alias("first"))
-        hits = hits.join(first, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
+        hits = hits.where(~F.when(F.col("heavy"), place == F.col("first")).otherwise(F.col("is_first")))
     words = hits.groupBy(*ROW, F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("bits"))
     return words.groupBy(*ROW).agg(F.map_from_entries(F.collect_list(F.struct("w", "bits"))).alias("drop_words"))
 
@@ -91,15 +120,17 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False) -> DataFrame:
     """row (all columns of docs), kept_text, n_lines and n_dropped.
 
-    Null and empty texts are one empty line, which is always kept. Each
-    row counts as a document, with or without an id of its own; equal rows get
-    equal decisions. Other columns stay inside row, whatever their names; an
-    empty table gives no rows.
+    Null and empty texts are one empty line, which is always kept. A key's
+    documents are the different ids of its rows, so rows that share a doc_id
+    count once and rows without one don't count; all of them lose their lines
+    with frequent keys. Equal rows get equal decisions. Other columns stay
+    inside row, whatever their names; an empty table gives no rows.
     """
     return apply_bitmaps(docs, drop_bitmaps(docs.select("doc_id", "text"), min_docs, keep_first))
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dedup_lines() of all documents, texts as hashes; nulls, ties, repeated rows and empty tables as stated there."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -286,3 +286,26 @@ def test_pipeline_stages(spark, docs):
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= {r.doc_id for r in near.collect()}
     packed = stages["best_fit_packing"](spark, mixed, "")
     assert packed.where("piece = 0").count() == mixed.count()
+
+
+def test_lines_of_heavy_keys_and_shared_ids(spark):
+    """A line of most documents is dealt in pieces; ids that rows share count once and rows without one don't count."""
+    rows = [(i, f"hot\nown {i}\n" + ("warm\n" if i % 40 == 0 else "") + ("rare" if i < 9 else "Hot ")) for i in range(600)]
+    rows += [(700, "again")] * 12 + [(None, "again")] * 12 + [(701 + i, "again\nagain") for i in range(8)] + [(None, "HOT\nx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((-1 if r.row.doc_id is None else r.row.doc_id), r.kept_text, r.n_lines, r.n_dropped) for r in linededup.dedup_lines(df).collect())
+    want = []
+    for i, t in rows:
+        lines = t.split("\n")
+        kept = [x for x in lines if x.strip().lower() not in ("hot", "warm")]
+        want.append((-1 if i is None else i, "\n".join(kept), len(lines), len(lines) - len(kept)))
+    assert got == sorted(want)  # "again" is in nine documents with ids
+    first = {r.row.doc_id: r.n_dropped for r in linededup.dedup_lines(df, keep_first=True).collect()}
+    assert first[0] == 0 and first[1] == 1 and first[9] == 2 and first[40] == 3
+
+
+def test_lines_are_partitioned_by_range(spark):
+    """The windows over line hashes run inside the ranges: nothing is dealt by a hash of them."""
+    lines = spark.range(100).selectExpr("id", "false no_id", "id t", "0 p", "id % 7 h1", "id % 5 h2")
+    plan = linededup.streamed_lines(lines, spark.createDataFrame([(3, 2)], "h1 long, pieces long"))._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" in plan and "hashpartitioning" not in plan
