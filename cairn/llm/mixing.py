@@ -41,7 +41,7 @@ def source_targets(totals: DataFrame, weights: tuple[int, ...], share: float, mo
 
 
 def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, most_epochs: float = 2.0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, epochs, part and skey of every row of docs.
+    """doc_id, size, source_size, target, taken, epochs, part, skey and t (a hash of the text) of every row of docs.
 
     Within its source a document has a hash-random key. Keys are cut into
     4096 ranges of equal width, which are spread over the cluster and sorted;
@@ -54,7 +54,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     last, rows with equal ids and sizes tie and are interchangeable. A source
     of size 0 has target 0; an empty table gives no rows.
     """
-    sized = materialize(docs.select("doc_id", source_key().alias("skey"), word_count().alias("size")).withColumn("key", md5_key("doc_id", "size")).withColumn("span", F.substring("key", 1, RANGE_DIGITS)), "sized")
+    sized = materialize(docs.select("doc_id", source_key().alias("skey"), word_count().alias("size"), F.xxhash64("text").alias("t")).withColumn("key", md5_key("doc_id", "size")).withColumn("span", F.substring("key", 1, RANGE_DIGITS)), "sized")
     spans = materialize(sized.groupBy("skey", "span").agg(F.sum("size").alias("span_size")), "spans")
     targets = source_targets(spans.groupBy("skey").agg(F.sum("span_size").alias("source_size")), weights, share, most_epochs)
     by_span = Window.partitionBy("skey").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
@@ -65,25 +65,26 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     placed = placed.withColumn("epochs", epochs).withColumn("rest", budget - F.col("epochs") * F.col("source_size")).withColumn("before", F.col("span_before") + F.col("rows_before"))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before"))).cast("long")
-    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", part.alias("part"), "skey")
+    return placed.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).alias("taken"), "epochs", part.alias("part"), "skey", "t")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of docs that the mixture takes, each as often as it takes them.
 
     Documents stay whole: the one at a source's cut is taken if at least half
-    of it is within the budget. Rows that share a doc_id, source and size get
+    of it is within the budget. Rows that share a doc_id, source and text get
     the same number of copies as their first one.
     """
     m = mixture(docs, **how)
-    copies = m.groupBy("doc_id", "skey", "size").agg(F.max(F.col("epochs") + F.when(F.col("size") > 0, (2 * F.col("part") >= F.col("size")).cast("long")).otherwise(F.lit(0))).alias("_copies"))
-    c = copies.where("_copies > 0").select(F.col("doc_id").alias("c_id"), F.col("skey").alias("c_skey"), F.col("size").alias("c_size"), F.col("_copies").alias("copies"))
-    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("m_id"), source_key().alias("m_skey"), word_count().alias("m_size"))
-    on = F.col("m_id").eqNullSafe(F.col("c_id")) & (F.col("m_skey") == F.col("c_skey")) & (F.col("m_size") == F.col("c_size"))
+    copies = m.groupBy("doc_id", "skey", "t").agg(F.max(F.col("epochs") + F.when(F.col("size") > 0, (2 * F.col("part") >= F.col("size")).cast("long")).otherwise(F.lit(0))).alias("_copies"))
+    c = copies.where("_copies > 0").select(F.col("doc_id").alias("c_id"), F.col("skey").alias("c_skey"), F.col("t").alias("c_t"), F.col("_copies").alias("copies"))
+    left = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("m_id"), source_key().alias("m_skey"), F.xxhash64("text").alias("m_t"))
+    on = F.col("m_id").eqNullSafe(F.col("c_id")) & (F.col("m_skey") == F.col("c_skey")) & (F.col("m_t") == F.col("c_t"))
     return left.join(c, on).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mixture() of all documents; nulls, ties, repeated rows and empty tables as stated there."""
     return mixture(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
