@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import P_WORD, materialize, mix64, small_batches, table, utf8_rows, word_hashes
+from cairn.llm.common import P_WORD, WORD, materialize, mix64, small_batches, table, utf8_rows, word_hashes
 from cairn.llm.components import star_roots
 
 #: Words of a passage; words in a row that may differ inside it, the share of all its words, and the equal words on each side of them.
@@ -34,30 +34,54 @@ def paragraph_minima(shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(n) + PARAGRAPH - 1 - np.argmin(windows, axis=1))
 
 
-def common_runs(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(start in a, end in a, start in b) of the passages that a and b share, on the diagonals of colliding paragraphs.
-
-    On a diagonal words are compared one by one. Up to GAP differing words in
-    a row are bridged between ANCHOR equal ones, so a passage's edit distance
-    by substitution stays under GAP_SHARE of its words.
-    """
+def runs_on(a: np.ndarray, b: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int]]:
+    """(start in a, end in a, start in b) of the runs of ANCHOR equal words or more on each diagonal, compared word by word."""
     out = []
-    for d in sorted({x - y for x, y in pairs}):
+    for d in sorted(set(diagonals)):
         lo, hi = max(0, d), min(len(a), len(b) + d)
         same = a[lo:hi] == b[lo - d : hi - d]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]])))
-        runs = edge.reshape(-1, 2)
-        spans: list[list[int]] = []  # start, end, differing words
-        runs = [r for r in runs.tolist() if r[1] - r[0] >= ANCHOR]
-        for s, e in runs:
-            if spans and s - spans[-1][1] <= GAP and spans[-1][2] + s - spans[-1][1] <= GAP_SHARE * (e - spans[-1][0]):
-                spans[-1] = [spans[-1][0], e, spans[-1][2] + s - spans[-1][1]]
-            else:
-                spans.append([s, e, 0])
-        out += [(lo + s, lo + e, lo + s - d) for s, e, _ in spans if e - s >= PASSAGE]
+        for s, e in np.flatnonzero(np.diff(np.concatenate([[0], same.view(np.int8), [0]]))).reshape(-1, 2).tolist():
+            if e - s >= ANCHOR:
+                out.append((lo + s, lo + e, lo + s - d))
     return out
 
 
+def chained(runs: list[tuple[int, int, int]]) -> list[list[tuple[int, int, int]]]:
+    """Chains of runs that are passages: their edit distance is verified inside a band of GAP words.
+
+    The next run of a chain follows after at most GAP words of either text,
+    which are substituted, inserted or deleted; the edits of a chain stay
+    under GAP_SHARE of its words. A run that begins inside the one before, as
+    a repeated word at an insertion makes it, counts from there on.
+    """
+    last: dict[int, list] = {}  # diagonal -> [runs, edits] of the chain that ends on it
+    chains = []
+    for s, e, ls in sorted(runs, key=lambda r: (r[0], -r[1], r[2])):
+        best = None
+        for d in range(s - ls - GAP, s - ls + GAP + 1):
+            if d in last:
+                chain, edits = last[d]
+                fs, fe, fl = chain[-1]
+                gap, lgap = s - fe, ls - (fl + fe - fs)
+                over = max(0, -gap, -lgap)
+                new = edits + max(gap + over, lgap + over)
+                if max(gap, lgap) <= GAP and e - s - over >= ANCHOR and s > fs and new <= GAP_SHARE * (e - chain[0][0]) and (best is None or (new, -chain[0][0]) < best[:2]):
+                    best = (new, -chain[0][0], d, over)
+        if best is None:
+            chain = [[(s, e, ls)], 0]
+        else:
+            new, _, d, over = best
+            chain = [[*last[d][0], (s + over, e, ls + over)], new]
+        last[s - ls] = chain
+        chains.append(chain)
+    return [c for c, _ in chains if c[-1][1] - c[0][0] >= PASSAGE]
+
+
+def common_runs(a: np.ndarray, b: np.ndarray, pairs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(start in a, end in a, start in b) of the passages that a and b share on the diagonals of colliding paragraphs."""
+    return [(c[0][0], c[-1][1], c[0][2]) for c in chained(runs_on(a, b, [x - y for x, y in pairs]))]
+
+
 def _key() -> list:
     """doc_id (a null one has a number of its own) and a hash of the text."""
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
@@ -83,22 +107,37 @@ def paragraph_bands(docs: DataFrame) -> DataFrame:
                 take = pa.array(np.concatenate(row))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys))], ["d", "t", "start", "bucket"])
 
-    return docs.select(*_key(), F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(bands, "d long, t long, start int, bucket long")
+    return docs.select("d", "t", "text").mapInArrow(bands, "d long, t long, start int, bucket long")
+
+
+class Sorted:
+    """A text's words and shingles of ANCHOR words, sorted once for all texts that are held against it."""
 
+    def __init__(self, words: np.ndarray):
+        self.words, self.hashes = words, _rolling(words, ANCHOR)
+        self.order = np.argsort(self.hashes, kind="stable")
+        self.sorted = self.hashes[self.order]
 
-def common_diagonals(ha: np.ndarray, hb: np.ndarray) -> list[tuple[int, int]]:
-    """One pair of places for each diagonal on which two texts have an equal hash of ANCHOR words."""
-    order = np.argsort(hb, kind="stable")
-    low, high = (np.searchsorted(hb[order], ha, side) for side in ("left", "right"))
+
+def equal_runs(a: np.ndarray, ha: np.ndarray, b: Sorted) -> list[tuple[int, int, int]]:
+    """All runs of ANCHOR equal words or more, from the places at which both texts have equal shingles."""
+    low, high = (np.searchsorted(b.sorted, ha, side) for side in ("left", "right"))
     at = np.flatnonzero(high > low)
-    met = np.zeros(len(ha) + len(hb), bool)
-    for x in at if (high - low).sum() > 1 << 20 else ():  # repetitive texts: one place at a time
-        met[x - order[low[x] : high[x]] + len(hb)] = True
-    if not met.any() and len(at):
-        n = (high - low)[at]
-        y = order[np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
-        met[np.repeat(at, n) - y + len(hb)] = True
-    return [(d, 0) for d in (np.flatnonzero(met) - len(hb)).tolist()]
+    n = (high - low)[at]
+    if n.sum() > 1 << 20:  # repetitive texts: diagonals, one place at a time
+        met = np.zeros(len(ha) + len(b.hashes), bool)
+        for x in at:
+            met[x - b.order[low[x] : high[x]] + len(b.hashes)] = True
+        return runs_on(a, b.words, (np.flatnonzero(met) - len(b.hashes)).tolist())
+    x = np.repeat(at, n)
+    y = b.order[np.repeat(low[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+    by = np.lexsort((x, x - y))
+    x, y = x[by], y[by]
+    first = np.ones(len(x), bool)
+    first[1:] = (np.diff(x) != 1) | (np.diff(y) != 1)
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(x))) + ANCHOR - 1
+    return list(zip(x[start].tolist(), (x[start] + size).tolist(), y[start].tolist(), strict=True))
 
 
 def _cumulative(words: np.ndarray) -> list[int]:
@@ -110,46 +149,68 @@ def _cumulative(words: np.ndarray) -> list[int]:
     return mix64(np.array(out, np.uint64)).view(np.int64).tolist()
 
 
-def shared_passages(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int, int, int, list[int], list[int]]]:
-    """All passages that a and b share, those inside others of a left out: s, e, p, lp, before and after.
+def shared_passages(a: np.ndarray, b: Sorted) -> list[tuple[int, int, int, int, int, int, list[int], list[int]]]:
+    """All passages that a and b share, those inside others of a left out: s, e, ls, le, p, lp, before and after.
 
-    p and lp are the places in a and b of the words of least hash. before and
-    after are hashes of the words of a over the ends, fewer than a paragraph.
+    ls and le are the ends in b; p and lp are the places in a and b of the
+    words of least hash. before and after are hashes of the words of a over
+    the ends, fewer than a paragraph.
     """
-    ha, hb = _rolling(a, ANCHOR), _rolling(b, ANCHOR)
+    ha = _rolling(a, ANCHOR)
+    runs = equal_runs(a, ha, b)
     out, reach = [], -1
-    for s, e, ls in sorted(common_runs(a, b, common_diagonals(ha, hb)), key=lambda r: (r[0], -r[1], r[2])):
+    for chain in sorted(chained(runs), key=lambda c: (c[0][0], -c[-1][1], c[0][2])):
+        (s, _, ls), (fs, e, fl) = chain[0], chain[-1]
         if e <= reach:
             continue
         reach = e
-        equal = np.flatnonzero(ha[s : e - ANCHOR + 1] == hb[ls : ls + e - s - ANCHOR + 1])
-        p = int(equal[np.argmin(ha[s + equal])])
+        _, p, lp = min((int(ha[k]), k, k - x + y) for x, z, y in chain for k in [x + int(np.argmin(ha[x : z - ANCHOR + 1]))])
         over = ANCHOR + PARAGRAPH - 1
-        out.append((s, e, s + p, ls + p, _cumulative(a[max(0, s - over) : s][::-1]), _cumulative(a[e : e + over])))
+        out.append((s, e, ls, fl + e - fs, p, lp, _cumulative(a[max(0, s - over) : s][::-1]), _cumulative(a[e : e + over])))
     return out
 
 
 PAIR = ["d", "t", "ld", "lt"]
+RUN = ["s", "e", "ls", "le", "p", "lp"]
+#: Bytes of the texts that one task holds against a leader at a time.
+TASK_BYTES = 8 << 20
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages of each pair of documents, which are compared whole."""
+    """The passages of each pair of documents, which are compared whole.
+
+    A leader's text travels once for each TASK_BYTES of members: it is the
+    first row of its group in a sorted partition, and the members stream past
+    it.
+    """
+    members = pairs.join(texts, ["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long"))
+    sizes = pairs.join(texts.select("d", "t", F.octet_length("text").cast("long").alias("n_bytes")), ["d", "t"]).groupBy("ld", "lt").agg(F.ceil(F.sum("n_bytes") / TASK_BYTES).alias("pieces"))
+    sizes = materialize(sizes.withColumn("pieces", F.greatest("pieces", F.lit(1))), "leaders")
+    piece = F.pmod(F.xxhash64("d", "t"), F.col("pieces"))
+    then = members.join(sizes, ["ld", "lt"]).select("ld", "lt", piece.alias("piece"), F.lit(1).alias("kind"), "d", "t", "text")
+    first = sizes.join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), "text"), ["ld", "lt"]).select("ld", "lt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("t"), "text")
+    group = ["ld", "lt", "piece"]
+    dealt = first.unionByName(then).repartition(*group).sortWithinPartitions(*group, "kind", "d", "t")
 
     def verify(batches):
         import pyarrow as pa
 
-        # pairs bring two texts each: a few at a time
-        for batch in (b.slice(i, 100) for b in batches for i in range(0, b.num_rows, 100)):
-            wa, fa, _, _ = word_hashes(*utf8_rows(batch.column(4)))
-            wb, fb, _, _ = word_hashes(*utf8_rows(batch.column(5)))
-            rows = [(i, *run) for i in range(batch.num_rows) for run in shared_passages(wa[fa[i] : fa[i + 1]], wb[fb[i] : fb[i + 1]])]
-            cols = list(zip(*rows, strict=True)) or [()] * 7
+        leader = Sorted(np.zeros(0, np.uint64))
+        for batch in batches:
+            words, begin, _, _ = word_hashes(*utf8_rows(batch.column(6)))
+            rows = []
+            for i, kind in enumerate(batch.column(3).to_pylist()):
+                own = words[begin[i] : begin[i + 1]]
+                if kind:
+                    rows += [(i, *run) for run in shared_passages(own, leader)]
+                else:
+                    leader = Sorted(own)
+            cols = list(zip(*rows, strict=True)) or [()] * 9
             take = pa.array(cols[0], pa.int64())
-            found = [*[pa.array(c, pa.int32()) for c in cols[1:5]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[5:]]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in range(4)], *found], [*PAIR, "s", "e", "p", "lp", "before", "after"])
+            found = [*[pa.array(c, pa.int32()) for c in cols[1:7]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[7:]]]
+            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in (4, 5, 0, 1)], *found], [*PAIR, *RUN, "before", "after"])
 
-    both = pairs.join(texts, ["d", "t"]).join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("text").alias("ltext")), ["ld", "lt"])
-    return both.select(*PAIR, "text", "ltext").mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, p int, lp int, before array<long>, after array<long>")
+    return dealt.mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, ls int, le int, p int, lp int, before array<long>, after array<long>")
 
 
 def _after_least(bands: DataFrame) -> DataFrame:
@@ -196,7 +257,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     # the bands are shuffled once and not stored
     rows = materialize(_after_least(bands), "shared")
     ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
-    texts = materialize(docs.select(*_key(), "text").join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
+    texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
     first = materialize(rows.select(*PAIR).distinct(), "passagepairs")
     runs = materialize(verified(first, texts), "runs")
     inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
@@ -213,7 +274,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
 def extended(runs: DataFrame) -> DataFrame:
     """Runs with the words over their ends that an earlier document with a run at the same end of the leader's has, too."""
     own = materialize(runs.withColumn("run", F.monotonically_increasing_id()), "numbered")
-    places = {"before": F.col("lp") - F.col("p") + F.col("s"), "after": F.col("lp") - F.col("p") + F.col("e")}
+    places = {"before": F.col("ls"), "after": F.col("le")}
     over = [own.select("run", "d", "t", "ld", "lt", F.lit(side).alias("side"), at.alias("at"), F.posexplode(side).alias("more", "hash")) for side, at in places.items()]
     least = F.first(F.struct("d", "t")).over(Window.partitionBy("ld", "lt", "side", "at", "more", "hash").orderBy("d", "t").rowsBetween(Window.unboundedPreceding, 0))
     more = over[0].unionByName(over[1]).withColumn("l", least).where(F.struct("d", "t") != F.col("l"))
@@ -230,9 +291,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     bucket is held against the bucket's least document, so a
     group of copies costs comparisons linear in its size, and what that
     doesn't settle goes through further rounds. Documents are compared whole,
-    word by word. Verified pairs are clustered by components; the least
-    (document, place) of a component stays and all others are removals, whose
-    overlapping spans are merged.
+    and the edit distance of each passage is verified. Of documents with equal
+    texts the least stands for all, and the others are removed whole. Verified
+    pairs are clustered by components; the least (document, place) of a
+    component stays and all others are removals, whose overlapping spans are
+    merged.
 
     Null, empty and short texts have no passages. Equal rows of one doc_id
     count once, rows with one doc_id and different texts are documents of
@@ -240,11 +303,19 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     document are left alone. Other columns are ignored; an empty table gives
     no rows.
     """
-    runs = extended(passage_runs(docs, paragraph_bands(docs)))
+    keyed = docs.select(*_key(), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    least = keyed.groupBy("t").agg(F.min("d").alias("kept"), F.max("d").alias("last")).where("kept < last").select("t", "kept")
+    # written, so that the planner knows its size before it chooses a join with the texts
+    least = materialize(least, "copies")
+    known = keyed.join(least, "t", "left")
+    copied = F.coalesce(F.col("d") != F.col("kept"), F.lit(False))
+    copies = known.where(copied).select("d", "t", F.lit(0).alias("s"), F.regexp_count("text", F.lit(WORD)).alias("e"), "kept").where(F.col("e") >= PASSAGE).distinct()
+    firsts = known.where(~copied).drop("kept")
+    runs = extended(passage_runs(firsts, paragraph_bands(firsts)))
     node = F.struct("d", "t", F.col("p").alias("p"))
     named = runs.withColumn("node", node)
     roots = star_roots(named.select(F.col("node").alias("u"), F.struct(F.col("ld").alias("d"), F.col("lt").alias("t"), F.col("lp").alias("p")).alias("v")))
-    kept = named.join(roots, "node").select("d", "t", "s", "e", F.col("root.d").alias("kept"))
+    kept = named.join(roots, "node").select("d", "t", "s", "e", F.col("root.d").alias("kept")).unionByName(copies)
     # overlapping spans of a document become one: a span starts where none before reaches
     by = Window.partitionBy("d", "t").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
@@ -255,4 +326,5 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """repeated_passages() of all documents; nulls, ties, repeated rows and empty tables as stated there."""
     return repeated_passages(table(spark, sf_dir, "documents"))

@@ -309,3 +309,23 @@ def test_lines_are_partitioned_by_range(spark):
     lines = spark.range(100).selectExpr("id", "false no_id", "id t", "0 p", "id % 7 h1", "id % 5 h2")
     plan = linededup.streamed_lines(lines, spark.createDataFrame([(3, 2)], "h1 long, pieces long"))._jdf.queryExecution().executedPlan().toString()
     assert "rangepartitioning" in plan and "hashpartitioning" not in plan
+
+
+def test_passages_with_inserted_and_deleted_words(spark):
+    """A passage of 60 words with one word more, one less, or two words more stays one passage."""
+    texts = []
+    for k in range(60):
+        words = prose(60, 12000 + k).split()
+        other = list(words)
+        if k % 3 == 0:
+            other.insert(10 + k % 40, "inserted")
+        elif k % 3 == 1:
+            del other[10 + k % 40]
+        else:
+            other[15:15], other[40:40] = ["new", "words"], ["more"]
+        texts += [f"{prose(20, 13000 + k)} {' '.join(words)} {prose(20, 14000 + k)}", f"{prose(25, 15000 + k)} {' '.join(other)} {prose(20, 16000 + k)}"]
+    texts += [texts[0], texts[0]]
+    got = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert set(got) == {*range(1, 120, 2), 120, 121}
+    assert all(got[2 * k + 1].start <= 25 and got[2 * k + 1].end >= 84 for k in range(60))
+    assert all((got[i].start, got[i].end, got[i].kept_doc_id) == (0, 100, 0) for i in (120, 121))
