@@ -16,6 +16,9 @@ WORD = rf"[^{SPACE}]+"
 #: Rows and bytes of one Arrow batch. Texts, vectors and graphs may be long, so batches stay far below Spark's 10,000 rows.
 BATCH_ROWS, BATCH_BYTES = 1000, "32mb"
 
+#: Spark's setting that deletes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_scratch: dict[str, str] = {}
 _written: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
@@ -51,12 +54,18 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
     The written table cuts the lineage: a lost executor costs the running
     tasks, never the steps before, and rows that depend on task order
-    (range-partition numbers) are fixed once. A result reads such tables until
-    it is written itself; clear_scratch() then deletes them.
+    (range-partition numbers) are fixed once. The shuffle files of the write
+    are deleted with it. A result reads such tables until it is written
+    itself; clear_scratch() then deletes them.
     """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     _written[out] = path
     return out

@@ -183,14 +183,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     first row of its group in a sorted partition, and the members stream past
     it.
     """
-    members = pairs.join(texts, ["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long"))
-    sizes = pairs.join(texts.select("d", "t", F.octet_length("text").cast("long").alias("n_bytes")), ["d", "t"]).groupBy("ld", "lt").agg(F.ceil(F.sum("n_bytes") / TASK_BYTES).alias("pieces"))
+    measured = materialize(pairs.join(texts.select("d", "t", "n_bytes"), ["d", "t"]), "measured")
+    sizes = measured.groupBy("ld", "lt").agg(F.ceil(F.sum("n_bytes") / TASK_BYTES).alias("pieces"))
     sizes = materialize(sizes.withColumn("pieces", F.greatest("pieces", F.lit(1))), "leaders")
-    piece = F.pmod(F.xxhash64("d", "t"), F.col("pieces"))
-    then = members.join(sizes, ["ld", "lt"]).select("ld", "lt", piece.alias("piece"), F.lit(1).alias("kind"), "d", "t", "text")
-    first = sizes.join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), "text"), ["ld", "lt"]).select("ld", "lt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("t"), "text")
     group = ["ld", "lt", "piece"]
-    dealt = first.unionByName(then).repartition(*group).sortWithinPartitions(*group, "kind", "d", "t")
+    dealt = materialize(measured.join(sizes, ["ld", "lt"]).select(*group[:2], F.pmod(F.xxhash64("d", "t"), F.col("pieces")).alias("piece"), "d", "t"), "dealt")
+    then = dealt.join(texts.select("d", "t", "text"), ["d", "t"]).select(*group, F.lit(1).alias("kind"), "d", "t", "text")
+    lead = dealt.select(*group).distinct()
+    first = lead.join(texts.select(F.col("d").alias("ld"), F.col("t").alias("lt"), "text"), ["ld", "lt"]).select(*group, F.lit(0).alias("kind"), F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("t"), "text")
+    streamed = first.unionByName(then).repartition(*group).sortWithinPartitions(*group, "kind", "d", "t")
 
     def verify(batches):
         import pyarrow as pa
@@ -210,7 +211,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
             found = [*[pa.array(c, pa.int32()) for c in cols[1:7]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[7:]]]
             yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in (4, 5, 0, 1)], *found], [*PAIR, *RUN, "before", "after"])
 
-    return dealt.mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, ls int, le int, p int, lp int, before array<long>, after array<long>")
+    return streamed.mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, ls int, le int, p int, lp int, before array<long>, after array<long>")
 
 
 def _after_least(bands: DataFrame) -> DataFrame:
@@ -257,7 +258,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     # the bands are shuffled once and not stored
     rows = materialize(_after_least(bands), "shared")
     ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
-    texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]), "passagetexts")
+    texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "passagetexts")
     first = materialize(rows.select(*PAIR).distinct(), "passagepairs")
     runs = materialize(verified(first, texts), "runs")
     inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
@@ -307,10 +308,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     least = keyed.groupBy("t").agg(F.min("d").alias("kept"), F.max("d").alias("last")).where("kept < last").select("t", "kept")
     # written, so that the planner knows its size before it chooses a join with the texts
     least = materialize(least, "copies")
-    known = keyed.join(least, "t", "left")
+    several = materialize(keyed.groupBy("d").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo != hi").select("d", F.lit(True).alias("several")), "several")
+    known = keyed.join(least, "t", "left").join(several, "d", "left")
     copied = F.coalesce(F.col("d") != F.col("kept"), F.lit(False))
     copies = known.where(copied).select("d", "t", F.lit(0).alias("s"), F.regexp_count("text", F.lit(WORD)).alias("e"), "kept").where(F.col("e") >= PASSAGE).distinct()
-    firsts = known.where(~copied).drop("kept")
+    # only texts that share their doc_id need the hash to be told apart; others go without it through the shuffles
+    firsts = known.where(~copied).select("d", F.when(F.col("several"), F.col("t")).otherwise(F.lit(0)).alias("t"), "text")
     runs = extended(passage_runs(firsts, paragraph_bands(firsts)))
     node = F.struct("d", "t", F.col("p").alias("p"))
     named = runs.withColumn("node", node)
