@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, materialize, mix64, shingle_hashes, small_batches, table, utf8_rows, word_hashes
@@ -16,6 +16,8 @@ CIRCLE = 1 << 20
 #: Rows of a band and bands: two sets of Jaccard 0.85 meet in a band with probability 0.99996, of 0.8 with 0.9984.
 ROWS, BANDS = 6, 21
 COORDINATES = ROWS * BANDS
+#: Leaders of a bucket after the second round; each round has eight times as many.
+MORE_LEADERS = 16
 
 
 class Circulant:
@@ -115,9 +117,10 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -
     expanded. Classes meet in bands. The members of a band bucket are first
     held against one leader, the class with the least share of shingles of its
     own, which is the middle of a group of copies: most of a large group joins
-    by a number of comparisons linear in its size. Then all pairs of a bucket
-    that are still in different components are compared, so no link that the
-    bands bring up is lost. Shingles that one class alone holds bound its
+    by a number of comparisons linear in its size. Where members are in
+    different components still they are held against more leaders, 16 and
+    then eight times as many in each round, until each was a leader or all are
+    in one component: no link that the bands bring up is lost. Shingles that one class alone holds bound its
     overlap with any other; pairs that this rules out are never made.
 
     Null and empty texts and texts without words have no shingles and link
@@ -143,22 +146,23 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -
     own = materialize(_own_shingles(sets.join(big.select("class_id").distinct(), "class_id", "left_semi")), "own")
     # what a class alone holds is in no intersection: too much of it, and no link can be
     live = materialize(big.join(own, "class_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "live")
-    by = F.struct((F.col("own") / F.col("n")).alias("share"), "class_id", "n", "own")
-    lead = live.groupBy("bucket").agg(F.min(by).alias("l")).select("bucket", F.col("l.class_id").alias("lc"), F.col("l.n").alias("ln"), F.col("l.own").alias("lo"))
-    stars = live.join(lead, "bucket").where("class_id != lc").where(_can_link("n", "own", "ln", "lo", percent)).select(F.least("class_id", "lc").alias("u"), F.greatest("class_id", "lc").alias("v"))
+    stars = _held_against(live, _leaders(live, 0, 1), percent)
     good = materialize(_verified(twos.unionByName(stars).distinct(), sets, percent), "verified")
     roots = materialize(star_roots(good), "roots")
 
-    # every pair of a bucket whose components still differ, in the first band that both share
-    at = _open_members(live, roots).join(classes.select("class_id", "bands"), "class_id")
-    names = ["class_id", "n", "own", "root", "bands"]
-    left, right = (at.select("bucket", "band", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "uv")
-    first = F.array_position(F.zip_with("bands_u", "bands_v", lambda x, y: x == y), True) == F.col("l.band") + 1
-    near = (F.col("class_id_u") < F.col("class_id_v")) & (F.col("root_u") != F.col("root_v")) & _can_link("n_u", "own_u", "n_v", "own_v", percent) & first
-    rest = left.alias("l").join(right.drop("band").alias("r"), (F.col("l.bucket") == F.col("r.bucket")) & near).select(F.col("class_id_u").alias("u"), F.col("class_id_v").alias("v"))
-    more = materialize(_verified(rest, sets, percent), "verified")
-    if more.limit(1).count():
-        roots = materialize(star_roots(good.unionByName(more)), "roots")
+    # more leaders, for the members of buckets that are in different components still
+    low, high = 1, MORE_LEADERS
+    while True:
+        rest = materialize(_unsettled(live, roots, low), "open")
+        if not rest.limit(1).count():
+            break
+        of = roots.select(F.col("node").alias("lc"), F.col("root").alias("found"))
+        lead = _leaders(live, low, high).join(of, "lc", "left").withColumn("lroot", F.coalesce("found", "lc"))
+        more = materialize(_verified(_held_against(rest, lead, percent, "root != lroot").distinct(), sets, percent), "verified")
+        if more.limit(1).count():
+            good = good.unionByName(more)
+            roots = materialize(star_roots(good), "roots")
+        low, high = high, high * 8
 
     of = classes.select("class_id", "least_id").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -183,15 +187,28 @@ def _can_link(n_u: str, own_u: str, n_v: str, own_v: str, percent: int):
     return 100 * most >= percent * (F.col(n_u) + F.col(n_v) - most)
 
 
-def _open_members(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members of buckets that hold more than one component so far."""
-    r = roots.select(F.col("node").alias("class_id"), "root")
-    at = buckets.join(r, "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
-    open_ = at.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
+def _leaders(live: DataFrame, low: int, high: int) -> DataFrame:
+    """bucket, lc, ln and lo of the leaders after the first `low` and up to `high` of each bucket: least share of shingles of their own first."""
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("own") / F.col("n"), "class_id"))
+    return live.withColumn("place", place).where(F.col("place") <= high).where(F.col("place") > low).select("bucket", F.col("class_id").alias("lc"), F.col("n").alias("ln"), F.col("own").alias("lo"))
+
+
+def _held_against(members: DataFrame, leaders: DataFrame, percent: int, also: str = "true") -> DataFrame:
+    """(u, v) of each member with each leader of its bucket, if the shingles that they hold alone leave room for a link."""
+    near = members.join(leaders, "bucket").where("class_id != lc").where(_can_link("n", "own", "ln", "lo", percent)).where(also)
+    return near.select(F.least("class_id", "lc").alias("u"), F.greatest("class_id", "lc").alias("v"))
+
+
+def _unsettled(live: DataFrame, roots: DataFrame, led: int) -> DataFrame:
+    """Members, with root, that weren't among the first `led` leaders of their bucket, where these are in more than one component."""
+    done = _leaders(live, 0, led).select("bucket", F.col("lc").alias("class_id"))
+    at = live.join(done, ["bucket", "class_id"], "left_anti").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
+    open_ = at.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
     return at.join(open_, "bucket", "left_semi")
 
 
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """near_duplicates() of all documents at 85%; nulls, ties, repeated rows and empty tables as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("class_id", "root", "t")
 
 
