@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from array import array
@@ -133,8 +134,8 @@ def lower_bound(counts: Counter, cap: int) -> int:
     return max(best, int((big + mid + over).max(initial=0)))
 
 
-def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: int = 12, steps: int = 400) -> list[tuple[int, ...]]:
-    """Undominated fillings around the largest document, least waste first.
+def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: int | None = 12, steps: int | None = 400) -> list[tuple[int, ...]]:
+    """Undominated fillings around the largest document, least waste first; all of them without `width` and `steps`.
 
     A filling is kept if no other document fits beside it and no other found
     filling of as many documents is at least as large place by place.
@@ -142,13 +143,14 @@ def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: in
     sizes = sorted((s for s, n in counts.items() if n), reverse=True)
     negative = [-s for s in sizes]
     found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [steps]
+    budget = [math.inf if steps is None else steps]
+    most = math.inf if width is None else 4 * width
 
     def left(s: int, taken: tuple[int, ...]) -> bool:
         return counts[s] > taken.count(s) + (s == largest)
 
     def grow(i: int, room: int, taken: tuple[int, ...]) -> None:
-        if budget[0] <= 0 or len(found) >= 4 * width:
+        if budget[0] <= 0 or len(found) >= most:
             return
         budget[0] -= 1
         fits = False
@@ -170,10 +172,11 @@ def fillings(counts: Counter, largest: int, cap: int, most_waste: int, width: in
     return [t for _, t in kept[:width]]
 
 
-def complete_bins(sizes: list[int], cap: int, nodes: int = 3000) -> list[list[int]]:
-    """Bin completion: depth-first over the fillings of the largest document left, within a number of nodes.
+def complete_bins(sizes: list[int], cap: int, nodes: int | None = 3000, width: int | None = 12, steps: int | None = 400) -> list[list[int]]:
+    """Bin completion: depth-first over the fillings of the largest document left.
 
-    The best-fit solution is the incumbent. A branch whose waste exceeds what
+    `nodes`, `width` and `steps` bound the search, which then returns the best
+    solution so far; with None for all three it is exact. The best-fit solution is the incumbent. A branch whose waste exceeds what
     one bin fewer would leave is pruned; a solution at the lower bound ends
     the search.
     """
@@ -189,10 +192,11 @@ def complete_bins(sizes: list[int], cap: int, nodes: int = 3000) -> list[list[in
     def open_node() -> None:
         largest = max((s for s, n in counts.items() if n), default=0)
         spare = (len(best) - 1) * cap - total - wasted
-        stack.append([] if spare < 0 or not largest else [(largest, *f) for f in reversed(fillings(counts, largest, cap, spare))])
+        stack.append([] if spare < 0 or not largest else [(largest, *f) for f in reversed(fillings(counts, largest, cap, spare, width, steps))])
 
     open_node()
-    while stack and nodes > 0:
+    left = math.inf if nodes is None else nodes
+    while stack and left > 0:
         if not stack[-1]:
             stack.pop()
             if path:
@@ -201,7 +205,7 @@ def complete_bins(sizes: list[int], cap: int, nodes: int = 3000) -> list[list[in
                 counts.update(undone)
             continue
         chosen = list(stack[-1].pop())
-        nodes -= 1
+        left -= 1
         path.append(chosen)
         wasted += cap - sum(chosen)
         counts.subtract(chosen)
@@ -214,9 +218,9 @@ def complete_bins(sizes: list[int], cap: int, nodes: int = 3000) -> list[list[in
     return best
 
 
-def place(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+def place(lengths: np.ndarray, cap: int, **search: int | None) -> tuple[np.ndarray, np.ndarray]:
     """The bin of each item and its offset there."""
-    bins = complete_bins(lengths.tolist(), cap)
+    bins = complete_bins(lengths.tolist(), cap, **search)
     of_size: dict[int, list[int]] = {}
     for i in np.argsort(-lengths, kind="stable")[::-1]:
         of_size.setdefault(int(lengths[i]), []).append(int(i))
@@ -230,24 +234,44 @@ def place(lengths: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
     return which, offset
 
 
-def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192) -> DataFrame:
+PLACED = f"{PIECE}, sequence_id long, offset long"
+
+
+def pack(pieces: DataFrame, size: int = 2048, group_rows: int = 8192, **search: int | None) -> DataFrame:
     """Adds sequence_id and offset to pieces (doc_id, piece, start, length, ids_crc32).
 
     Pieces are dealt by hash into groups of about `group_rows`, each packed by
-    one task; a group leaves at most about one sequence unfilled, which is
-    a few hundredths of a percent of its sequences. Groups depend on ids and
-    lengths only, never on sources or sizes of copies, so no group is hot.
+    one task. What a group leaves unfilled, about a sequence of it, is packed
+    again with what others leave, whole sequences together, until one group
+    holds all of that or nothing is saved. Groups depend on ids and lengths
+    only, never on sources or sizes of copies, so no group is hot. `search`
+    goes to complete_bins().
     """
     groups = max(1, -(-pieces.count() // group_rows))
 
     def one(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], kind="stable")
-        which, offset = place(rows["length"].to_numpy(), size)
-        rows["sequence_id"], rows["offset"] = (int(key[0]) << 32) + which, offset
+        which, offset = place(rows["length"].to_numpy(), size, **search)
+        if rows["sequence_id"].isna().all() or which.max() + 1 < rows["sequence_id"].nunique():
+            rows["sequence_id"], rows["offset"] = (int(key[0]) << 32) + which, offset
         return rows.drop(columns="bundle")
 
-    dealt = pieces.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("bundle").applyInPandas(one, f"{PIECE}, sequence_id long, offset long")
+    dealt = pieces.withColumn("bundle", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(groups))).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")})
+    out = dealt.groupBy("bundle").applyInPandas(one, PLACED)
+    first = 0
+    while groups > 1:
+        packed = materialize(out, "packed")
+        fills = packed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count(F.lit(1)).alias("n")).where(F.col("fill") < size)
+        fills = materialize(fills.select(F.col("sequence_id").alias("open"), "n"), "unfilled")
+        n, was = fills.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], groups
+        first, groups = first + was, max(1, -(-n // group_rows))
+        if not n or groups >= was:
+            return packed
+        marked = packed.join(fills, F.col("sequence_id") == F.col("open"), "left")
+        # numbers of new groups go on from those before, so that sequence numbers stay apart
+        again = marked.where("open is not null").withColumn("bundle", F.pmod(F.xxhash64("sequence_id"), F.lit(groups)) + first).drop("open", "n")
+        out = marked.where("open is null").drop("open", "n").unionByName(again.groupBy("bundle").applyInPandas(one, PLACED))
+    return out
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
@@ -261,6 +285,7 @@ def pack_documents(docs: DataFrame, path: str, size: int = 2048) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pack_documents() of all documents; nulls, ties, repeated rows and empty tables as stated there."""
     import public_tokenizers
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
