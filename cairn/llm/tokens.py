@@ -116,6 +116,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """count_tokens() of all documents; nulls, ties, repeated rows and empty tables as stated there."""
     import public_tokenizers
 
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

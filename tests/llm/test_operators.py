@@ -329,3 +329,66 @@ def test_passages_with_inserted_and_deleted_words(spark):
     assert set(got) == {*range(1, 120, 2), 120, 121}
     assert all(got[2 * k + 1].start <= 25 and got[2 * k + 1].end >= 84 for k in range(60))
     assert all((got[i].start, got[i].end, got[i].kept_doc_id) == (0, 100, 0) for i in (120, 121))
+
+
+def test_exact_bin_completion():
+    """Without bounds the search finds the optimum, also where best fit and the lower bound miss it."""
+
+    def optimum(sizes, cap):
+        best = {0: (1, 0)}  # set of items -> bins, fill of the last one
+        for mask in range(1 << len(sizes)):
+            if mask in best:
+                bins, fill = best[mask]
+                for i, s in enumerate(sizes):
+                    if not mask >> i & 1:
+                        new = (bins, fill + s) if fill + s <= cap else (bins + 1, s)
+                        best[mask | 1 << i] = min(best.get(mask | 1 << i, new), new)
+        return best[(1 << len(sizes)) - 1][0]
+
+    rng, missed = np.random.default_rng(2), 0
+    for _ in range(60):
+        sizes = rng.integers(15, 60, 10).tolist()
+        bins = packing.complete_bins(sizes, 100, None, None, None)
+        assert sorted(s for b in bins for s in b) == sorted(sizes) and all(sum(b) <= 100 for b in bins)
+        assert len(bins) == optimum(sizes, 100)
+        missed += len(packing.best_fit(sizes, 100)) > len(bins)
+    assert missed > 0
+
+
+def test_packing_over_groups(spark):
+    """What the groups leave unfilled is packed again; every piece keeps one gapless place."""
+    lengths = np.random.default_rng(5).integers(1, 41, 3000)
+    rows = [(None if i == 7 else i, 0, 0, int(n), i) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECE), 100, 256).collect()
+    assert sorted((r.doc_id or 0, r.length, r.ids_crc32) for r in got) == sorted((d or 0, n, c) for d, _, _, n, c in rows)
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in by.values():
+        assert [a for a, _ in sorted(spans)] == [sum(n for _, n in sorted(spans)[:k]) for k in range(len(spans))] and sum(n for _, n in spans) <= 100
+    assert len(by) <= packing.lower_bound(packing.Counter(lengths.tolist()), 100) + 1
+
+
+def test_a_spread_group_needs_more_leaders(spark):
+    """Chains of texts that link only with some of their group, and texts that share a band with none to link."""
+    texts = []
+    for g in range(12):
+        words = prose(220, 900 + g).split()
+        for i in range(14):
+            w = list(words)
+            w[8 * i : 8 * i + 40 : 4] = [f"g{g}x{i}y{j}" for j in range(len(w[8 * i : 8 * i + 40 : 4]))] if i % 3 else w[8 * i : 8 * i + 40 : 4]
+            w[200 - 6 * i : 206 - 6 * i : 5] = [f"h{g}x{i}y{j}" for j in range(len(w[200 - 6 * i : 206 - 6 * i : 5]))]
+            texts.append(" ".join(w))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 80).collect()}
+    assert got == brute.near_components(list(enumerate(texts)), 80)
+
+
+def test_texts_in_no_learned_language_go(spark):
+    """The model alone rejects texts of another script and of random letters; labelled and held-out documents stay."""
+    syllables = {"en": "the ing ed er th wh", "de": "sch ung ein der ich", "fr": "eau oi que les eux", "es": "ción os el que ñ ar"}
+    clean = [(i, " ".join(np.random.default_rng(i).choice(syllables[k].split(), 40)), k) for i, k in enumerate(list(syllables) * 60)]
+    other = [(1000 + i, "Привет мир как дела сегодня " * 5, None) for i in range(3)] + [(2000, "12 34", "en"), (2001, None, "en")]
+    df = spark.createDataFrame(clean + other, "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in language.keep_identified(df).collect()) == [i for i, _, _ in clean]
+    one = spark.createDataFrame([r for r in clean if r[2] == "de"], "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in language.identify(one).collect()} == {"de"} and language.keep_identified(one).count() == 60
