@@ -14,31 +14,45 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without an identifiable language go: those without text or without a letter, also where nothing can be learned."""
-    model = language.fit_languages(docs.select("doc_id", "text", "lang"))
-    if model is None:
-        return docs.where(F.col("text").rlike(r"\p{L}"))
-    return docs.where(language.predicted(model)["lang_pred"] != language.UNKNOWN)
+    """Documents whose text is in none of the languages learned from docs go, with those without text or a letter.
+
+    Without labelled rows to learn from all documents with a letter stay;
+    repeated rows stay or go together; an empty table gives no rows.
+    """
+    return language.keep_identified(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in at least 10 documents go; n_chars follows the text."""
+    """Lines found in at least 10 documents go; n_chars follows the text.
+
+    A null text becomes the empty one; repeated rows lose the same lines; an
+    empty table gives no rows.
+    """
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
     return linededup.dedup_lines(docs).select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the first row of the one with the least doc_id."""
+    """One document of each group of near-duplicates stays: the first row of the one with the least doc_id.
+
+    Rows without a word all stay, a null doc_id only where its group has no
+    other; of repeated rows one stays; an empty table gives no rows.
+    """
     return minhash.keep_one(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources give documents up to their targets, some twice and some not at all."""
+    """Sources give documents up to their targets, some twice and some not at all.
+
+    A null source is one of its own; null texts have no size and are taken with
+    their source's whole epochs; ties at a cut are broken by the id's hash; an
+    empty table gives no rows.
+    """
     return mixing.mix(docs)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 2048 tokens."""
+    """Sequences of at most 2048 tokens; null texts are an end id alone, repeated rows are packed each, an empty table gives no rows."""
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
@@ -49,6 +63,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows for all documents; each stage reads what the one before wrote."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
