@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cairn.llm.common import P_WORD, WORD, materialize, mix64, small_batches, table, utf8_rows, word_hashes
+from cairn.llm.common import P_WORD, WORD, drop_table, materialize, mix64, small_batches, table, utf8_rows, word_hashes
 from cairn.llm.components import star_roots
 
 #: Words of a passage; words in a row that may differ inside it, the share of all its words, and the equal words on each side of them.
@@ -14,8 +14,8 @@ PASSAGE, GAP, GAP_SHARE, ANCHOR = 51, 2, 0.1, 8
 #: A paragraph is so many shingles of ANCHOR words, and its band is their MinHash. Of a passage with at most a tenth of
 #: differing words, in runs of ANCHOR equal ones or more, one run has ten words: it holds a whole paragraph.
 PARAGRAPH = 3
-#: Members of a bucket that are compared pairwise.
-FEW = 16
+#: Leaders that the members of a bucket are held against in turn, and members left over that are compared pairwise.
+LEADERS, FEW = 4, 16
 
 
 def _rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -245,30 +245,42 @@ def _windows(places: DataFrame, texts: DataFrame) -> DataFrame:
     return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(windows, "d long, t long, start int, bucket long")
 
 
+def _unsettled(rows: DataFrame, runs: DataFrame) -> DataFrame:
+    """bucket, d, t and start of the members whose place is in no passage that they share with their leader."""
+    inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
+    return materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
+
+
 def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """Passages of pairs of documents.
 
     Members of a bucket are held against its least document; those whose place
-    is in a passage of it are settled. Of the others all pairs are compared in
-    buckets of up to FEW. The rest have a common phrase and mostly nothing
-    else: their windows of 51 words are buckets, whose members do share a
-    passage with the least one. Documents that go on together for a paragraph
-    or more where they leave a leader meet in buckets of their own.
+    is in a passage of it are settled. The others take their least document as
+    the next leader, LEADERS times in all. Then all pairs of what is left are
+    compared in buckets of up to FEW. The rest have a common phrase and mostly
+    nothing else: their windows of 51 words are buckets, whose members do
+    share a passage with the least one. Documents that go on together for a
+    paragraph or more where they leave a leader meet in buckets of their own.
     """
     # the bands are shuffled once and not stored
     rows = materialize(_after_least(bands), "shared")
     ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
     texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "passagetexts")
-    first = materialize(rows.select(*PAIR).distinct(), "passagepairs")
-    runs = materialize(verified(first, texts), "runs")
-    inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
-    left = materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
-    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    compared = materialize(rows.select(*PAIR).distinct(), "passagepairs")
+    runs = materialize(verified(compared, texts), "runs")
+    left = _unsettled(rows, runs)
+    for _ in range(LEADERS - 1):
+        drop_table(rows)
+        rows = materialize(_after_least(left), "shared")
+        pairs = materialize(rows.select(*PAIR).distinct().join(compared, PAIR, "left_anti"), "passagepairs")
+        runs, compared = runs.unionByName(materialize(verified(pairs, texts), "runs")), compared.unionByName(pairs)
+        left = _unsettled(rows, runs)
+    sizes = materialize(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucketsizes")
     few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t").distinct()
     pairs = few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")), "bucket").where(F.struct("d", "t") > F.struct("ld", "lt")).select(*PAIR)
     hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
     pairs = pairs.unionByName(_after_least(_windows(hot, texts)).select(*PAIR)).distinct()
-    more = materialize(pairs.join(first, PAIR, "left_anti"), "passagepairs")
+    more = materialize(pairs.join(compared, PAIR, "left_anti"), "passagepairs")
     return runs.unionByName(materialize(verified(more, texts), "runs"))
 
 
@@ -315,10 +327,12 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # only texts that share their doc_id need the hash to be told apart; others go without it through the shuffles
     firsts = known.where(~copied).select("d", F.when(F.col("several"), F.col("t")).otherwise(F.lit(0)).alias("t"), "text")
     runs = extended(passage_runs(firsts, paragraph_bands(firsts)))
-    node = F.struct("d", "t", F.col("p").alias("p"))
-    named = runs.withColumn("node", node)
-    roots = star_roots(named.select(F.col("node").alias("u"), F.struct(F.col("ld").alias("d"), F.col("lt").alias("t"), F.col("lp").alias("p")).alias("v")))
-    kept = named.join(roots, "node").select("d", "t", "s", "e", F.col("root.d").alias("kept")).unionByName(copies)
+    # places are numbered by a hash: numbers are aggregated without sorting
+    named = materialize(runs.select("d", "t", "s", "e", "ld", F.xxhash64("d", "t", "p").alias("node"), F.xxhash64("ld", "lt", "lp").alias("other")), "places")
+    roots = star_roots(named.select(F.col("node").alias("u"), F.col("other").alias("v")))
+    placed = materialize(named.join(roots, "node"), "placed")
+    first = placed.groupBy("root").agg(F.min(F.least("d", "ld")).alias("kept"))
+    kept = placed.select("d", "t", "s", "e", "root").join(first, "root").select("d", "t", "s", "e", "kept").unionByName(copies)
     # overlapping spans of a document become one: a span starts where none before reaches
     by = Window.partitionBy("d", "t").orderBy("s", "e")
     reach = F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1))
