@@ -117,15 +117,22 @@ def _is_parameter(words: list[str], i: int) -> bool:
     return words[end + 1 : end + 2] in (["=>"], ["{"])
 
 
+def _end_of_names(words: list[str], i: int, stop: str) -> int | None:
+    """Where a list of names that begins at i ends with `stop`; none if something else comes before."""
+    while i < len(words) and words[i] != stop and words[i] not in ("import", "const", "let", "var") and (words[i] in "{},*:" or words[i][0] in "_$" or words[i][0].isalpha()):
+        i += 1
+    return i if words[i : i + 1] == [stop] else None
+
+
 def _node_imports(words: list[str]) -> Iterator[tuple[str, str, int]]:
     """(local name, method or "" for the whole module, index after the import)."""
     for i, w in enumerate(words):
         if w == "import":
-            end = next((j for j in range(i + 1, min(len(words), i + 64)) if words[j] == "from"), None)
+            end = _end_of_names(words, i + 1, "from")
             if end and words[end + 1 : end + 2] and words[end + 1].strip("'\"") in MODULES:
                 yield from _names(words[i + 1 : end], "as", end + 2)
         elif w in ("const", "let", "var"):
-            end = next((j for j in range(i + 1, min(len(words), i + 64)) if words[j] == "="), None)
+            end = _end_of_names(words, i + 1, "=")
             if end and words[end + 1 : end + 3] == ["require", "("] and words[end + 3 : end + 4] and words[end + 3].strip("'\"") in MODULES:
                 yield from _names(words[i + 1 : end], ":", end + 5)
 

@@ -16,7 +16,11 @@ def csv_guard(value: Column) -> Column:
 
 
 def markdown_cell(value: Column) -> Column:
-    return F.replace(F.replace(value, F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit("<br>"))
+    """Text of one cell of a Markdown table: no markup, no cell borders, line breaks as a sign."""
+    out = value
+    for raw, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("|", "\\|"), ("\n", " ↵ ")):
+        out = F.replace(out, F.lit(raw), F.lit(safe))
+    return out
 
 
 def html_text(value: Column) -> Column:

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from cairn.functions.rules import IDENTIFIERS, identified, purpose, sensitive, targets
 from cairn.functions.text import source_id
 
-ASSIGNMENT = r"^\s*[\"']?([A-Za-z_][A-Za-z0-9_.-]*)[\"']?\s*[:=]\s*(.+?)\s*$"
+ASSIGNMENT = r"^\s*['\"]?([\w.-]+)['\"]?\s*[:=]\s*(.*)"
+#: A line up to a # outside quotes.
+BEFORE_HASH = r"""^((?:[^"'#]++|"(?:[^"\\]++|\\.)*+(?:"|$)|'(?:[^'\\]++|\\.)*+(?:'|$))*+)"""
+#: What ends a line of a source.
+LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 
 
 def numbered_lines(sources: DataFrame, content: str = "content", split: str = "\n") -> DataFrame:
@@ -17,13 +21,22 @@ def numbered_lines(sources: DataFrame, content: str = "content", split: str = "\
     return sources.select(*keep, F.posexplode(F.split(content, split)).alias("line", "line_text")).withColumn("line", F.col("line") + 1)
 
 
+def bare_value(value: Column) -> Column:
+    """A value without white space, closing semicolons and quotes around it."""
+    out = F.trim(value)
+    for signs in (";", " \t", "\"'"):
+        out = F.btrim(out, F.lit(signs))
+    return out
+
+
 def scan_config(sources: DataFrame, rules: list[tuple[str, str]] = IDENTIFIERS) -> DataFrame:
-    """Findings of algorithm identifiers beside keys that name cryptographic material."""
+    """Findings of values that are an algorithm identifier as a whole, beside names of cryptographic material; comments don't count."""
     named = sources.withColumn("source_id", source_id(F.col("file_name"), F.col("content")))
-    lines = numbered_lines(named).where(~F.col("line_text").rlike(r"^\s*#"))
-    pairs = lines.withColumns({"name": F.regexp_extract("line_text", ASSIGNMENT, 1), "value": F.regexp_extract("line_text", ASSIGNMENT, 2)}).where(F.col("name") != "").where(sensitive(F.col("name")))
-    keep = [c for c in pairs.columns if c not in ("name", "value", "line_text")]
-    return pairs.select(*keep, F.trim("line_text").alias("evidence"), F.explode(identified(F.col("value"), rules)).alias("algorithm"), F.lit("text_config").alias("detection_method"))
+    lines = numbered_lines(named, split=LINE_BREAKS).withColumn("code", F.regexp_extract("line_text", BEFORE_HASH, 1))
+    pairs = lines.withColumns({"name": F.regexp_extract("code", ASSIGNMENT, 1), "value": bare_value(F.regexp_extract("code", ASSIGNMENT, 2))}).where(F.col("name") != "").where(sensitive(F.col("name")))
+    keep = [c for c in pairs.columns if c not in ("name", "value", "line_text", "code")]
+    whole = [(code, f"^(?:{p})$") for code, p in rules]
+    return pairs.select(*keep, F.trim("line_text").alias("evidence"), F.explode(identified(F.col("value"), whole)).alias("algorithm"), F.lit("text_config").alias("detection_method"))
 
 
 def dedupe(findings: DataFrame, keys: list[str], order: str, last: bool = False) -> DataFrame:

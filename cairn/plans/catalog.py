@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import ast
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import rules, text
 from cairn.operators import findings as fin
 from cairn.operators import sequences as seq
-from cairn.plans import choices, files, reports  # noqa: F401 - they register their queries
+from cairn.plans import choices, files, integrated, reports, scans  # noqa: F401 - they register their queries
 from cairn.plans.registry import QUERIES, SQL, query  # noqa: F401 - the catalogue's names
 from cairn.sources.readers import config_corpus, table
 from cairn.streaming import scan as streams
@@ -20,11 +17,11 @@ from cairn.streaming import scan as streams
 #: The corpus and its expected findings, stated from the columns of part.
 CORPUS = """corpus AS (SELECT p_brand AS origin, p_partkey, p_size, 'f' || p_partkey || '.yaml' AS file_name,
   '# jwt_algorithm: RS256' || chr(10) || 'jwt_algorithm: ' || CASE p_size % 5 WHEN 0 THEN 'RS256' WHEN 1 THEN 'ES384' WHEN 2 THEN 'EdDSA' WHEN 3 THEN 'HS256' ELSE 'x25519' END
-  || chr(10) || 'title: ES256' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'sshHostKey: ssh-ed25519, ssh-rsa' ELSE '' END
-  || chr(10) || CASE WHEN p_partkey % 7 = 0 THEN 'signature-algorithm: RS256 RS512' ELSE '' END AS content FROM part),
+  || chr(10) || 'title: ES256' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'sshHostKey: ''ssh-ed25519'';  # ssh-rsa' ELSE '' END
+  || chr(10) || CASE WHEN p_partkey % 7 = 0 THEN 'signature-algorithm = "RS256"' WHEN p_partkey % 5 = 0 THEN 'signature-algorithm: RS256 RS512' ELSE '' END AS content FROM part),
 src AS (SELECT *, 'src_' || substr(sha256(file_name || chr(0) || content), 1, 12) AS source_id FROM corpus),
 hits AS (SELECT source_id, origin, file_name, 2 AS line, CASE p_size % 5 WHEN 0 THEN 'RSA' WHEN 1 THEN 'ECDSA' WHEN 2 THEN 'EdDSA' ELSE 'X25519' END AS algorithm FROM src WHERE p_size % 5 <> 3
-  UNION ALL SELECT source_id, origin, file_name, 4, unnest(['Ed25519', 'RSA']) FROM src WHERE p_partkey % 3 = 0
+  UNION ALL SELECT source_id, origin, file_name, 4, 'Ed25519' FROM src WHERE p_partkey % 3 = 0
   UNION ALL SELECT source_id, origin, file_name, 5, 'RSA' FROM src WHERE p_partkey % 7 = 0),
 found AS (SELECT h.*, string_split(s.content, chr(10))[h.line] AS evidence FROM hits h JOIN src s USING (source_id))"""
 PURPOSE_SQL = "CASE WHEN algorithm IN ('DSA','ECDSA','EdDSA','Ed25519','Ed448') THEN '数字签名' WHEN algorithm IN ('DH','ECDH','X25519','X448') THEN '密钥建立' ELSE '用途待确认' END"
@@ -90,60 +87,6 @@ def pem_scan(spark, sf_dir):
     return lines.select("c_custkey", "line", F.get(named, 0).alias("algorithm"), F.when(generic, "unknown_pem_algorithm").alias("diagnostic")).where("algorithm is not null or diagnostic is not null")
 
 
-CALLS = {"rsa.generate_private_key": "RSA", "dsa.generate_private_key": "DSA", "ec.generate_private_key": "ECC", "dh.generate_parameters": "DH"}
-
-
-def imported_calls(source: str) -> list[tuple[int, str, str]]:
-    """(line, api, algorithm) of calls whose root name is an import that nothing rebinds."""
-    try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError):
-        return []
-    bound: dict[str, str] = {}
-    rebound: set[str] = set()
-    nodes = list(ast.walk(tree))
-    for node in nodes:
-        if isinstance(node, ast.Import | ast.ImportFrom):
-            base = f"{node.module}." if isinstance(node, ast.ImportFrom) and node.module else ""
-            for a in node.names:
-                bound[a.asname or a.name.split(".")[0]] = base + a.name
-        elif isinstance(node, ast.Name) and isinstance(node.ctx, ast.Store | ast.Del):
-            rebound.add(node.id)
-        elif isinstance(node, ast.arg):
-            rebound.add(node.arg)
-    out = []
-    for node in nodes:
-        if isinstance(node, ast.Call) and isinstance(node.func, ast.Attribute) and isinstance(node.func.value, ast.Name):
-            root = node.func.value.id
-            api = f"{bound.get(root, '').rsplit('.', 1)[-1]}.{node.func.attr}"
-            if root in bound and root not in rebound and bound[root].startswith("cryptography.") and api in CALLS:
-                out.append((node.lineno, api, CALLS[api]))
-    return sorted(out)
-
-
-@query("""SELECT o_orderkey, 3 AS line, CASE o_orderkey % 4 WHEN 0 THEN 'rsa.generate_private_key' WHEN 1 THEN 'dsa.generate_private_key' WHEN 2 THEN 'ec.generate_private_key' ELSE 'dh.generate_parameters' END AS api,
-CASE o_orderkey % 4 WHEN 0 THEN 'RSA' WHEN 1 THEN 'DSA' WHEN 2 THEN 'ECC' ELSE 'DH' END AS algorithm FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0""")
-def python_ast_scan(spark, sf_dir):
-    k = F.col("o_orderkey")
-    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (k % 4 + 1).cast("int"))
-    module = pick("rsa", "dsa", "ec", "dh")
-    call = pick("generate_private_key", "generate_private_key", "generate_private_key", "generate_parameters")
-    # shadowed in a third of the files, mentioned in prose alone in a fifth
-    second = F.when(k % 3 == 0, F.concat(F.lit("m = object()"))).otherwise("'''rsa.generate_private_key()'''")
-    third = F.when(k % 5 == 0, F.lit("# m.generate_private_key()")).otherwise(F.concat(F.lit("x = m."), call, F.lit("(2048)")))
-    content = F.concat_ws("\n", F.concat(F.lit("from cryptography.hazmat.primitives.asymmetric import "), module, F.lit(" as m")), second, third)
-    files = table(spark, sf_dir, "orders").select("o_orderkey", content.alias("content"))
-    # a file without these words has no such call; the others are parsed
-    files = files.where(F.contains("content", F.lit("cryptography")) & F.contains("content", F.lit("generate_")))
-
-    def scan(batches):
-        for rows in batches:
-            out = [(key, *hit) for key, source in zip(rows["o_orderkey"], rows["content"], strict=True) for hit in imported_calls(source)]
-            yield pd.DataFrame(out, columns=["o_orderkey", "line", "api", "algorithm"])
-
-    return files.mapInPandas(scan, "o_orderkey long, line int, api string, algorithm string")
-
-
 # ---- findings to inventories --------------------------------------------------------------------
 
 
@@ -387,7 +330,7 @@ def label_disambiguation(spark, sf_dir):
 # ---- text, opinions, streams --------------------------------------------------------------------
 
 
-@query("""SELECT page_id, CASE WHEN v LIKE '=%' THEN '''' || v ELSE v END AS csv_cell, replace(replace(v, '|', '\\|'), chr(10), '<br>') AS md_cell FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '=' || url || '|x' ELSE url || chr(10) || '|' END AS v FROM pages)""")
+@query("""SELECT page_id, CASE WHEN v LIKE '=%' THEN '''' || v ELSE v END AS csv_cell, replace(replace(replace(replace(replace(v, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '\\|'), chr(10), ' ↵ ') AS md_cell FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN '=' || url || '|x' ELSE url || chr(10) || '|' END AS v FROM pages)""")
 def csv_guard_md_escape(spark, sf_dir):
     v = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("="), "url", F.lit("|x"))).otherwise(F.concat("url", F.lit("\n|")))
     return table(spark, sf_dir, "pages").select("page_id", v.alias("v")).select("page_id", text.csv_guard(F.col("v")).alias("csv_cell"), text.markdown_cell(F.col("v")).alias("md_cell"))

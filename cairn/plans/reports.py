@@ -18,17 +18,17 @@ def made(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), k.cast("string")).alias("source_id"), F.concat("source", F.lit(".py")).alias("file_name"), (F.col("n_chars") % 97).cast("int").alias("line"), evidence.alias("evidence"))
 
 
-@query(f"""WITH {MADE} SELECT source_id, coalesce(file_name, '') AS file_name, coalesce(CAST(line AS VARCHAR), '') AS line, '' AS algorithm, '' AS risk_level, '' AS detection_method, '' AS library, '' AS resolved_api, '''' || evidence AS evidence, '' AS reason, '' AS recommendation FROM made""")
+@query(f"""WITH {MADE} SELECT source_id, coalesce(file_name, '') AS file_name, coalesce(CAST(line AS VARCHAR), '') AS line, '' AS algorithm, '' AS risk_level, '未记录' AS detection_method, '' AS library, '' AS resolved_api, '''' || evidence AS evidence, '' AS reason, '' AS recommendation FROM made""")
 def csv_report(spark, sf_dir):
     return sinks.csv_rows(made(spark, sf_dir))
 
 
-@query(f"""WITH {MADE} SELECT file_name, line, '| ' || source_id || ' | ' || file_name || ' | ' || line || ' |  |  |  |  |  | ' || replace(replace(evidence, '|', '\\|'), chr(10), '<br>') || ' |  |  |' AS row FROM made""")
+@query(f"""WITH {MADE} SELECT file_name, line, '| ' || source_id || ' | ' || file_name || ' | ' || line || ' |  |  | 未记录 |  |  | ' || replace(replace(replace(replace(replace(evidence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '|', '\\|'), chr(10), ' ↵ ') || ' |  |  |' AS row FROM made""")
 def markdown_report(spark, sf_dir):
     return sinks.markdown_rows(made(spark, sf_dir))
 
 
-@query(f"""WITH {MADE} SELECT file_name, line, '<tr><td>' || source_id || '</td><td>' || file_name || '</td><td>' || line || '</td><td></td><td></td><td></td><td></td><td></td><td>' || replace(replace(replace(evidence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td></td><td></td></tr>' AS row FROM made""")
+@query(f"""WITH {MADE} SELECT file_name, line, '<tr><td>' || source_id || '</td><td>' || file_name || '</td><td>' || line || '</td><td></td><td></td><td>未记录</td><td></td><td></td><td>' || replace(replace(replace(evidence, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td><td></td><td></td></tr>' AS row FROM made""")
 def html_report(spark, sf_dir):
     return sinks.html_rows(made(spark, sf_dir))
 
@@ -50,7 +50,7 @@ def graded_claims(spark, sf_dir):
 
 
 @query("""SELECT p_brand AS origin, CAST(sum(n) AS BIGINT) AS findings, CAST(sum(CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS ssh, CAST(count_if(n = 0) AS BIGINT) AS clean FROM
-(SELECT p_brand, p_partkey, CAST(p_size % 5 <> 3 AS INT) + CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS n FROM part) GROUP BY 1""")
+(SELECT p_brand, p_partkey, CAST(p_size % 5 <> 3 AS INT) + CASE WHEN p_partkey % 3 = 0 THEN 1 ELSE 0 END + CASE WHEN p_partkey % 7 = 0 THEN 1 ELSE 0 END AS n FROM part) GROUP BY 1""")
 def file_distribution(spark, sf_dir):
     """Findings of each origin with its files without any: findings are counted a file before they meet the files."""
     corpus = config_corpus(spark, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.functions.catalogue import method_label
 from cairn.functions.text import csv_guard, html_text, markdown_cell
 
 # Columns of a report and their headings.
@@ -25,7 +26,8 @@ COLUMNS = [
 
 def cells(findings: DataFrame) -> dict[str, Column]:
     """Each report column as text; empty where a finding has no such column or no value."""
-    return {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("") for c, _ in COLUMNS}
+    out = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in findings.columns else F.lit("") for c, _ in COLUMNS}
+    return out | {"detection_method": method_label(out["detection_method"])}
 
 
 def csv_rows(findings: DataFrame) -> DataFrame:
@@ -46,8 +48,9 @@ def html_rows(findings: DataFrame) -> DataFrame:
 
 
 def write_csv(findings: DataFrame, path: str) -> None:
-    """A folder of CSV files, each with the headings."""
-    named = csv_rows(findings).toDF(*[label for _, label in COLUMNS])
+    """A folder of CSV files, each with the headings after a byte order mark."""
+    labels = [label for _, label in COLUMNS]
+    named = csv_rows(findings).toDF("\ufeff" + labels[0], *labels[1:])
     named.write.mode("overwrite").option("header", "true").option("escape", '"').option("emptyValue", "").csv(path)
 
 

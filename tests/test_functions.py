@@ -2,9 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from cairn.functions import rules, text
+from cairn.functions import rules, syntax, text
 from cairn.operators import findings, sequences
-from cairn.plans.catalog import imported_calls
 from cairn.sources.readers import folder
 
 
@@ -25,7 +24,7 @@ def test_escapes(spark):
     assert one(spark, text.csv_guard(F.col("v")), v=" =1+1") == "' =1+1"
     assert one(spark, text.csv_guard(F.col("v")), v="\t@x") == "'\t@x"
     assert one(spark, text.csv_guard(F.col("v")), v="a=1") == "a=1"
-    assert one(spark, text.markdown_cell(F.col("v")), v="a|b\nc") == "a\\|b<br>c"
+    assert one(spark, text.markdown_cell(F.col("v")), v="a|b\nc<") == "a\\|b ↵ c&lt;"
     assert one(spark, text.html_text(F.col("v")), v="<a b='c'>&") == "&lt;a b=&#x27;c&#x27;&gt;&amp;"
     assert one(spark, text.fence(F.col("v")), v="x ```` y") == "`````"
     assert one(spark, text.redact(F.col("v")), v='ftp://me:pw@host token = "abc"') == 'ftp://[REDACTED]@host token = "[REDACTED]"'
@@ -33,15 +32,17 @@ def test_escapes(spark):
 
 def test_imported_calls():
     head = "from cryptography.hazmat.primitives.asymmetric import rsa\n"
-    assert imported_calls(head + "rsa.generate_private_key(65537, 2048)") == [(2, "rsa.generate_private_key", "RSA")]
-    assert imported_calls(head + "rsa = None\nrsa.generate_private_key()") == []
-    assert imported_calls("service.rsa.generate_private_key()") == []
-    assert imported_calls("def broken(:") == []
+    calls = lambda source: [f for f in syntax.python_facts(source) if f[0] in ("call", "curved")]
+    assert calls(head + "rsa.generate_private_key(65537, 2048)") == [("curved", 2, "rsa.generate_private_key", "cryptography.hazmat.primitives.asymmetric.rsa.generate_private_key")]
+    assert calls(head + "rsa = None\nrsa.generate_private_key()") == []
+    assert calls("service.rsa.generate_private_key()") == []
+    assert calls("def broken(:") == []
 
 
 def test_config_scan_of_empty_and_null(spark):
-    src = spark.createDataFrame([("a.yaml", ""), ("b.yaml", None), ("c.yaml", "alg: [RS256, ES256]\nnotes: RS256")], "file_name string, content string")
-    assert sorted((r.file_name, r.line, r.algorithm) for r in findings.scan_config(src).collect()) == [("c.yaml", 1, "ECDSA"), ("c.yaml", 1, "RSA")]
+    text_ = "alg: 'RS256'; # ES256\r\nkeys: [RS256, ES256]\u2028tls-key = ES256\nnotes: RS256\ncipher: \"a # b\"\njwt: 'x' # RS256"
+    src = spark.createDataFrame([("a.yaml", ""), ("b.yaml", None), ("c.yaml", text_)], "file_name string, content string")
+    assert sorted((r.file_name, r.line, r.algorithm) for r in findings.scan_config(src).collect()) == [("c.yaml", 1, "RSA"), ("c.yaml", 3, "ECDSA")]
 
 
 def test_budgets_differ(spark):
