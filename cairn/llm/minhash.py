@@ -18,6 +18,8 @@ ROWS, BANDS = 6, 21
 COORDINATES = ROWS * BANDS
 #: Leaders of a bucket after the second round; each round has eight times as many.
 MORE_LEADERS = 16
+#: Whether two classes share no band before the one in which they meet: a pair is compared once, in that band.
+FIRST_BAND = "array_position(zip_with(bands, lbands, (x, y) -> x = y), true) = band + 1"
 
 
 class Circulant:
@@ -157,8 +159,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -
         if not rest.limit(1).count():
             break
         of = roots.select(F.col("node").alias("lc"), F.col("root").alias("found"))
-        lead = _leaders(live, low, high).join(of, "lc", "left").withColumn("lroot", F.coalesce("found", "lc"))
-        more = materialize(_verified(_held_against(rest, lead, percent, "root != lroot").distinct(), sets, percent), "verified")
+        lead = _leaders(live, low, high).join(of, "lc", "left").withColumn("lroot", F.coalesce("found", "lc")).join(classes.select(F.col("class_id").alias("lc"), F.col("bands").alias("lbands")), "lc")
+        pairs = _held_against(rest.join(classes.select("class_id", "bands"), "class_id"), lead, percent, f"root != lroot and {FIRST_BAND}")
+        more = materialize(_verified(pairs.distinct(), sets, percent), "verified")
         if more.limit(1).count():
             good = good.unionByName(more)
             roots = materialize(star_roots(good), "roots")
