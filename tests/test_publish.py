@@ -1,6 +1,7 @@
 """Streams of results: once each, whole files, an end that holds, versions that only rise."""
 
 import json
+import os
 
 from cairn.streaming import publish
 from cairn.streaming.scan import windowed_counts
@@ -11,6 +12,7 @@ SCHEMA = "task_id string, version long, state string"
 def feed(folder, number, rows):
     folder.mkdir(exist_ok=True)
     (folder / f"{number}.json").write_text("\n".join(json.dumps(r) for r in rows))
+    os.utime(folder / f"{number}.json", (1_700_000_000 + 10 * number,) * 2)  # read in this order
 
 
 def test_states_freeze_at_the_end_and_never_go_back(spark, tmp_path):
@@ -50,7 +52,8 @@ def test_windowed_counts(spark, tmp_path):
     """Windows come out once, when rows of them can't come any more; a row that is later than that is left out."""
     into = tmp_path / "in"
     feed(into, 1, [{"ts": "2024-01-01T00:10:00", "event_type": "x"}, {"ts": "2024-01-01T00:20:00", "event_type": "x"}, {"ts": "2024-01-01T03:00:00", "event_type": "y"}])
-    feed(into, 2, [{"ts": "2024-01-01T00:30:00", "event_type": "x"}, {"ts": "2024-01-01T05:00:00", "event_type": "y"}])
+    feed(into, 2, [{"ts": "2024-01-01T05:00:00", "event_type": "y"}])
+    feed(into, 3, [{"ts": "2024-01-01T00:30:00", "event_type": "x"}])
     stream = spark.readStream.schema("ts timestamp, event_type string").option("maxFilesPerTrigger", 1).json(str(into))
     windowed_counts(stream, late="1 hour").writeStream.format("memory").queryName("windows").outputMode("append").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/w").start().awaitTermination()
     got = {(str(r.start), r.event_type): r.n for r in spark.table("windows").collect()}
