@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.functions import rules, text
+from cairn.operators import checks
 from cairn.operators import findings as fin
 from cairn.operators import sequences as seq
 from cairn.plans import choices, files, integrated, reports, scans, symbols, views  # noqa: F401 - they register their queries
@@ -301,7 +302,7 @@ UNION ALL SELECT 'unproven', o_orderkey FROM (SELECT o_orderkey FROM orders WHER
 def set_diff_edges(spark, sf_dir):
     need = table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("k")).distinct()
     have = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select(F.col("o_orderkey").alias("k"))
-    return need.join(have, "k", "left_anti").select(F.lit("missing").alias("side"), "k").unionByName(have.join(need, "k", "left_anti").select(F.lit("unproven").alias("side"), "k"))
+    return checks.set_differences(need, have, ["k"])
 
 
 @query("""SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS files FROM lineitem GROUP BY ALL""")
@@ -310,12 +311,10 @@ def migration_tasks(spark, sf_dir):
 
 
 @query("""WITH a AS (SELECT DISTINCT l_returnflag AS migration, CAST(l_linenumber AS VARCHAR) AS action FROM lineitem WHERE l_returnflag <> 'R' OR l_linenumber < 4)
-SELECT action, count(*) = (SELECT count(DISTINCT migration) FROM a) AS shared FROM a GROUP BY action""")
+SELECT action, count(*) = (SELECT count(DISTINCT migration) FROM a) AS shared, CASE WHEN count(*) < (SELECT count(DISTINCT migration) FROM a) THEN string_agg(migration, ',' ORDER BY migration) END AS items FROM a GROUP BY action""")
 def shared_actions(spark, sf_dir):
     a = table(spark, sf_dir, "lineitem").where("l_returnflag != 'R' or l_linenumber < 4").select(F.col("l_returnflag").alias("migration"), F.col("l_linenumber").cast("string").alias("action")).distinct()
-    total = a.agg(F.countDistinct("migration").alias("total"))
-    by = a.groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.collect_set("migration").alias("m"))
-    return by.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one").select("action", (F.col("n") == F.col("total")).alias("shared"))
+    return checks.shared_and_own(a, "migration", "action").select("action", "shared", F.array_join("items", ",").alias("items"))
 
 
 @query("""SELECT c_custkey, CASE WHEN n = 1 THEN name WHEN m = 1 THEN name || ' · ' || suffix ELSE name || ' · ' || id END AS label FROM (SELECT c_custkey, name, id, suffix, count(*) OVER (PARTITION BY name) AS n, count(*) OVER (PARTITION BY name, suffix) AS m

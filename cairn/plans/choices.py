@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cairn.functions import rules
+from cairn.functions import names, redaction, rules
+from cairn.operators import checks
 from cairn.operators import selection as sel
 from cairn.operators import sequences as seq
 from cairn.plans.registry import query
-from cairn.sources.readers import config_corpus, table
+from cairn.sources.readers import table
 
 # ---- shares and lanes ---------------------------------------------------------------------------
 
@@ -83,10 +84,9 @@ def resolved_calls(spark, sf_dir):
 SELECT doc_id, CASE WHEN f.doc_id IS NULL THEN 'missing_file' WHEN m.doc_id IS NULL THEN 'not_listed' WHEN want IS DISTINCT FROM have THEN 'digest_differs' ELSE 'ok' END AS status FROM m FULL JOIN f USING (doc_id)""")
 def manifest_check(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("have"))
-    f = d.where("doc_id % 5 != 0").withColumn("in_f", F.lit(True))
-    m = d.where("doc_id % 3 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("have")).alias("want"), F.lit(True).alias("in_m"))
-    status = F.when(F.col("in_f").isNull(), "missing_file").when(F.col("in_m").isNull(), "not_listed").when(~F.col("want").eqNullSafe(F.col("have")), "digest_differs").otherwise("ok")
-    return m.join(f, "doc_id", "full").select("doc_id", status.alias("status"))
+    f = d.where("doc_id % 5 != 0")
+    m = d.where("doc_id % 3 != 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("have")).alias("want"))
+    return checks.check_manifest(m, f, "doc_id", "want", "have")
 
 
 @query("""WITH g AS (SELECT l_suppkey, l_linenumber, count(*) AS a FROM lineitem WHERE l_linestatus = 'F' GROUP BY ALL), p AS (SELECT l_suppkey, l_linenumber, count(*) AS b FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL)
@@ -106,11 +106,10 @@ def multiset_intersection(spark, sf_dir):
 @query("""SELECT 'order_customer' AS reference, count(*) AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)
 UNION ALL SELECT 'line_order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P')""")
 def broken_references(spark, sf_dir):
-    missing = lambda rows, key, held, name: rows.join(held, key, "left_anti").agg(F.count("*").alias("orphans")).select(F.lit(name).alias("reference"), "orphans")
-    customers = table(spark, sf_dir, "customer").where("c_custkey % 10 != 0").select(F.col("c_custkey").alias("k"))
+    customers = table(spark, sf_dir, "customer").where("c_custkey % 10 != 0")
     orders = table(spark, sf_dir, "orders")
-    one = missing(orders.select(F.col("o_custkey").alias("k")), "k", customers, "order_customer")
-    return one.unionByName(missing(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k", orders.where("o_orderstatus != 'P'").select(F.col("o_orderkey").alias("k")), "line_order"))
+    one = checks.orphans(orders, "o_custkey", customers, "c_custkey", "order_customer")
+    return one.unionByName(checks.orphans(table(spark, sf_dir, "lineitem"), "l_orderkey", orders.where("o_orderstatus != 'P'"), "o_orderkey", "line_order"))
 
 
 @query("""WITH p AS (SELECT CASE WHEN p_partkey % 31 = 0 THEN 'pkg' || p_size ELSE (CASE WHEN p_partkey % 2 = 0 THEN 'Pkg' ELSE 'pkg' END) || p_size || '/m' || p_partkey % 400 END AS path FROM part), f AS (SELECT lower(path) AS folded, count(*) AS n FROM p GROUP BY 1)
@@ -142,9 +141,7 @@ def retention(spark, sf_dir):
 def idempotent_submission(spark, sf_dir):
     """The first request of an id is accepted; later ones give the same job if they ask the same, else conflict."""
     e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", F.floor("value").cast("long").alias("request"))
-    first = e.groupBy("user_id", "request").agg(F.min(F.struct("event_id", "event_type")).alias("f"))
-    same = F.when(F.col("event_id") == F.col("f.event_id"), "accepted").when(F.col("event_type") == F.col("f.event_type"), "same_job").otherwise("conflict")
-    return e.join(first, ["user_id", "request"]).select("event_id", same.alias("answer"))
+    return checks.answered(e, ["user_id", "request"], "event_id", "event_type").select("event_id", "answer")
 
 
 @query("""SELECT l_suppkey, count(*) AS findings, count(*) > 20 AS truncated, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS algorithms FROM lineitem GROUP BY l_suppkey""")
@@ -211,11 +208,13 @@ def priorities(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").orderBy((F.col("l_returnflag") == "R").desc(), (F.col("l_tax") == 0).desc(), "l_orderkey", "l_linenumber").limit(3).select("l_orderkey", "l_linenumber")
 
 
-@query("""SELECT p_size AS project, p_partkey, r AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY p_size ORDER BY p_partkey % 4 <> 0, p_partkey % 3 <> 0, p_name, p_partkey) AS INT) AS r FROM part WHERE p_partkey % 11 <> 0) WHERE r <= 3""")
+@query("""WITH f AS (SELECT p_size AS project, p_partkey, 'p-' || p_partkey || CASE p_partkey % 4 WHEN 0 THEN '.tar.gz' WHEN 1 THEN '-py3-none-any.whl' WHEN 2 THEN '-cp39.whl' ELSE '.exe' END AS name FROM part WHERE p_partkey % 11 <> 0 AND p_retailprice <= 1500)
+SELECT project, p_partkey, r AS rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY NOT ends_with(name, '.tar.gz'), NOT contains(name, 'py3-none-any'), name) AS INT) AS r FROM f) WHERE r <= 3""")
 def release_rank(spark, sf_dir):
     k = F.col("p_partkey")
-    w = Window.partitionBy("p_size").orderBy(k % 4 != 0, k % 3 != 0, "p_name", "p_partkey")
-    return table(spark, sf_dir, "part").where(k % 11 != 0).withColumn("rank", F.row_number().over(w)).where("rank <= 3").select(F.col("p_size").alias("project"), "p_partkey", "rank")
+    name = F.concat(F.lit("p-"), k.cast("string"), F.element_at(F.array(*map(F.lit, (".tar.gz", "-py3-none-any.whl", "-cp39.whl", ".exe"))), (k % 4 + 1).cast("int")))
+    files = table(spark, sf_dir, "part").select(F.col("p_size").alias("project"), "p_partkey", name.alias("name"), "p_retailprice")
+    return checks.ranked_releases(files, "project", "name", k % 11 == 0, F.col("p_retailprice"), 1500).select("project", "p_partkey", "rank")
 
 
 @query("""WITH s AS (SELECT l_orderkey, l_linenumber, l_suppkey AS place, lead(l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS next FROM lineitem)
@@ -259,8 +258,34 @@ def zero_filled_matrix(spark, sf_dir):
     return m.na.fill(0).select("level", F.col("F").alias("f"), F.col("O").alias("o"), F.col("X").alias("x"))
 
 
-@query("""SELECT 'f' || p_partkey || '.yaml' AS file_name, CAST(p_partkey % 3 = 0 AS INT) AS hint FROM part ORDER BY p_partkey % 3 = 0 DESC, file_name LIMIT 100""")
+@query("""WITH f AS (SELECT ['crypto/', 'src/', 'docs/'][p_partkey % 3 + 1] || 'm' || p_partkey || CASE WHEN p_partkey % 2 = 0 THEN '.py' ELSE '.go' END AS path FROM part) SELECT path FROM f ORDER BY NOT starts_with(path, 'crypto'), NOT ends_with(path, '.py'), path LIMIT 100""")
 def source_priority(spark, sf_dir):
-    """Files that speak of keys first, then by name; a top-k, so nothing is sorted whole."""
-    c = config_corpus(spark, sf_dir).select("file_name", F.contains("content", F.lit("sshHostKey")).cast("int").alias("hint"))
-    return c.orderBy(F.desc("hint"), "file_name").limit(100)
+    """Paths that speak of cryptography first, then Python, then by path; a top-k, so nothing is sorted whole."""
+    k = F.col("p_partkey")
+    path = F.concat(F.element_at(F.array(*map(F.lit, ("crypto/", "src/", "docs/"))), (k % 3 + 1).cast("int")), F.lit("m"), k.cast("string"), F.when(k % 2 == 0, ".py").otherwise(".go"))
+    return checks.prioritised(table(spark, sf_dir, "part").select(path.alias("path")), "path", names.crypto_named(F.col("path"), [])).orderBy("priority").limit(100).select("path")
+
+
+@query("""SELECT c_custkey, c_acctbal AS stars FROM customer WHERE c_custkey % 4 = 0 AND c_mktsegment = 'BUILDING' ORDER BY c_acctbal DESC, c_name LIMIT 30""")
+def popular_repositories(spark, sf_dir):
+    """The repositories of a topic and language with the most stars, thirty at most."""
+    c = table(spark, sf_dir, "customer").withColumn("topics", F.when(F.col("c_custkey") % 4 == 0, F.array(F.lit("cryptography"), F.lit("x"))).otherwise(F.array(F.lit("x"))))
+    return checks.popular(c, "cryptography", "Building", 50, languages="c_mktsegment", stars="c_acctbal", name="c_name").select("c_custkey", F.col("c_acctbal").alias("stars"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'blank' WHEN doc_id % 7 = 0 THEN 'name_too_long' WHEN octet_length(encode(text)) > 4000 THEN 'too_large' END AS reason FROM documents""")
+def snippet_checks(spark, sf_dir):
+    """Why snippets aren't taken: blank ones, long names, long texts."""
+    k = F.col("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 5 == 0, "  ").otherwise(F.col("text")).alias("content"), F.repeat(F.lit("n"), F.when(k % 7 == 0, 241).otherwise(240)).alias("name"))
+    return d.select("doc_id", checks.snippet_faults(F.col("name"), F.col("content"), most_bytes=4000).alias("reason"))
+
+
+@query("""SELECT c_custkey, i AS line, CASE i WHEN 1 THEN 'db_password = "[REDACTED]" # x' WHEN 2 THEN '-----BEGIN RSA PRIVATE KEY----- [REDACTED]' WHEN 3 THEN '[REDACTED PEM BODY]' WHEN 4 THEN '-----END RSA PRIVATE KEY-----' WHEN 5 THEN 'secret: "[REDACTED]"'
+WHEN 6 THEN '[REDACTED SECRET]' WHEN 7 THEN 'name: c' || c_custkey WHEN 8 THEN 'api_key = load("[REDACTED]", algorithm="RS256")' WHEN 9 THEN 'see https://[REDACTED]@host/c and [REDACTED TOKEN]' WHEN 10 THEN 'key = "[REDACTED]"' WHEN 11 THEN '[REDACTED SECRET]' ELSE 'end' END AS text FROM customer, range(1, 13) t(i)""")
+def redacted_lines(spark, sf_dir):
+    """Lines without secrets: key blocks, YAML blocks, quotes over lines, assignments, calls, tokens, credentials."""
+    lines = ['db_password = "x{k}" # x', "-----BEGIN RSA PRIVATE KEY-----", "AA{k}", "-----END RSA PRIVATE KEY-----", "secret: |", "    s{k}", "name: c{k}", 'api_key = load("{k}", algorithm="RS256")', "see https://me:{k}@host/c and ghp_0123456789abc", 'key = """a{k}', 'b"""', "end"]
+    text = F.replace(F.lit("\n".join(lines)), F.lit("{k}"), F.col("c_custkey").cast("string"))
+    masked = table(spark, sf_dir, "customer").select("c_custkey", redaction.redacted(text).alias("lines"))
+    return masked.select("c_custkey", F.posexplode("lines").alias("line", "text")).withColumn("line", (F.col("line") + 1).cast("long"))
