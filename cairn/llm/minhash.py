@@ -5,7 +5,8 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import WORD, materialize, mix64, shingle_hashes, small_batches, table, utf8_rows, word_hashes
@@ -16,10 +17,8 @@ CIRCLE = 1 << 20
 #: Rows of a band and bands: two sets of Jaccard 0.85 meet in a band with probability 0.99996, of 0.8 with 0.9984.
 ROWS, BANDS = 6, 21
 COORDINATES = ROWS * BANDS
-#: Leaders of a bucket after the second round; each round has eight times as many.
-MORE_LEADERS = 16
-#: Whether two classes share no band before the one in which they meet: a pair is compared once, in that band.
-FIRST_BAND = "array_position(zip_with(bands, lbands, (x, y) -> x = y), true) = band + 1"
+#: Classes of a bucket that are compared with each other, or with as many others, in one task.
+TILE = 256
 
 
 class Circulant:
@@ -119,10 +118,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -
     expanded. Classes meet in bands. The members of a band bucket are first
     held against one leader, the class with the least share of shingles of its
     own, which is the middle of a group of copies: most of a large group joins
-    by a number of comparisons linear in its size. Where members are in
-    different components still they are held against more leaders, 16 and
-    then eight times as many in each round, until each was a leader or all are
-    in one component: no link that the bands bring up is lost. Shingles that one class alone holds bound its
+    by a number of comparisons linear in its size. Members that are in
+    different components still are compared tile by tile, so no link that the
+    bands bring up is lost. Shingles that one class alone holds bound its
     overlap with any other; pairs that this rules out are never made.
 
     Null and empty texts and texts without words have no shingles and link
@@ -148,24 +146,14 @@ def near_duplicates(docs: DataFrame, percent: int = 80, shingle_size: int = 5) -
     own = materialize(_own_shingles(sets.join(big.select("class_id").distinct(), "class_id", "left_semi")), "own")
     # what a class alone holds is in no intersection: too much of it, and no link can be
     live = materialize(big.join(own, "class_id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(100 * (F.col("n") - F.col("own")) >= percent * F.col("n")), "live")
-    stars = _held_against(live, _leaders(live, 0, 1), percent)
+    stars = _held_against(live, _leaders(live), percent)
     good = materialize(_verified(twos.unionByName(stars).distinct(), sets, percent), "verified")
     roots = materialize(star_roots(good), "roots")
 
-    # more leaders, for the members of buckets that are in different components still
-    low, high = 1, MORE_LEADERS
-    while True:
-        rest = materialize(_unsettled(live, roots, low), "open")
-        if not rest.limit(1).count():
-            break
-        of = roots.select(F.col("node").alias("lc"), F.col("root").alias("found"))
-        lead = _leaders(live, low, high).join(of, "lc", "left").withColumn("lroot", F.coalesce("found", "lc")).join(classes.select(F.col("class_id").alias("lc"), F.col("bands").alias("lbands")), "lc")
-        pairs = _held_against(rest.join(classes.select("class_id", "bands"), "class_id"), lead, percent, f"root != lroot and {FIRST_BAND}")
-        more = materialize(_verified(pairs.distinct(), sets, percent), "verified")
-        if more.limit(1).count():
-            good = good.unionByName(more)
-            roots = materialize(star_roots(good), "roots")
-        low, high = high, high * 8
+    # what the leaders leave in different components is compared tile by tile
+    more = materialize(_tile_links(_unsettled(live, roots), classes, sets, percent), "verified")
+    if more.limit(1).count():
+        roots = materialize(star_roots(good.unionByName(more)), "roots")
 
     of = classes.select("class_id", "least_id").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     least = of.groupBy("root").agg(F.min("least_id").alias("component_id"))
@@ -190,26 +178,79 @@ def _can_link(n_u: str, own_u: str, n_v: str, own_v: str, percent: int):
     return 100 * most >= percent * (F.col(n_u) + F.col(n_v) - most)
 
 
-def _leaders(live: DataFrame, low: int, high: int) -> DataFrame:
-    """bucket, lc, ln and lo of the leaders after the first `low` and up to `high` of each bucket: least share of shingles of their own first."""
-    place = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("own") / F.col("n"), "class_id"))
-    return live.withColumn("place", place).where(F.col("place") <= high).where(F.col("place") > low).select("bucket", F.col("class_id").alias("lc"), F.col("n").alias("ln"), F.col("own").alias("lo"))
+def _leaders(live: DataFrame) -> DataFrame:
+    """bucket, lc, ln and lo of the leader of each bucket: the class with the least share of shingles of its own."""
+    by = F.struct((F.col("own") / F.col("n")).alias("share"), "class_id", "n", "own")
+    return live.groupBy("bucket").agg(F.min(by).alias("l")).select("bucket", F.col("l.class_id").alias("lc"), F.col("l.n").alias("ln"), F.col("l.own").alias("lo"))
 
 
-def _held_against(members: DataFrame, leaders: DataFrame, percent: int, also: str = "true") -> DataFrame:
-    """(u, v) of each member with each leader of its bucket, if the shingles that they hold alone leave room for a link."""
-    near = members.join(leaders, "bucket").where("class_id != lc").where(_can_link("n", "own", "ln", "lo", percent)).where(also)
+def _held_against(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
+    """(u, v) of each member with the leader of its bucket, if the shingles that they hold alone leave room for a link."""
+    near = members.join(leaders, "bucket").where("class_id != lc").where(_can_link("n", "own", "ln", "lo", percent))
     return near.select(F.least("class_id", "lc").alias("u"), F.greatest("class_id", "lc").alias("v"))
 
 
-def _unsettled(live: DataFrame, roots: DataFrame, led: int) -> DataFrame:
-    """Members, with root, that weren't among the first `led` leaders of their bucket, where these are in more than one component."""
-    done = _leaders(live, 0, led).select("bucket", F.col("lc").alias("class_id"))
+def _unsettled(live: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with root, that aren't the leader of their bucket, where these are in more than one component."""
+    done = _leaders(live).select("bucket", F.col("lc").alias("class_id"))
     at = live.join(done, ["bucket", "class_id"], "left_anti").join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left").withColumn("root", F.coalesce("root", "class_id"))
     open_ = at.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least != most").select("bucket")
     return at.join(open_, "bucket", "left_semi")
 
 
+def _overlaps(rows: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """The sizes of the intersections of each of some sets with each of others."""
+    flat = np.concatenate(others)
+    owner = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(rows), len(others)), np.int64)
+    for i, s in enumerate(rows):
+        low, high = np.searchsorted(flat, s, "left"), np.searchsorted(flat, s, "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[i] = np.bincount(owner[at], minlength=len(others))
+    return out
+
+
+def _tile_links(rest: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between different components within buckets.
+
+    A bucket is cut into tiles of about TILE classes, and every two of them
+    meet in a task, which counts the overlaps of the whole sets and gives the
+    links alone: sets travel once for each tile of their bucket, pairs don't
+    travel. A pair is counted in the first band that it shares.
+    """
+    rest = materialize(rest, "open")
+    tiles = rest.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("tiles"))
+    own = F.pmod(F.xxhash64("class_id"), F.col("tiles"))
+    met = rest.join(tiles, "bucket").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    met = materialize(met.select("bucket", "band", "class_id", "root", "n", "own", F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b"), "tile"), "tiles")
+    bundles = max(1, -(-met.count() // (2 * TILE)))
+    full = met.join(classes.select("class_id", "bands"), "class_id").join(sets, "class_id").withColumn("bundle", F.pmod(F.xxhash64("bucket", "a", "b"), F.lit(bundles)))
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for (_, a, b), part in rows.groupby(["bucket", "a", "b"], sort=False):
+            left, right = (part[part["tile"] == k] for k in (a, b))
+            if not len(left) or not len(right):
+                continue
+            common = _overlaps(list(left["shingles"]), list(right["shingles"]))
+            sizes = left["n"].to_numpy()[:, None] + right["n"].to_numpy()[None, :] - common
+            near = 100 * common >= percent * sizes
+            roots = pd.factorize(pd.concat([left["root"], right["root"]]))[0]
+            near &= roots[: len(left), None] != roots[None, len(left) :]
+            u, v = np.nonzero(near)
+            ids, others, bands, more = left["class_id"].to_numpy(), right["class_id"].to_numpy(), left["bands"].to_numpy(), right["bands"].to_numpy()
+            at = int(part["band"].iloc[0])
+            for i, j in zip(u.tolist(), v.tolist(), strict=True):
+                if ids[i] != others[j] and int(np.argmax(np.asarray(bands[i]) == np.asarray(more[j]))) == at:
+                    found.append((min(ids[i], others[j]), max(ids[i], others[j])))
+        return pd.DataFrame(found, columns=["u", "v"], dtype=object)
+
+    return full.groupBy("bundle").applyInPandas(compare, "u binary, v binary").distinct()
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """near_duplicates() of all documents at 85%; nulls, ties, repeated rows and empty tables as stated there."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("class_id", "root", "t")
