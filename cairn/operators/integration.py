@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.catalogue import canonical, direction_references, direction_targets, purpose_label
 from cairn.functions.rules import PROFILES, profiles
+from cairn.operators.steps import settled
 
 # Texts of rows that aren't confirmed.
 OPEN_ALGORITHM, TO_REVIEW, ASSESSED = "算法待确认", "待复核", "AI研判"
@@ -67,11 +68,11 @@ def integrate_operations(findings: DataFrame, operations: DataFrame) -> DataFram
     ops = ops.where(~neutral).drop("_known")
     rows = findings.withColumn("algorithm", canonical(F.col("algorithm")))
     may = ops.where(F.col("proven") | (F.col("context_kind") == TEMPLATE))
-    direct = pair_unique(may, rows, ["source_id", "line", "algorithm"])
+    direct = settled(pair_unique(may, rows, ["source_id", "line", "algorithm"]))
     several = rows.groupBy("source_id", "line", "algorithm").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").drop("_n")
     left = may.where(F.col("context_kind") == TEMPLATE).join(direct, "operation_id", "left_anti").join(several, ["source_id", "line", "algorithm"], "left_anti").withColumn("resolved_api", F.col("api"))
     second = pair_unique(left, rows.join(direct.select("finding_id"), "finding_id", "left_anti"), ["source_id", "line", "resolved_api"])
-    taken = direct.unionByName(second)
+    taken = settled(direct.unionByName(second))
     kind = F.when(F.coalesce(F.col("levels")["OPERATION_TYPE"], F.lit("")) == "E3", F.col("operation_type")).otherwise("unknown")
     facts = ops.select("operation_id", kind.alias("_kind"), "proven")
     old = findings.join(taken, "finding_id", "left").join(facts, "operation_id", "left")
@@ -107,8 +108,10 @@ def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = N
         known = neutral.select(F.col("operation_id").cast("string").alias("ref"), F.lit(1).alias("_one"))
         only = refs.join(known, "ref", "left").groupBy("opinion_id").agg(F.count(F.lit(1)).alias("n"), F.count("_one").alias("neutral")).where("n = neutral")
         live = live.join(only, "opinion_id", "left_anti")
+    # rows, opinions and links are read several times below
+    rows, live = settled(rows), settled(live)
     named = rows.select(F.col("finding_id").alias("row_id"), F.col("finding_id").alias("ref")).unionByName(rows.where("operation_id is not null").select(F.col("finding_id").alias("row_id"), F.col("operation_id").cast("string").alias("ref")))
-    by_ref = live.select("opinion_id", F.explode("refs").alias("ref")).join(named, "ref").select("opinion_id", "row_id").distinct()
+    by_ref = settled(live.select("opinion_id", F.explode("refs").alias("ref")).join(named, "ref").select("opinion_id", "row_id").distinct())
     free = live.join(by_ref, "opinion_id", "left_anti")
     # opinions on one place without a row make one: the first is its row, the others attach to it
     pending = rows.where("verification_status = 'pending'").groupBy("source_id", "line").agg(F.min("finding_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
@@ -121,7 +124,7 @@ def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = N
         F.when(F.col("algorithm") == "unknown", OPEN_ALGORITHM).otherwise(canonical(F.col("algorithm"))).alias("algorithm"), F.lit("unknown").alias("purpose_code"), F.lit("pending").alias("verification_status"), F.lit("ai").alias("origin"), F.lit(None).cast(rows.schema["operation_id"].dataType).alias("operation_id"),
     )
     links = by_ref.unionByName(placed.where("row_id is not null and n = 1").select("opinion_id", "row_id")).unionByName(alone)
-    everything = rows.unionByName(made)
+    everything = settled(rows.unionByName(made))
     said = links.join(everything.select(F.col("finding_id").alias("row_id"), F.col("algorithm").alias("row_algorithm")), "row_id").join(live, "opinion_id")
     why = adoption(F.col("algorithm"), F.col("row_algorithm"), F.col("kind"), F.col("conflict"), F.col("gaps"), F.col("valid"), F.col("anchored"), F.col("basis"), F.col("scope_reason"))
     said = said.withColumn("reason", why).withColumn("ok", F.col("reason") == "evidence_based_ai_judgment")
