@@ -2,29 +2,52 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.operators.steps import settled
 
-def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows of each group before the running size first passes the budget."""
-    by = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("running", F.sum(size).over(by)).where(F.col("running") <= budget)
 
+def _ranges(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with the number of their range of (group, order), fixed by a checkpoint; a large group spans several ranges."""
+    return settled(rows.repartitionByRange(group, *order).withColumn("_range", F.spark_partition_id()))
 
-def greedy_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Rows that fit when those that don't are skipped: sequential in a group, so a task for each group."""
 
-    def take(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(order, kind="stable")
-        used, keep = 0, []
-        for s in part[size].fillna(0):
-            keep.append(used + s <= budget)
-            used += s if keep[-1] else 0
-        return part[keep]
+def _running(ranged: DataFrame, group: str, order: list[str], size: str) -> DataFrame:
+    """Adds running, the sum of sizes up to each row of its group: the ranges before, which are few rows, and the rows before in its own."""
+    n = F.coalesce(F.col(size), F.lit(0))
+    per = ranged.groupBy(F.col(group).alias("_g"), F.col("_range").alias("_r")).agg(F.sum(n).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_g").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = F.sum(n).over(Window.partitionBy(group, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = ranged.withColumn("_in", inside).join(per.withColumn("_before", before), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_r")))
+    return joined.withColumn("running", F.col("_before") + F.col("_in")).drop("_g", "_r", "_n", "_before", "_in")
 
-    return rows.groupBy(group).applyInPandas(take, rows.schema)
+
+def within_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Rows of each group before the running size first passes the budget; null sizes count as 0."""
+    return _running(_ranges(rows, group, order), group, order, size).where(F.col("running") <= budget).drop("_range")
+
+
+def greedy_budget(rows: DataFrame, group: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Rows that fit when those that don't are skipped; null sizes count as 0.
+
+    Each round takes the rows before the budget is first passed, and leaves
+    out those after them that are larger than what is left of it, until no row
+    is left. A round takes a row of each group that has one, and mostly many;
+    all of them are sums over ranges, so no group is read by one task.
+    """
+    n = F.coalesce(F.col(size), F.lit(0))
+    left = _ranges(rows, group, order).withColumn("_left", F.lit(budget).cast("long")).where(n <= F.col("_left"))
+    kept = rows.where("false")
+    while True:
+        summed = settled(_running(left, group, order, size))
+        taken = summed.where(F.col("running") <= F.col("_left"))
+        kept = kept.unionByName(taken.select(*rows.columns))
+        used = taken.groupBy(F.col(group).alias("_g")).agg(F.sum(n).alias("_used"))
+        rest = summed.where(F.col("running") > F.col("_left")).join(used, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_left", F.col("_left") - F.col("_used"))
+        left = settled(rest.where(n <= F.col("_left")).drop("_g", "_used", "running"))
+        if not left.limit(1).count():
+            return kept
 
 
 def interleave(rows: DataFrame, group: str, order: list[str], most: int) -> DataFrame:

@@ -1,5 +1,7 @@
 """Functions and scanners on small cases of their own."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from cairn.functions import rules, syntax, text
@@ -51,6 +53,23 @@ def test_budgets_differ(spark):
     assert [r.i for r in sequences.greedy_budget(rows, "g", ["i"], "n", 10).orderBy("i").collect()] == [0, 2]
 
 
+def test_greedy_budget_against_a_loop(spark):
+    """Groups of all sizes, a null group, null sizes and repeated places, as one loop over each group would take them."""
+    rng = random.Random(3)
+    data = [(rng.choice(["a", "a", "a", "b", None]), i, rng.choice([None, 0, *range(1, 60)])) for i in range(400)]
+    want: dict = {}
+    for g, i, n in data:
+        taken = want.setdefault(g, [0, []])
+        if taken[0] + (n or 0) <= 200:
+            taken[0] += n or 0
+            taken[1].append(i)
+    rows = spark.createDataFrame(data, "g string, i int, n int").repartition(5)
+    got: dict = {}
+    for r in sequences.greedy_budget(rows, "g", ["i"], "n", 200).collect():
+        got.setdefault(r.g, []).append(r.i)
+    assert {g: sorted(v) for g, v in got.items()} == {g: v for g, (_, v) in want.items()}
+
+
 def test_folder(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1")
     (tmp_path / "b.exe").write_bytes(b"\0")
