@@ -26,8 +26,8 @@ SIZE = PLACES + 256
 #: The training sample: at most so many documents of a language, by hash of doc_id.
 SAMPLE_PER_LANGUAGE = 400
 UNKNOWN = "und"
-#: A text is in none of the learned languages if its score is below this share of the least score of a training text.
-FLOOR_SHARE = 0.75
+#: A text of so many bytes, which say enough, is in none of the learned languages if its score is below this share of the least score of such a training text.
+FLOOR_BYTES, FLOOR_SHARE = 200, 0.7
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -87,7 +87,7 @@ class LanguageModel:
     floor: float = 0.0
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: list[str]) -> LanguageModel:
+    def fit(cls, x: np.ndarray, labels: list[str], sizes: list[int]) -> LanguageModel:
         y = np.array(labels, dtype=object)
         fam = np.array([FAMILY.get(v, v) for v in labels], dtype=object)
 
@@ -101,7 +101,7 @@ class LanguageModel:
         names = sorted(set(fam))
         languages = {f: sorted(set(y[fam == f])) for f in names}
         model = cls(languages, splits(fam, names), {f: splits(y, languages[f]) for f in names})
-        model.floor = FLOOR_SHARE * min(model.predict(v)[1] for v in x)
+        model.floor = FLOOR_SHARE * min((model.predict(v)[1] for v, n in zip(x, sizes, strict=True) if n >= FLOOR_BYTES), default=0.0)
         return model
 
     @staticmethod
@@ -164,14 +164,15 @@ def fit_languages(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> L
         import pyarrow as pa
 
         for batch in batches:
-            rows = [v.tobytes() for v in features(*utf8_rows(batch.column(0)))]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], ["v", "lang"])
+            data, offsets = utf8_rows(batch.column(0))
+            rows = [v.tobytes() for v in features(data, offsets)]
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1), pa.array(np.diff(offsets), pa.int64())], ["v", "lang", "n"])
 
-    rows = training_sample(docs, per_language).mapInArrow(vectors, "v binary, lang string").collect()
+    rows = training_sample(docs, per_language).mapInArrow(vectors, "v binary, lang string, n long").collect()
     if not rows:
         return None
     rows.sort(key=lambda r: (r.lang, bytes(r.v)))
-    return LanguageModel.fit(np.stack([np.frombuffer(r.v, np.float32) for r in rows]), [r.lang for r in rows])
+    return LanguageModel.fit(np.stack([np.frombuffer(r.v, np.float32) for r in rows]), [r.lang for r in rows], [r.n for r in rows])
 
 
 def predicted(model: LanguageModel | None):
@@ -211,11 +212,10 @@ def identify(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFr
 def keep_identified(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """The rows of docs whose language the model identifies, with their columns as they are.
 
-    Rows with null texts, without a letter, or with a score below the model's
-    floor go: their text is in none of the learned languages. On the tables
-    tried no held-out document with a language scored below it (the least was
-    0.323 at a floor of 0.318) and 72% of texts of random letters did. Where no
-    row outside the held-out fold has a label, all rows with a letter stay.
+    Rows with null texts and without a letter go, and so do texts of 200 bytes
+    or more whose score is below the model's floor: they are in none of the
+    learned languages. Shorter texts say too little to go. Where no row
+    outside the held-out fold has a label, all rows with a letter stay.
     Repeated rows stay or go together; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
@@ -223,7 +223,7 @@ def keep_identified(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) ->
     if model is None:
         return docs.where(F.col("text").rlike(r"\p{L}"))
     said = predicted(model)
-    return docs.where((said["lang_pred"] != UNKNOWN) & (said["score"] >= model.floor))
+    return docs.where((said["lang_pred"] != UNKNOWN) & ((said["score"] >= model.floor) | (F.octet_length("text") < FLOOR_BYTES)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -386,8 +386,8 @@ def test_a_spread_group_needs_more_leaders(spark):
 def test_texts_in_no_learned_language_go(spark):
     """The model alone rejects texts of another script and of random letters; labelled and held-out documents stay."""
     syllables = {"en": "the ing ed er th wh", "de": "sch ung ein der ich", "fr": "eau oi que les eux", "es": "ción os el que ñ ar"}
-    clean = [(i, " ".join(np.random.default_rng(i).choice(syllables[k].split(), 40)), k) for i, k in enumerate(list(syllables) * 60)]
-    other = [(1000 + i, "Привет мир как дела сегодня " * 5, None) for i in range(3)] + [(2000, "12 34", "en"), (2001, None, "en")]
+    clean = [(i, " ".join(np.random.default_rng(i).choice(syllables[k].split(), 90)), k) for i, k in enumerate(list(syllables) * 60)]
+    other = [(1000 + i, "Привет мир как дела сегодня " * 9, None) for i in range(3)] + [(2000, "12 34", "en"), (2001, None, "en")]
     df = spark.createDataFrame(clean + other, "doc_id long, text string, lang string")
     assert sorted(r.doc_id for r in language.keep_identified(df).collect()) == [i for i, _, _ in clean]
     one = spark.createDataFrame([r for r in clean if r[2] == "de"], "doc_id long, text string, lang string")
