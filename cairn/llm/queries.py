@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import html, language, linededup, minhash, mixing, neighbours, packing, passages, tokens, vectors
+from cairn.llm import html, language, linededup, minhash, mixing, neighbours, packing, passages, suffixes, tokens, vectors
 
 
 def queries():
@@ -17,6 +17,7 @@ def queries():
         "op8_nearest_neighbours": neighbours.op8_nearest_neighbours,
         "op9_language_id": language.op9_language_id,
         "op10_line_dedup": linededup.op10_line_dedup,
+        "op11_suffix_array_dedup": suffixes.op11_suffix_array_dedup,
     }
 
 
