@@ -138,17 +138,17 @@ def utf8_rows(column) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """64-bit hashes of all words of a batch; A-Z hash like a-z.
 
     Returns the hashes, the row's first word in them (n + 1 values), and the
     words' first and past-the-end byte. A word is a maximal run of bytes that
-    aren't white space; rows end words.
+    `gap` doesn't mark, as it does white space; rows end words.
     """
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    word = ~IS_SPACE[data]
+    word = ~gap[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     cut = offsets[1:-1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cairn.llm import html, language, linededup, minhash, mixing, neighbours, packing, passages, suffixes, tokens, vectors
+from cairn.llm import alignment, html, language, linededup, minhash, mixing, neighbours, packing, passages, ranking, suffixes, tokens, vectors
 
 
 def queries():
@@ -18,8 +18,10 @@ def queries():
         "op9_language_id": language.op9_language_id,
         "op10_line_dedup": linededup.op10_line_dedup,
         "op11_suffix_array_dedup": suffixes.op11_suffix_array_dedup,
+        "op12_tokenizer_alignment": alignment.op12_tokenizer_alignment,
+        "op13_ranked_search": ranking.op13_ranked_search,
     }
 
 
 def oracle_sql():
-    return {"op1_mixing": mixing.OP1_SQL, "op10_line_dedup": linededup.OP10_SQL}
+    return {"op1_mixing": mixing.OP1_SQL, "op10_line_dedup": linededup.OP10_SQL, "op13_ranked_search": ranking.OP13_SQL}
