@@ -21,8 +21,8 @@ from cairn.llm.common import BYTE, drop_table, materialize, mix64, small_batches
 
 #: Places among which an anchor is the least, and bytes that are hashed at a place.
 SPREAD, GRAM = 256, 16
-#: Classes with more different strings than this are cut into single windows, of which a run holds each once.
-MOST_TEXTS = 1000
+#: Classes with more different strings than this (13 MB of the longest) are cut into single windows, of which a run holds each once.
+MOST_TEXTS = 20_000
 #: Suffixes that a merging task gets on average, bytes of a sorted run, and starts hashed at a time.
 TASK_SUFFIXES, RUN_BYTES, CHUNK = 6000, 32 << 20, 1 << 19
 #: An odd multiplier and its inverse mod 2^64 turn prefix sums into hashes of substrings.
