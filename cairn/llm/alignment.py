@@ -4,19 +4,20 @@ from __future__ import annotations
 
 import hashlib
 import re
-from array import array
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, small_batches, table, utf8_rows
-from cairn.llm.tokens import ODD_SPACE, byte_alphabet
+from cairn.llm.tokens import BEYOND_LATIN, ODD_SPACE, byte_alphabet
 
-#: Chunks end where a plain space follows something else than white space: no token of either kind spans such a place.
+#: Long texts are cut where a plain space follows something else than white space: no token of either kind spans such a place.
 CHUNK = re.compile(r"\s*\S+(?:(?! )\s+\S*)*|\s+")
-#: Numbers of chunks and of tokens at which the memory of chunks is emptied, and bytes of text that are aligned at once.
-MOST_CHUNKS, MOST_TOKENS, BLOCK = 400_000, 4_000_000, 4 << 20
+#: Characters of the pieces of long texts, and bytes of texts that are aligned at once.
+PIECE, BLOCK = 1 << 18, 1 << 20
 #: What follows an id in the digest: inside and at the end of a group's first and second half.
 ENDS = (b",", b"|", b",", b";")
 
@@ -35,71 +36,62 @@ def piece_bytes(model) -> list[bytes]:
 
 
 class Tokens:
-    """Both tokenizers' ids of texts, with a memory of chunks that encode alike wherever they stand."""
+    """Both tokenizers' ids of texts."""
 
     def __init__(self, path_a: str, path_b: str):
+        import public_tokenizers
+        import tiktoken
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
 
         self.a, self.b = Tokenizer.from_file(path_a), SentencePieceProcessor(model_file=path_b)
         self.a.encode_special_tokens = True
         self.bytes_a, self.bytes_b = byte_level_tokens(self.a.get_vocab(with_added_tokens=False)), piece_bytes(self.b)
+        # ids of a byte-level vocabulary are its merges in order, so the faster library gives the same ids
+        self.fast = tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks={t: i for i, t in enumerate(self.bytes_a)}, special_tokens={})
         self.len_a, self.len_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        # a piece that goes on after another character with a space could span two chunks: then texts are encoded whole
-        self.chunked = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.bytes_b)))
+        # a piece that goes on after another character with a space could span two pieces of a text: then texts are encoded whole
+        self.cuttable = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(len(self.bytes_b)))
         self.before = len(self.b.encode("a"))
         self.strings = [str(i).encode() + end for n, end in zip((len(self.bytes_a),) * 2 + (len(self.bytes_b),) * 2, ENDS, strict=True) for i in range(n)]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids_a, self.ids_b, self.ends_a, self.ends_b, self.same = array("i"), array("i"), array("q", [0]), array("q", [0]), array("b")
-
-    def numbers(self, text: str) -> np.ndarray:
-        """The numbers of the chunks of a text, which begins with a space."""
-        known, chunks = self.known, CHUNK.findall(text)
-        for c in set(chunks).difference(known):
-            a, b = self.a.encode(c, add_special_tokens=False).ids, self.b.encode("a" + c)[self.before :]
-            known[c] = len(known)
-            self.ids_a.extend(a)
-            self.ids_b.extend(b)
-            self.ends_a.append(len(self.ids_a))
-            self.ends_b.append(len(self.ids_b))
-            self.same.append(self.equal(c, a, b))
-        return np.fromiter(map(known.__getitem__, chunks), np.int64, len(chunks))
-
-    def equal(self, text: str, a: list[int], b: list[int]) -> bool:
-        """Whether the tokens' bytes are the text's."""
-        want = text.encode()
-        return b"".join([self.bytes_a[i] for i in a]) == want == b"".join([self.bytes_b[i] for i in b])
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and how many each text has, for both tokenizers; a text whose bytes aren't kept has none."""
-        if len(self.known) > MOST_CHUNKS or len(self.ids_a) + len(self.ids_b) > MOST_TOKENS:
-            self.forget()
-        parts: list = []
-        for t in texts:
-            text = " " + t
-            if t and self.chunked and not ODD_SPACE.search(t):
-                n = self.numbers(text)
-                if all(map(self.same.__getitem__, n.tolist())):
-                    parts.append(n)
-                    continue
-            a, b = (self.a.encode(text, add_special_tokens=False).ids, self.b.encode(t)) if t else ([], [])
-            parts.append((a, b) if t and self.equal(text, a, b) else ([], []))
-        out = []
-        for side, (ids, ends) in enumerate(((self.ids_a, self.ends_a), (self.ids_b, self.ends_b))):
-            ids, ends = np.array(ids, np.int32), np.array(ends, np.int64)
-            each = [ids[ragged(ends[p], ends[p + 1])] if isinstance(p, np.ndarray) else np.array(p[side], np.int32) for p in parts]
-            out += [np.concatenate(each) if each else np.zeros(0, np.int32), np.array([len(x) for x in each], np.int64)]
-        return out[0], out[1], out[2], out[3]
-
-
-def ragged(start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """The places of all spans start to end, one span after another."""
-    n = end - start
-    first = np.cumsum(n) - n
-    return np.arange(int(n.sum())) + np.repeat(start - first, n)
+
+    def encode_a(self, text: str) -> list[int]:
+        # the libraries' tables of letters may differ beyond Latin
+        return self.a.encode(text, add_special_tokens=False).ids if BEYOND_LATIN.search(text) else self.fast.encode_ordinary(text)
+
+    def encode(self, text: str) -> tuple[list[int], list[int]]:
+        """The ids of a space and a text by the first, and of the text by the second tokenizer; none if one of them changes its bytes."""
+        if not text:
+            return [], []
+        if len(text) <= PIECE or not self.cuttable or ODD_SPACE.search(text):
+            a, b = self.encode_a(" " + text), self.b.encode(text)
+        else:
+            a, b = [], []
+            for piece in pieces(" " + text):
+                a += self.encode_a(piece)
+                b += self.b.encode("a" + piece)[self.before :]
+        want = (" " + text).encode()
+        same = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
+        return (a, b) if same else ([], [])
+
+
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of about PIECE characters, or of one word."""
+    held, n = [], 0
+    for m in CHUNK.finditer(text):
+        held.append(m[0])
+        n += len(m[0])
+        if n >= PIECE:
+            yield "".join(held)
+            held, n = [], 0
+    if held:
+        yield "".join(held)
+
+
+def flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids one after another, and how many each list has."""
+    n = np.array([len(x) for x in lists], np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int32, int(n.sum())), n
 
 
 def sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -115,7 +107,9 @@ def aligned(own: Tokens, texts: list[str]) -> tuple[list, ...]:
     The texts' tokens lie in one row of bytes. Ends of both kinds are counted
     once for all bytes; a byte at which two tokens end is the end of a group.
     """
-    a, n_a, b, n_b = own.encode(texts)
+    ids = [own.encode(t) for t in texts]
+    (a, n_a), (b, n_b) = flat([x for x, _ in ids]), flat([y for _, y in ids])
+    del ids
     ends_a, ends_b = np.cumsum(own.len_a[a]), np.cumsum(own.len_b[b])
     both = np.bincount(np.concatenate([ends_a, ends_b])) == 2
     last_a, last_b = both[ends_a], both[ends_b]
@@ -178,8 +172,8 @@ def align_tokens(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     Null and empty texts, and texts whose bytes one of the tokenizers changes,
     have no tokens: zeros and an empty digest. Repeated rows and null ids give
     a row each and all count. Other columns are ignored; an empty table gives
-    no rows. Texts are encoded chunk by chunk, as long ones take much memory
-    whole; where the chunks' bytes differ, by the libraries as they are.
+    no Very long texts are encoded in pieces, as they take much memory
+    whole.
 
     The counts of pairs are broadcast: linked tokens end at the same byte, so
     one is the end of the other, and there are at most as many pairs as bytes

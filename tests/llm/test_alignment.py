@@ -63,11 +63,11 @@ def test_nothing(spark):
     assert alignment.align_tokens(spark.createDataFrame([], "doc_id long, text string"), *PATHS).count() == 0
 
 
-def test_memory_of_chunks_is_bounded(monkeypatch):
+def test_pieces_of_long_texts_encode_alike(monkeypatch):
     own = alignment.Tokens(*PATHS)
-    monkeypatch.setattr(alignment, "MOST_CHUNKS", 10)
-    texts = [" ".join(f"w{i}{j}" for j in range(20)) for i in range(5)]
-    for t in texts:
-        a, n_a, b, n_b = own.encode([t])
-        assert a.tolist() == own.a.encode(" " + t, add_special_tokens=False).ids and b.tolist() == own.b.encode(t)
-        assert len(own.known) <= 30
+    monkeypatch.setattr(alignment, "PIECE", 5)
+    for t in filter(None, TEXTS):
+        assert "".join(alignment.pieces(" " + t)) == " " + t
+        a, b = own.encode(t)
+        whole = own.a.encode(" " + t, add_special_tokens=False).ids, own.b.encode(t)
+        assert (a, b) in (whole, ([], [])) and ("▁" in t) == (not a)
