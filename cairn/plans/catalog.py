@@ -9,7 +9,7 @@ from cairn.functions import rules, text
 from cairn.operators import checks
 from cairn.operators import findings as fin
 from cairn.operators import sequences as seq
-from cairn.plans import choices, files, integrated, reports, scans, symbols, views  # noqa: F401 - they register their queries
+from cairn.plans import choices, deep, files, integrated, reports, scans, symbols, views  # noqa: F401 - they register their queries
 from cairn.plans.registry import QUERIES, SQL, query  # noqa: F401 - the catalogue's names
 from cairn.sources.readers import config_corpus, table
 from cairn.streaming import scan as streams
