@@ -14,6 +14,7 @@ OPEN_ALGORITHM, TO_REVIEW, ASSESSED = "算法待确认", "待复核", "AI研判"
 # Bases on which an opinion may be adopted.
 BASES = ["known_api", "parameter_flow", "implementation"]
 TEMPLATE = "uninstantiated_template"
+ADOPTED = "evidence_based_ai_judgment"
 
 
 def proven(levels: Column) -> Column:
@@ -32,7 +33,7 @@ def adoption(opinion_algorithm: Column, row_algorithm: Column, kind: Column, con
         .when(mine == "unknown", "algorithm_unknown")
         .when(~(F.coalesce(valid, F.lit(False)) & F.coalesce(anchored, F.lit(False))), "evidence_not_anchored")
         .when(~F.coalesce(basis.isin(BASES), F.lit(False)), "insufficient_basis")
-        .otherwise("evidence_based_ai_judgment")
+        .otherwise(ADOPTED)
     )
 
 
@@ -52,8 +53,10 @@ def integrate_operations(findings: DataFrame, operations: DataFrame) -> DataFram
     """Confirmed and pending rows of findings (finding_id, source_id, line, algorithm, resolved_api) and operations.
 
     operations has operation_id, source_id, line, algorithm, api,
-    operation_type, levels (claim -> grade), risk_category and context_kind;
-    those of sources without a row in findings are the caller's to leave out.
+    operation_type, levels (claim -> grade), risk_category and context_kind,
+    and may have context_id and evidence_scope: that of a policy makes its
+    purpose a configuration. Operations of sources without a row in findings
+    are the caller's to leave out.
     A proven operation that isn't quantum-vulnerable is neutral and gives no
     row; one of an algorithm without a profile neither. Others join the one
     finding at their place; templates that find none there then join the one
@@ -74,13 +77,16 @@ def integrate_operations(findings: DataFrame, operations: DataFrame) -> DataFram
     second = pair_unique(left, rows.join(direct.select("finding_id"), "finding_id", "left_anti"), ["source_id", "line", "resolved_api"])
     taken = settled(direct.unionByName(second))
     kind = F.when(F.coalesce(F.col("levels")["OPERATION_TYPE"], F.lit("")) == "E3", F.col("operation_type")).otherwise("unknown")
-    facts = ops.select("operation_id", kind.alias("_kind"), "proven")
+    if "evidence_scope" in ops.columns:
+        kind = F.when(F.col("evidence_scope") == "algorithm_policy", "configuration").otherwise(kind)
+    context = F.col("context_id") if "context_id" in ops.columns else F.lit(None).cast("string")
+    facts = ops.select("operation_id", kind.alias("_kind"), "proven", context.alias("context_id"))
     old = findings.join(taken, "finding_id", "left").join(facts, "operation_id", "left")
-    old = old.select("finding_id", "source_id", "line", "algorithm", F.coalesce("_kind", F.lit("unknown")).alias("purpose_code"), F.lit("confirmed").alias("verification_status"), F.when(F.col("operation_id").isNull(), "rule").otherwise("rule,cross_file").alias("origin"), "operation_id")
+    old = old.select("finding_id", "source_id", "line", "algorithm", F.coalesce("_kind", F.lit("unknown")).alias("purpose_code"), F.lit("confirmed").alias("verification_status"), F.when(F.col("operation_id").isNull(), "rule").otherwise("rule,cross_file").alias("origin"), "operation_id", "context_id")
     new = ops.join(taken, "operation_id", "left_anti").select(
         F.concat(F.lit("operation-"), F.substring(F.sha2(F.col("operation_id").cast("string"), 256), 1, 24)).alias("finding_id"), "source_id", "line",
         F.when(F.col("algorithm") == "unknown", OPEN_ALGORITHM).otherwise(F.col("algorithm")).alias("algorithm"), kind.alias("purpose_code"),
-        F.when(F.col("proven"), "confirmed").otherwise("pending").alias("verification_status"), F.lit("cross_file").alias("origin"), "operation_id",
+        F.when(F.col("proven"), "confirmed").otherwise("pending").alias("verification_status"), F.lit("cross_file").alias("origin"), "operation_id", context.alias("context_id"),
     )
     return old.unionByName(new)
 
@@ -90,18 +96,62 @@ def neutral_operations(operations: DataFrame) -> DataFrame:
     return operations.where(proven(F.col("levels")) & (F.coalesce("risk_category", F.lit("")) != "quantum_vulnerable"))
 
 
-def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def placed_opinions(free: DataFrame, pending: DataFrame) -> DataFrame:
+    """opinion_id, row_id and made: the row at an opinion's place that it attaches to, or the new row that it makes.
+
+    Opinions come in order. One with a context meets the rows at its place
+    that have this context, one without meets all; it attaches if that is
+    exactly one row, and makes a row with its context otherwise, which later
+    opinions meet in turn. What happens before an opinion comes down to few
+    facts of its place, so that no opinion waits for another:
+
+    - with a context that no row has, the first one makes the row of all
+      others; with one that several rows have, each makes a row of its own;
+    - without a context, opinions attach while their place has one row: the
+      first that is there or is made, until another one is made.
+    """
+    place = ["source_id", "line"]
+    here = pending.groupBy(*place).agg(F.count(F.lit(1)).alias("there"), F.min("finding_id").alias("only"))
+    same = pending.where("context_id is not null").groupBy(*place, "context_id").agg(F.count(F.lit(1)).alias("alike"), F.min("finding_id").alias("like"))
+    o = free.select("opinion_id", *place, "context_id")
+    o = o.join(here, place, "left").join(same, [*place, "context_id"], "left").fillna(0, ["there", "alike"])
+    first = o.where("context_id is not null").groupBy(*place, "context_id").agg(F.min("opinion_id").alias("first_alike"))
+    o = o.join(first, [*place, "context_id"], "left")
+    makes = F.col("context_id").isNotNull() & ((F.col("alike") > 1) | ((F.col("alike") == 0) & (F.col("opinion_id") == F.col("first_alike"))))
+    o = settled(o.withColumn("makes", makes))
+    opening = o.groupBy(*place).agg(F.min("opinion_id").alias("first"), F.max("there").alias("n"))
+    # where no row is, the first opinion's is the one that later ones meet; the next one that is made ends that
+    ends = o.join(opening.select(*place, "first", "n"), place).where("makes and (n > 0 or opinion_id > first)").groupBy(*place).agg(F.min("opinion_id").alias("second"))
+    o = o.join(opening.drop("n"), place).join(ends, place, "left")
+    alone = ((F.col("there") == 1) | ((F.col("there") == 0) & (F.col("opinion_id") > F.col("first")))) & (F.col("second").isNull() | (F.col("opinion_id") < F.col("second")))
+    name = lambda c: F.concat(F.lit("candidate-"), F.col(c).cast("string"))
+    to = F.when(F.col("context_id").isNull(), F.when(alone, F.when(F.col("there") == 1, F.col("only")).otherwise(name("first"))))
+    to = to.when(F.col("alike") == 1, F.col("like")).when((F.col("alike") == 0) & (F.col("opinion_id") != F.col("first_alike")), name("first_alike"))
+    return o.select("opinion_id", F.coalesce(to, name("opinion_id")).alias("row_id"), to.isNull().alias("made"))
+
+
+def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = None, sources: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """rows with a row for each opinion that no row is for, and the links: row_id, the opinion, the reason and whether it is adopted.
 
     opinions has opinion_id, kind, algorithm, purpose, refs (operation or
     finding ids), source_id, line, conflict, gaps, valid, anchored, basis and
-    scope_reason. Abstentions, opinions out of scope without a reference, new
-    candidates of algorithms that are no risk, and support for operations in
-    neutral alone attach to nothing. An opinion goes to the rows that it refers to; without
-    any, to the one pending row at its place; else it is a pending row of its
-    own. What it says is adopted by adoption(): a pending row becomes assessed
-    with the opinion's algorithm and purpose.
+    scope_reason, and may have context_id. Abstentions, opinions out of scope
+    without a reference, new candidates of algorithms that are no risk, and
+    support for operations in neutral alone attach to nothing; those without a
+    row to refer to neither, if sources (source_id) hasn't their source. An
+    opinion goes to the rows that it refers to, without any to that of its
+    place as placed_opinions() says. What it says is adopted by adoption(): a
+    pending row becomes assessed with the opinion's algorithm and purpose.
+
+    A row's opinions are judged in the order of their ids, each against the
+    algorithm that those before it have left. Only a pending row without an
+    algorithm can get one, from the first opinion that is adopted, so this is
+    decided by one aggregate.
     """
+    if "context_id" not in opinions.columns:
+        opinions = opinions.withColumn("context_id", F.lit(None).cast("string"))
+    if "context_id" not in rows.columns:
+        rows = rows.withColumn("context_id", F.lit(None).cast("string"))
     live = opinions.where((F.col("kind") != "abstain") & ~((F.coalesce("scope_reason", F.lit("")) != "") & (F.size("refs") <= 0)) & ~harmless())
     if neutral is not None:
         refs = live.where("kind = 'supports_static'").select("opinion_id", F.explode("refs").alias("ref"))
@@ -113,29 +163,33 @@ def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = N
     named = rows.select(F.col("finding_id").alias("row_id"), F.col("finding_id").alias("ref")).unionByName(rows.where("operation_id is not null").select(F.col("finding_id").alias("row_id"), F.col("operation_id").cast("string").alias("ref")))
     by_ref = settled(live.select("opinion_id", F.explode("refs").alias("ref")).join(named, "ref").select("opinion_id", "row_id").distinct())
     free = live.join(by_ref, "opinion_id", "left_anti")
-    # opinions on one place without a row make one: the first is its row, the others attach to it
-    pending = rows.where("verification_status = 'pending'").groupBy("source_id", "line").agg(F.min("finding_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
-    placed = free.join(pending, ["source_id", "line"], "left")
-    first = free.groupBy("source_id", "line").agg(F.min("opinion_id").alias("first"))
-    own = placed.where("row_id is null or n > 1").join(first, ["source_id", "line"])
-    alone = own.select("opinion_id", F.concat(F.lit("candidate-"), F.when(F.coalesce("n", F.lit(0)) > 1, F.col("opinion_id")).otherwise(F.col("first")).cast("string")).alias("row_id"))
-    made = own.where("opinion_id = first or n > 1").select(
-        F.concat(F.lit("candidate-"), F.col("opinion_id").cast("string")).alias("finding_id"), "source_id", "line",
-        F.when(F.col("algorithm") == "unknown", OPEN_ALGORITHM).otherwise(canonical(F.col("algorithm"))).alias("algorithm"), F.lit("unknown").alias("purpose_code"), F.lit("pending").alias("verification_status"), F.lit("ai").alias("origin"), F.lit(None).cast(rows.schema["operation_id"].dataType).alias("operation_id"),
+    if sources is not None:
+        free = free.join(sources.select("source_id").distinct(), "source_id", "left_semi")
+    at_place = settled(placed_opinions(free, rows.where("verification_status = 'pending'")))
+    made = free.join(at_place.where("made"), "opinion_id").select(
+        F.col("row_id").alias("finding_id"), "source_id", "line",
+        F.when(F.col("algorithm") == "unknown", OPEN_ALGORITHM).otherwise(canonical(F.col("algorithm"))).alias("algorithm"), F.lit("unknown").alias("purpose_code"), F.lit("pending").alias("verification_status"), F.lit("ai").alias("origin"), F.lit(None).cast(rows.schema["operation_id"].dataType).alias("operation_id"), "context_id",
     )
-    links = by_ref.unionByName(placed.where("row_id is not null and n = 1").select("opinion_id", "row_id")).unionByName(alone)
-    everything = settled(rows.unionByName(made))
-    said = links.join(everything.select(F.col("finding_id").alias("row_id"), F.col("algorithm").alias("row_algorithm")), "row_id").join(live, "opinion_id")
-    why = adoption(F.col("algorithm"), F.col("row_algorithm"), F.col("kind"), F.col("conflict"), F.col("gaps"), F.col("valid"), F.col("anchored"), F.col("basis"), F.col("scope_reason"))
-    said = said.withColumn("reason", why).withColumn("ok", F.col("reason") == "evidence_based_ai_judgment")
+    links = by_ref.unionByName(at_place.select("opinion_id", "row_id"))
+    everything = settled(rows.unionByName(made, allowMissingColumns=True))
+    said = links.join(everything.select(F.col("finding_id").alias("row_id"), F.col("algorithm").alias("row_algorithm"), (F.col("verification_status") == "pending").alias("_pending")), "row_id").join(live, "opinion_id")
+    judged = lambda theirs: adoption(F.col("algorithm"), theirs, F.col("kind"), F.col("conflict"), F.col("gaps"), F.col("valid"), F.col("anchored"), F.col("basis"), F.col("scope_reason"))
+    said = settled(said.withColumn("reason", judged(F.col("row_algorithm"))))
+    open_ = F.col("_pending") & F.col("row_algorithm").isin("unknown", OPEN_ALGORITHM) & (F.col("reason") == ADOPTED)
+    set_ = said.where(open_).groupBy("row_id").agg(F.min("opinion_id").alias("_by"), F.min_by(canonical(F.col("algorithm")), "opinion_id").alias("_set"))
+    said = said.join(set_, "row_id", "left").withColumn("row_algorithm", F.when(F.col("opinion_id") > F.col("_by"), F.col("_set")).otherwise(F.col("row_algorithm"))).drop("_by", "_set", "_pending")
+    said = said.withColumn("reason", judged(F.col("row_algorithm"))).withColumn("ok", F.col("reason") == ADOPTED)
     return everything, said
 
 
-def attach_opinions(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = None) -> DataFrame:
-    """rows with opinion_count, adopted, reasons, review_required and purpose, and a row for each opinion that no row is for, as attached() links them."""
-    everything, said = attached(rows, opinions, neutral)
+def attach_opinions(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """rows with opinion_count, adopted, reasons, last_reason, review_required and purpose, and a row for each opinion that no row is for, as attached() links them."""
+    everything, said = attached(rows, opinions, neutral, sources)
     last = F.max_by(F.struct("purpose", canonical(F.col("algorithm")).alias("algorithm")), F.when(F.col("ok"), F.col("opinion_id")))
-    sums = said.groupBy("row_id").agg(F.count(F.lit(1)).alias("opinion_count"), F.max("ok").alias("adopted"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.max((F.col("kind") == "questions_static") | (F.col("reason") == "conflicting_evidence")).alias("review_required"), last.alias("_said"))
+    sums = said.groupBy("row_id").agg(
+        F.count(F.lit(1)).alias("opinion_count"), F.max("ok").alias("adopted"), F.array_sort(F.collect_set("reason")).alias("reasons"), F.max_by("reason", "opinion_id").alias("last_reason"),
+        F.max((F.col("kind") == "questions_static") | (F.col("reason") == "conflicting_evidence")).alias("review_required"), last.alias("_said"),
+    )
     out = everything.join(sums, F.col("finding_id") == F.col("row_id"), "left").withColumn("adopted", F.coalesce("adopted", F.lit(False)))
     turned = F.col("adopted") & (F.col("verification_status") == "pending")
     static, inferred = F.col("purpose_code"), F.when(F.col("adopted"), F.col("_said.purpose")).otherwise("unknown")
@@ -145,7 +199,7 @@ def attach_opinions(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | N
         "finding_id", "source_id", "line", F.when(turned, F.col("_said.algorithm")).otherwise(F.col("algorithm")).alias("algorithm"), effective.alias("purpose_code"), purpose_origin.alias("purpose_origin"),
         F.when(turned, "ai_assessed").otherwise(F.col("verification_status")).alias("verification_status"),
         F.when(F.col("opinion_count").isNotNull() & (F.col("origin") != "ai"), F.concat(F.col("origin"), F.lit(",ai"))).otherwise(F.col("origin")).alias("origin"),
-        "operation_id", F.coalesce("opinion_count", F.lit(0)).alias("opinion_count"), "adopted", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), F.coalesce("review_required", F.lit(False)).alias("review_required"),
+        "operation_id", "context_id", F.coalesce("opinion_count", F.lit(0)).alias("opinion_count"), "adopted", F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons"), "last_reason", F.coalesce("review_required", F.lit(False)).alias("review_required"),
     )
 
 
