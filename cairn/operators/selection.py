@@ -96,6 +96,42 @@ def merged_values(rows: DataFrame, group: list[str], value: str, most: int = 4)
     return g.select(*group, state.alias("state"), F.when(state != "unknown", F.array_join(F.transform("_v", lambda x: x.cast("string")), ",")).alias("alternatives"))
 
 
+def merged_facts(facts: DataFrame, group: list[str], order: str, most: int = 4, most_conditions: int = 16) -> DataFrame:
+    """group, state, alternatives, reason, key_type and key_origin: one value for all that branches say of a name.
+
+    facts has state (known, ambiguous or unknown), alternatives (value and
+    conditions), reason, key_type, key_origin and an order. Equal values are
+    one alternative, with the conditions of all, as they first occur. If any
+    fact is unknown the result is, with its alternatives and the reason that
+    all share, else unknown_branch; more than `most` values are unknown with
+    value_limit and none. Type and origin of a key stay where all facts agree.
+
+    Values and conditions are merged before rows move, and no more than
+    most + 1 values and most_conditions conditions of a group are gathered, so
+    the result doesn't depend on how rows are dealt.
+    """
+    by = Window.partitionBy(*group)
+    same = F.struct("key_type", "key_origin")
+    base = facts.groupBy(*group).agg(
+        F.max(F.col("state") == "unknown").alias("_unknown"), F.min(F.when(F.col("state") == "unknown", F.col("reason"))).alias("_least"), F.max(F.when(F.col("state") == "unknown", F.col("reason"))).alias("_most"),
+        F.min(same).alias("_from"), F.max(same).alias("_to"),
+    )
+    each = facts.select(*group, order, F.posexplode("alternatives").alias("_at", "_a")).select(*group, F.struct(F.col(order), F.col("_at")).alias("_o"), F.col("_a.value").alias("_value"), F.col("_a.conditions").alias("_conditions"))
+    values = each.groupBy(*group, "_value").agg(F.min("_o").alias("_o")).withColumn("_r", F.row_number().over(by.orderBy("_o"))).where(F.col("_r") <= most + 1)
+    said = each.select(*group, "_value", "_o", F.posexplode("_conditions").alias("_c_at", "_c")).groupBy(*group, "_value", "_c").agg(F.min(F.struct("_o", "_c_at")).alias("_c_o"))
+    said = said.withColumn("_r", F.row_number().over(Window.partitionBy(*group, "_value").orderBy("_c_o"))).where(F.col("_r") <= most_conditions)
+    said = said.groupBy(*group, "_value").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "_c"))), lambda x: x["_c"]).alias("_conditions"))
+    keyed = values.join(said.withColumnsRenamed({c: f"_g_{c}" for c in [*group, "_value"]}), [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in [*group, "_value"]], "left").drop(*[f"_g_{c}" for c in [*group, "_value"]])
+    listed = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.array_sort(F.collect_list(F.struct("_r", F.col("_value").alias("value"), F.coalesce("_conditions", F.array().cast("array<string>")).alias("conditions")))).alias("_v"))
+    out = base.join(listed.withColumnsRenamed({c: f"_g_{c}" for c in group}), [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in group], "left").fillna(0, ["_n"])
+    over = F.col("_n") > most
+    state = F.when(over | F.col("_unknown") | (F.col("_n") == 0), "unknown").when(F.col("_n") == 1, "known").otherwise("ambiguous")
+    reason = F.when(over, "value_limit").when(F.col("_unknown"), F.when(F.col("_least").eqNullSafe(F.col("_most")), F.col("_least")).otherwise("unknown_branch")).when(F.col("_n") == 0, "missing_value")
+    alternatives = F.when(over | F.col("_v").isNull(), F.array().cast("array<struct<value:string,conditions:array<string>>>")).otherwise(F.transform("_v", lambda x: F.struct(x["value"].cast("string").alias("value"), x["conditions"].alias("conditions"))))
+    agree = F.col("_from").eqNullSafe(F.col("_to")) & ~over
+    return out.select(*group, state.alias("state"), alternatives.alias("alternatives"), reason.alias("reason"), F.when(agree, F.col("_from.key_type")).alias("key_type"), F.when(agree, F.col("_from.key_origin")).alias("key_origin"))
+
+
 def retained(rows: DataFrame, group: str, ended: list[str], size: str, most: int, budget: int, age: str) -> DataFrame:
     """Newest results of each group that keep within a number, a total size and an age; older ones go first.
 

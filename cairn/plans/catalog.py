@@ -9,7 +9,8 @@ from cairn.functions import rules, text
 from cairn.operators import checks
 from cairn.operators import findings as fin
 from cairn.operators import sequences as seq
-from cairn.plans import choices, deep, files, integrated, reports, scans, symbols, views  # noqa: F401 - they register their queries
+from cairn.operators.spans import holding_spans
+from cairn.plans import choices, deep, files, integrated, merges, reports, scans, symbols, views  # noqa: F401 - they register their queries
 from cairn.plans.registry import QUERIES, SQL, query  # noqa: F401 - the catalogue's names
 from cairn.sources.readers import config_corpus, table
 from cairn.streaming import scan as streams
@@ -216,11 +217,14 @@ def lexical_latest_before(spark, sf_dir):
     return e.withColumn("b", bind).where("event_type = 'purchase' and b is not null").select("event_id", F.col("b.value").alias("bound_value"), F.col("b.event_id").alias("bound_at"))
 
 
-@query("""SELECT l.l_orderkey, l.l_linenumber, o.o_orderkey AS span FROM lineitem l JOIN orders o ON l.l_orderkey BETWEEN o.o_orderkey AND o.o_orderkey + 1 AND o.o_orderstatus = 'F' WHERE l.l_linenumber = 1""")
+@query("""SELECT l_orderkey, l_linenumber, o_orderkey AS span FROM lineitem JOIN (SELECT o_orderkey, o_orderkey + CASE WHEN o_orderkey % 30011 = 0 THEN 1000000 WHEN o_orderkey % 101 = 0 THEN 300 ELSE o_custkey % 4 END AS past FROM orders WHERE o_orderstatus = 'F') ON l_orderkey >= o_orderkey AND l_orderkey < past""")
 def span_containment(spark, sf_dir):
-    """Positions in spans of bounded length: an equi-join on the places that a span covers."""
-    spans = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("span"), F.explode(F.sequence("o_orderkey", F.col("o_orderkey") + 1)).alias("l_orderkey"))
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1").select("l_orderkey", "l_linenumber").join(spans, "l_orderkey")
+    """Places in spans of any length, some empty, some of a million places: an equi-join on blocks of powers of two."""
+    k = F.col("o_orderkey")
+    length = F.when(k % 30011 == 0, 1_000_000).when(k % 101 == 0, 300).otherwise(F.col("o_custkey") % 4)
+    spans = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(k.alias("span"), (k + length).alias("past"))
+    places = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    return holding_spans(places, spans, "l_orderkey", "span", "past").select("l_orderkey", "l_linenumber", "span")
 
 
 @query("""SELECT c_custkey, coalesce(n, 0) AS orders, n IS NULL AS failed FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) ON o_custkey = c_custkey""")

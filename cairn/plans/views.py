@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import catalogue, names
 from cairn.functions.rules import profiles
-from cairn.operators import dispatch, views
+from cairn.operators import dispatch, numbering, views
 from cairn.operators import integration as itg
 from cairn.plans.files import pick
 from cairn.plans.registry import query
@@ -208,7 +208,7 @@ def latest_versions(spark, sf_dir):
 @query("""SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_name) AS ordinal FROM customer""")
 def source_ordinals(spark, sf_dir):
     """Numbers of sources in the order of their names."""
-    return itg.numbered(table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_name"]).select("c_custkey", "ordinal")
+    return numbering.numbered(table(spark, sf_dir, "customer"), ["c_nationkey"], ["c_name"]).select("c_custkey", "ordinal")
 
 
 @query("""WITH s AS (SELECT user_id, event_type, min(event_id) AS o FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type, ',' ORDER BY o) AS methods FROM s GROUP BY user_id""")

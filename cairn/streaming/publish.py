@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def published_once(results: DataFrame, key: str = "source_id", seen_at: str = "seen_at", late: str = "10 minutes") -> DataFrame:
@@ -21,49 +23,45 @@ def whole_files(results: DataFrame, key: str = "source_id", failed: str = "diagn
     return results.join(broken.select(key).distinct(), key, "left_anti"), reasons
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).parquet(path)
+def task_states(updates: DataFrame, folder: str, checkpoint: str, terminal: Callable[[DataFrame], Column], schema: str, key: str = "task_id", version: str = "version", forget: str | None = None) -> StreamingQuery:
+    """Appends a stream's updates that still count to a table in folder.
 
-
-def task_states(updates: DataFrame, folder: str, checkpoint: str, terminal: Callable[[DataFrame], Column], schema: str, key: str = "task_id", version: str = "version") -> StreamingQuery:
-    """Writes each micro-batch's updates that still count, as batches of a table in folder.
-
-    A batch is a folder of its own named by its number, written whole or not
-    at all and overwritten if it is run again, so a restart repeats nothing.
-    Updates after the one that ended their task, in this batch or an earlier
-    one, are late and left out, and so are those of a version that is not
-    above the last one written. `schema` is that of the updates.
+    Updates after the one that ended their task are late and left out, and so
+    are those of a version that is not above the last one written; of equal
+    versions one counts. What is known of a task, its last version and whether
+    it is over, is keyed state of the stream: a micro-batch reads and writes
+    the state of its own tasks alone, however many came before. Tasks without
+    an update for the interval `forget` are forgotten by a timer, and the
+    stream runs until it is stopped; without it none are, and it ends when
+    all that is there has been read. The table's log makes a restart repeat nothing. `schema` is that
+    of the updates.
     """
-
-    def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        fields = spark.createDataFrame([], schema).schema
-        old = [_table(spark, f"{folder}/batch={n}", schema) for n in _earlier(spark, folder, number)]
-        known = old[0] if old else spark.createDataFrame([], fields)
-        for df in old[1:]:
-            known = known.unionByName(df)
-        last = known.groupBy(key).agg(F.max(version).alias("_last"), F.max(terminal(known)).alias("_over"))
-        fresh = batch.join(last, key, "left").where(~F.coalesce("_over", F.lit(False)) & (F.col("_last").isNull() | (F.col(version) > F.col("_last")))).drop("_last", "_over")
-        ends = fresh.where(terminal(fresh)).groupBy(key).agg(F.min(version).alias("_end"))
-        kept = fresh.join(ends, key, "left").where(F.col("_end").isNull() | (F.col(version) <= F.col("_end"))).drop("_end")
-        kept.dropDuplicates([key, version]).select(fields.names).write.mode("overwrite").parquet(f"{folder}/batch={number}")
-
-    return updates.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _earlier(spark: SparkSession, folder: str, number: int) -> list[int]:
-    """Numbers of the batches before this one that were written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    found = [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
-    return sorted(n for n in found if n < number)
+    fields = updates.sparkSession.createDataFrame([], schema).schema
+    wait = None if forget is None else int(pd.Timedelta(forget) / pd.Timedelta("1ms"))
+
+    def judge(_, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, over = state.get if state.exists else (None, False)
+        rows = pd.concat(list(frames), ignore_index=True).sort_values(version, kind="stable").drop_duplicates(version)
+        rows = rows if last is None else rows[rows[version] > last]
+        ends = rows[version][rows["_over"]]
+        kept = rows.iloc[:0] if over else rows[rows[version] <= ends.min()] if len(ends) else rows
+        if len(kept):
+            state.update((int(kept[version].max()), bool(over or len(ends))))
+        if wait:
+            state.setTimeoutDuration(wait)
+        yield kept[fields.names]
+
+    marked = updates.withColumn("_over", F.coalesce(terminal(updates), F.lit(False))).where(F.col(version).isNotNull())
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if wait else GroupStateTimeout.NoTimeout
+    kept = marked.groupBy(key).applyInPandasWithState(judge, fields, "last long, over boolean", "append", timeout)
+    return kept.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"processingTime": "1 second"} if wait else {"availableNow": True})).start()
 
 
 def current(spark: SparkSession, folder: str, schema: str, key: str = "task_id", version: str = "version") -> DataFrame:
     """The last state of each task."""
-    rows = spark.read.schema(schema).parquet(f"{folder}/*")
+    rows = spark.read.schema(schema).parquet(folder)
     rest = [c for c in rows.columns if c != key]
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(key, "_r.*")

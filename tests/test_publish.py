@@ -33,6 +33,18 @@ def test_states_freeze_at_the_end_and_never_go_back(spark, tmp_path):
     assert run() == {("a", 2, "failed"), ("b", 4, "run"), ("c", 1, "done")}  # a restart repeats nothing
 
 
+def test_a_batch_reads_the_state_of_its_own_tasks_alone(spark, tmp_path):
+    into, out, check = tmp_path / "in", f"file://{tmp_path}/out", f"file://{tmp_path}/check"
+    for n in range(4):
+        feed(into, n, [{"task_id": f"t{n}-{i}", "version": 1, "state": "run"} for i in range(50)])
+    feed(into, 9, [{"task_id": "t0-0", "version": 2, "state": "run"}])
+    updates = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).json(str(into))
+    q = publish.task_states(updates, out, check, lambda df: df["state"] == "done", SCHEMA)
+    q.awaitTermination()
+    changed = [p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"]]
+    assert changed == [50, 50, 50, 50, 1] and publish.current(spark, out, SCHEMA).count() == 200
+
+
 def test_results_are_published_once(spark, tmp_path):
     into = tmp_path / "in"
     feed(into, 1, [{"source_id": "s1", "seen_at": "2024-01-01T00:00:00"}, {"source_id": "s2", "seen_at": "2024-01-01T00:00:01"}])
