@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 try:
@@ -89,32 +90,42 @@ def node_calls(source: str) -> list[tuple[int, str, str]]:
     """
     tokens = [(m[0], m.start()) for m in JS_TOKEN.finditer(source) if not m[0].startswith(("//", "/*"))]
     words = [t for t, _ in tokens]
+    newlines = [m.start() for m in re.finditer("\n", source)]
+    places: dict[str, list[int]] = {}
+    for i, w in enumerate(words):
+        places.setdefault(w, []).append(i)
+    taken = _parameters(words)
     out = []
     for name, method, since in _node_imports(words):
         whole = [name] if method else None
-        for i in range(since, len(words)):
-            if words[i] != name or words[i - 1] == ".":
+        at_name = places.get(name, [])
+        for i in at_name[bisect_left(at_name, since) :]:
+            if words[i - 1] == ".":
                 continue
-            if words[i + 1 : i + 2] == ["="] or _is_parameter(words, i):
+            if words[i + 1 : i + 2] == ["="] or i in taken:
                 break
             at = i + 1 if whole else i + 3
             called = method or (words[i + 2] if words[i + 1 : i + 2] == ["."] and i + 2 < len(words) else "")
             if called in MAKERS and words[at : at + 1] == ["("] and words[at + 2 : at + 3] in ([","], [")"]) and words[at + 1][0] in "'\"":
-                out.append((source.count("\n", 0, tokens[i][1]) + 1, called, words[at + 1][1:-1]))
+                out.append((bisect_left(newlines, tokens[i][1]) + 1, called, words[at + 1][1:-1]))
     return sorted(out)
 
 
-def _is_parameter(words: list[str], i: int) -> bool:
-    """Whether token i is inside parentheses that a body follows."""
-    for j in range(i - 1, -1, -1):
-        if words[j] in (")", ";", "{", "}"):
-            return False
-        if words[j] == "(":
-            break
-    else:
-        return False
-    end = next((k for k in range(i, len(words)) if words[k] == ")"), len(words))
-    return words[end + 1 : end + 2] in (["=>"], ["{"])
+def _parameters(words: list[str]) -> set[int]:
+    """Tokens that follow an opening parenthesis, if a body follows the next closing one; found in one pass."""
+    out: set[int] = set()
+    waiting: list[int] = []
+    opened = False
+    for i, w in enumerate(words):
+        if w == ")":
+            if words[i + 1 : i + 2] in (["=>"], ["{"]):
+                out.update(waiting)
+            waiting, opened = [], False
+        elif w in ("(", ";", "{", "}"):
+            opened = w == "("
+        elif opened:
+            waiting.append(i)
+    return out
 
 
 def _end_of_names(words: list[str], i: int, stop: str) -> int | None:

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.functions import rules, syntax, text
@@ -77,3 +78,43 @@ def test_folder(spark, tmp_path):
     sources, skipped = folder(spark, str(tmp_path))
     assert [r.content for r in sources.collect()] == ["x = 1"]
     assert {r.reason: r.files for r in skipped.collect()} == {"unsupported_type": 1, "not_utf8": 1}
+
+
+def test_long_lines_take_linear_time():
+    """Names, tokens and secrets are read once: eight times the text takes about eight times as long."""
+    import time
+
+    from cairn.functions import programs, redaction, syntax
+
+    def took(f, text):
+        began = time.perf_counter()
+        list(f(text))
+        return time.perf_counter() - began
+
+    chain = lambda n: "import a\n" + ".".join(["a"] * n)
+    words = lambda n: "import * as c from 'crypto'\n" + "f(c " * n
+    dashes = lambda n: "a-" * n + ' "' * n + "password = f(" + "alg = " * n
+    for f, text in ((lambda t: syntax.text_facts(t, False, False), chain), (programs.node_calls, words), (redaction.masked_lines, dashes)):
+        short, long = took(f, text(8000)), took(f, text(64_000))
+        assert long < 2 and long < 14 * short + 0.1
+
+
+@pytest.mark.parametrize(
+    ("source", "found"),
+    [
+        ("import m as a\ndef f():\n    a.g()\nf()\na = 1", [("call", 3, "a.g", "m.g")]),
+        ("import m as a\ndef f():\n    a.g()\na = 1", []),
+        ("if x:\n    import m as a\nelse:\n    import n as a\na.g()", [("note", 5, None, "binding_unresolved")]),
+        ("if x:\n    import m as a\n    def f():\n        a.g()\nelse:\n    a = 1", [("call", 4, "a.g", "m.g")]),
+        ("import m as a\nif x:\n    a = 1\nelse:\n    a.g()\na.h()", [("call", 5, "a.g", "m.g"), ("note", 6, None, "binding_unresolved")]),
+        ("import m as a\nclass c:\n    a = 1\n    a.g()\n    def f(self):\n        a.h()", [("call", 6, "a.h", "m.h")]),
+        ("import m as a\ndef f(x):\n    [a for a in x]\n    a.g()\n    (lambda a: a.h())(1)", [("call", 4, "a.g", "m.g")]),
+        ("import m as a\ndef f():\n    def g():\n        global a\n        a.h()\n    a = 1\n    g()", [("call", 5, "a.h", "m.h")]),
+        ("import m as a\ndef f():\n    a.g()\n    if x:\n        a = 1", []),
+        ("if not 0:\n    import m as a\nelse:\n    alg = 'RS256'\na.g(alg='ES256')", [("call", 5, "a.g", "m.g"), ("string", 5, "alg", "ES256")]),
+    ],
+)
+def test_names_in_force(source, found):
+    from cairn.functions import syntax
+
+    assert syntax.python_facts(source) == found
