@@ -151,23 +151,41 @@ def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))[:, None]]).astype(np.float32)
 
 
-GRAPH = "dim int, shard long, n long, entry long, top long, ids string, x binary, links array<binary>"
+GRAPH = "dim int, shard long, n long, entry long, top long, most double, ids string, x binary, links array<binary>"
 
 
-def shard_graphs(classes: DataFrame, most: float, shards: int) -> DataFrame:
-    """A graph for each dimension and shard; classes are dealt to shards by hash, and every one is in a graph."""
+def dealt_classes(classes: DataFrame, shard_rows: int | None) -> tuple[DataFrame, DataFrame]:
+    """(dim, shard, class_id and v of all classes; dim and shards, the number of a dimension's shards).
+
+    A shard has vectors whose squared lengths differ by a factor of two at
+    most, as the component that makes lengths equal would else drown the
+    others; vectors of such a range that are too many for a shard are dealt by
+    hash. There is a row for each dimension and range, so at most some two
+    thousand ranges of a dimension.
+    """
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    sized = classes.select(F.size("v").alias("dim"), F.floor(F.log2(F.least(F.greatest(square, F.lit(1e-300)), F.lit(1e300))) + 0.5).alias("range"), "class_id", "v")
+    room = F.lit(shard_rows) if shard_rows else F.greatest(F.lit(1024), F.floor(F.lit(SHARD_NUMBERS) / F.col("dim")))
+    pieces = materialize(sized.groupBy("dim", "range").agg(F.count(F.lit(1)).alias("n")).select("dim", "range", F.ceil(F.col("n") / room).alias("pieces")), "ranges")
+    before = F.sum("pieces").over(Window.partitionBy("dim").orderBy("range")) - F.col("pieces")
+    dealt = sized.join(F.broadcast(pieces.withColumn("first", before)), ["dim", "range"])
+    return dealt.select("dim", (F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("pieces"))).cast("long").alias("shard"), "class_id", "v"), pieces.groupBy("dim").agg(F.sum("pieces").alias("shards"))
+
+
+def shard_graphs(dealt: DataFrame) -> DataFrame:
+    """A graph for each dimension and shard; every class is in a graph."""
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("class_id")
         x = matrix(rows["v"])
+        most = float((x * x).sum(axis=1).max())
         g = Hnsw(_lifted(x, most))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "n": [len(x)], "entry": [g.entry], "top": [g.top], "ids": ["".join(rows["class_id"])], "x": [x.tobytes()], "links": [[a.tobytes() for a in g.links]]})
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "n": [len(x)], "entry": [g.entry], "top": [g.top], "most": [most], "ids": ["".join(rows["class_id"])], "x": [x.tobytes()], "links": [[a.tobytes() for a in g.links]]})
 
-    dealt = classes.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("class_id"), F.lit(shards)).alias("shard"), "class_id", "v")
     return materialize(dealt.groupBy("dim", "shard").applyInPandas(build, GRAPH), "graphs")
 
 
-def graph_hits(graphs: DataFrame, asked: DataFrame, most: float, shards: int, k: int, ef: int, query_rows: int, blocks_per_task: int) -> DataFrame:
+def graph_hits(graphs: DataFrame, asked: DataFrame, shards: DataFrame, k: int, ef: int, query_rows: int, blocks_per_task: int) -> DataFrame:
     """q, class_id and score of the k + 1 nearest found in each shard for each row (q, v, dim) of asked.
 
     Queries travel in blocks. A task of `blocks_per_task` blocks reads its
@@ -177,13 +195,14 @@ def graph_hits(graphs: DataFrame, asked: DataFrame, most: float, shards: int, k:
     blocks = max(1, -(-asked.count() // query_rows))
     packed = asked.groupBy("dim", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("qs"))
     splits = -(-blocks // blocks_per_task)
-    shape = "kind int, n long, entry long, top long, ids string, x binary, links array<binary>, qs array<struct<q:string,v:array<double>>>"
+    shape = "kind int, n long, entry long, top long, most double, ids string, x binary, links array<binary>, qs array<struct<q:string,v:array<double>>>"
     empty = lambda *names: [F.lit(None).alias(c) for c in names]
-    body = ["n", "entry", "top", "ids", "x", "links"]
+    body = ["n", "entry", "top", "most", "ids", "x", "links"]
+    number = graphs.count()
     first = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("kind"), *body, *empty("qs"))
-    then = packed.select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod("block", F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), *empty(*body), "qs")
+    then = packed.join(F.broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"), F.pmod("block", F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), *empty(*body), "qs")
     at = ["dim", "shard", "split"]
-    dealt = first.unionByName(then).repartition(max(graphs.sparkSession.sparkContext.defaultParallelism, shards * splits), *at).sortWithinPartitions(*at, "kind")
+    dealt = first.unionByName(then).repartition(max(graphs.sparkSession.sparkContext.defaultParallelism, number * splits), *at).sortWithinPartitions(*at, "kind")
 
     def search(batches):
         place, g, x, ids = None, None, None, ""
@@ -193,7 +212,7 @@ def graph_hits(graphs: DataFrame, asked: DataFrame, most: float, shards: int, k:
                 if r.kind == 0:
                     place, ids = here, r.ids
                     x = np.frombuffer(r.x, np.float64).reshape(int(r.n), -1)
-                    g = Hnsw.stored(_lifted(x, most), [np.frombuffer(a, np.int32).reshape(int(r.n), -1) for a in r.links], int(r.entry), int(r.top))
+                    g = Hnsw.stored(_lifted(x, r.most), [np.frombuffer(a, np.int32).reshape(int(r.n), -1) for a in r.links], int(r.entry), int(r.top))
                     continue
                 if here != place:
                     continue  # no vector of this dimension is in the shard
@@ -213,8 +232,9 @@ def search_inner(vectors: DataFrame, queries, k: int = 20, shard_rows: int | Non
     """query_id, rank, vec_id and score: the k largest inner products of each query found among all other rows.
 
     `queries` is a condition on vec_id. Equal vectors are one class; every
-    class is in the graph of one of the shards, which are dealt by hash and
-    hold about `shard_rows` classes (32 MB of vectors unless it is given).
+    class is in the graph of one of the shards, which are dealt by length and
+    hash and hold about `shard_rows` classes (32 MB of vectors unless it is
+    given).
     Graphs are built by one task each, stored as flat arrays in the shared
     folder, and searched by blocks of queries; the shards' results are merged
     by a top-k aggregate. Scores are computed in double precision from the
@@ -231,11 +251,10 @@ def search_inner(vectors: DataFrame, queries, k: int = 20, shard_rows: int | Non
     small_batches(vectors.sparkSession)
     members, classes = vector_classes(vectors.where(F.col("vec_id").isNotNull()))
     members = members.distinct()
-    n, dims, most = classes.agg(F.count(F.lit(1)), F.max(F.size("v")), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
-    shards = max(1, -(-n // (shard_rows or max(1024, SHARD_NUMBERS // (dims or 1)))))
-    graphs = shard_graphs(classes, most or 0.0, shards)
+    dealt, shards = dealt_classes(classes, shard_rows)
+    graphs = shard_graphs(dealt)
     asked = members.where(queries).join(classes.select("class_id", "v"), "class_id").select(F.col("class_id").alias("q"), "v").distinct().withColumn("dim", F.size("v"))
-    hits = graph_hits(graphs, asked, most or 0.0, shards, k, ef, query_rows, blocks_per_task)
+    hits = graph_hits(graphs, asked, shards, k, ef, query_rows, blocks_per_task)
     # rank() keeps all that tie with the last place: a class may have smaller ids than another of the same score
     ranked = hits.withColumn("r", F.rank().over(Window.partitionBy("q").orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
     first = Window.partitionBy("class_id").orderBy("vec_id")

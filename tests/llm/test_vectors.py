@@ -1,6 +1,7 @@
 """Embedding operators on large groups, dense topics, ties and repeated rows, against brute force."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import neighbours, vectors
@@ -61,10 +62,20 @@ def test_tiles_of_components_and_of_prefixes(spark):
     assert [got[i].component_id for i in range(len(x))] == root.tolist()
 
 
-def test_nearest_over_shards(spark):
-    x = scene(np.random.default_rng(6), 600, 1500, 300)
+def unequal(kind):
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((6000, 64))
+    if kind == "mixed":  # unit vectors, and a sixth of random ones that are eight times as long
+        x[:5000] /= np.linalg.norm(x[:5000], axis=1, keepdims=True)
+        return x[rng.permutation(6000)].astype(np.float32)
+    return (x / np.linalg.norm(x, axis=1, keepdims=True) * rng.lognormal(0, 1, (6000, 1))).astype(np.float32)
+
+
+@pytest.mark.parametrize("kind", ["scene", "mixed", "lognormal"])
+def test_nearest_over_shards(spark, kind):
+    x = scene(np.random.default_rng(6), 600, 1500, 300) if kind == "scene" else unequal(kind)
     got: dict = {}
-    for r in neighbours.search_inner(frame(spark, x), F.col("vec_id") % 20 == 0, shard_rows=700).orderBy("query_id", "rank").collect():
+    for r in neighbours.search_inner(frame(spark, x), F.col("vec_id") % 20 == 0, shard_rows=700 if kind == "scene" else 3000).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     u, hits = x.astype(np.float64), 0
     for q in range(0, len(x), 20):
