@@ -20,7 +20,7 @@ AROUND = frozenset("nav header footer aside form menu dialog".split())
 #: Words of class and id tokens that mark what isn't the article: what a page may also call a frame of the article, and what it doesn't.
 FRAMES = frozenset("banner footer header legal login masthead menu modal nav navbar navigation notice notices overlay popup copyright search side sidebar toolbar widget".split())
 EXTRAS = frozenset(
-    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus gdpr newsletter pagination promo promotion recommended related replies respond share sharing signup social sponsor sponsored subscribe".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies discussion disqus gdpr newsletter pagination promo promotion recommended related replies respond share sharing signup social sponsor sponsored subscribe teaser teasers".split()
 )
 #: Words that may stand beside them in a token.
 BESIDE = frozenset("area bar block bottom box buttons container cookie first global group inner item items last left link links list main outer page panel post posts primary reader right row secondary section site slot sub thread top user unit wrap wrapper".split())
@@ -43,8 +43,8 @@ ATTRIBUTE = re.compile(r"[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "template", "iframe")}
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-#: Lines in the sliding window, and the code points in it at which text surges.
-WINDOW, SURGE = 3, 80
+#: Lines in the sliding window, the code points in it at which text surges, and those that the name of an article element counts for in each line.
+WINDOW, SURGE, NAMED = 3, 80, 27
 
 
 @dataclass
@@ -245,19 +245,25 @@ def settle_marks(marks: list[Mark]) -> None:
         node.off = marks[node.parent].off or not (node.frame and (2 * node.article > article if article else 2 * node.text > whole))
 
 
-def surges(length: list[int], threshold: int) -> list[bool]:
-    """Which lines are between a surge and a dive of the sums over sliding windows."""
+def surges(length: list[int], container: list[int], threshold: int) -> list[bool]:
+    """Which lines are between a surge and a dive of the sums over sliding windows.
+
+    Behind the last surge a window still reaches back to it; lines of another
+    container than the last heavy line's don't belong to it.
+    """
     total = [0]
     for x in length:
         total.append(total[-1] + x)
-    n, out, inside = len(length), [], False
+    n, out, inside, heavy = len(length), [], False, 0
     for i in range(n):
         ahead = total[min(n, i + WINDOW)] - total[i]
         behind = total[i + 1] - total[max(0, i + 1 - WINDOW)]
         if not inside:
             inside = bool(length[i]) and ahead >= threshold
-        elif max(ahead, behind) < threshold:
+        elif max(ahead, behind) < threshold or ahead < threshold and container[i] != heavy:
             inside = False
+        if inside and length[i] * WINDOW >= threshold:
+            heavy = container[i]
         out.append(inside)
     return out
 
@@ -266,13 +272,14 @@ def main_text(page: str | None) -> str:
     """The text between the surges and dives of a page's line blocks.
 
     A line weighs its code points outside links, and nothing inside elements
-    that are marked as other than the article. A line of an article element
-    weighs as much as a surge besides, and the lines outside of it weigh
-    nothing, if article elements hold a third of the text or more. Text surges
-    where the weights in a window of lines reach a threshold, and dives where
-    the windows before and after are below it. Lines of a container that holds
-    a surge stay with it, so that short paragraphs, lists and verse aren't
-    torn out of a text.
+    that are marked as other than the article. Where article elements hold a
+    third of the text or more, their names add a third of a surge to each
+    line in them, and lines outside of them weigh nothing. Text surges where
+    the weights in a window of lines reach a threshold, and dives where the
+    windows before and after are below it. Lines of a container that holds a
+    surge stay with it, and lines of links between two lines that stay, so
+    that short paragraphs, lists and verse aren't torn out of a text. A page
+    with less text than a surge keeps all of it.
     """
     if not page:
         return ""
@@ -284,18 +291,28 @@ def main_text(page: str | None) -> str:
     held = sum(p for p, s, a in zip(plain, shown, lines.article, strict=True) if s and a)
     other = sum(p for p, s, a in zip(plain, shown, lines.article, strict=True) if s and not a)
     leads = held > 0 and 2 * held >= other
-    length = []
+    length, menu = [], []
     for i in range(n):
-        menu = 2 * lines.linked[i] > len(lines.text[i]) and len(lines.text[i]) < SURGE
-        if not shown[i] or menu or leads and not lines.article[i]:
+        menu.append(2 * lines.linked[i] > len(lines.text[i]) and len(lines.text[i]) < SURGE)
+        if not shown[i] or leads and not lines.article[i]:
             length.append(0)
         else:
-            length.append(len(lines.text[i]) + SURGE if leads else plain[i])
-    most = max((sum(length[i : i + WINDOW]) for i in range(n)), default=0)
-    inside = surges(length, min(SURGE, most) or 1)
+            length.append((0 if menu[i] else plain[i]) + (NAMED if leads else 0))
+    able = [shown[i] and (not leads or lines.article[i]) for i in range(n)]
+    total = sum(p for p, x in zip(plain, able, strict=True) if x)
+    if total < SURGE:
+        inside = able  # too little text to surge anywhere: all of it is the page's
+    else:
+        inside = surges(length, [0] * n if leads else lines.container, SURGE)
+    # what is kept around a line of links in one container keeps the line
     whole = {lines.container[i] for i in range(n) if inside[i] and length[i] >= SURGE and lines.container[i]}
-    kept = [lines.text[i] for i in range(n) if length[i] and (inside[i] or lines.container[i] in whole)]
-    return "\n".join(kept)
+    keep = [able[i] and not menu[i] and (inside[i] or lines.container[i] in whole) for i in range(n)]
+    firm: dict[int, list[int]] = {}
+    for i in range(n):
+        if keep[i]:
+            firm.setdefault(lines.container[i], []).append(i)
+    between = lambda i: (c := firm.get(lines.container[i])) is not None and lines.container[i] and c[0] < i < c[-1]
+    return "\n".join(lines.text[i] for i in range(n) if keep[i] or able[i] and menu[i] and between(i))
 
 
 def extract(column: Column) -> Column:

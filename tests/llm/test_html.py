@@ -40,6 +40,31 @@ def test_main_text(body, text):
     assert main_text(around(body)) == text
 
 
+VERSE = "".join(f"<p>line {i}</p>" for i in range(30))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<p>Hello.</p><p>A little more text.</p><p>x</p>", "Hello.\nA little more text.\nx"),
+        (f"<article><p>{LONG}</p><p><a href=x>See the whole list</a></p><p>{LONG}</p></article>", f"{LONG}\nSee the whole list\n{LONG}"),
+        (f"<article>{VERSE}</article><p>{LONG[:40]}</p>", "\n".join(f"line {i}" for i in range(30))),
+        (f'<main><p>{LONG}</p></main><div class="discussion"><p>{LONG} Not mine.</p></div>', LONG),
+    ],
+)
+def test_short_pages_and_lines_of_links(page, text):
+    assert main_text(page) == text
+
+
+def test_windows_find_the_text_where_no_element_names_it():
+    """The same text whether or not elements name the article, between a menu, a side column and a footer of short lines."""
+    body = f"<h1>The title of it</h1><p>{LONG}</p><p>Short.</p><ul><li>one</li><li>two</li></ul><p>{LONG} And more.</p>"
+    menu = "".join(f"<li><a href=/{i}>Item {i}</a></li>" for i in range(9))
+    page = f"<div><ul>{menu}</ul></div><div>{{}}</div><div><p>12 Oct</p></div><div><p><a href=/>Home</a></p><p>Top</p><p>Imprint</p></div>"
+    named = main_text(page.format(f"<article>{body}</article>"))
+    assert named == main_text(page.format(f"<div>{body}</div>")) == f"The title of it\n{LONG}\nShort.\none\ntwo\n{LONG} And more."
+
+
 @pytest.mark.parametrize("page", ["<b></i>" * 100_000, "<textarea>" * 100_000, "<div><b>" + "<b>" * 50_000 + "<p>x" * 50_000, '<a "' * 100_000, '<a x="' * 100_000, "<" * 200_000, "<!--" * 100_000, "<div>" * 100_000 + "x", "<a " + "= " * 200_000])
 def test_long_odd_pages_take_linear_time(page):
     began = time.time()
