@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cairn.operators.steps import settled
+
 SEARCHED = ["file_name", "source_id", "algorithm", "evidence", "library", "resolved_api", "recommendation"]
 
 
@@ -108,13 +110,12 @@ def merged_tail(rows: DataFrame, key: str, count: str, capacity: int) -> DataFra
 
 
 def neighbourhood(edges: DataFrame, start: DataFrame, steps: int = 1, source: str = "source", target: str = "target", node: str = "node") -> DataFrame:
-    """Nodes within so many steps of some nodes, either way along edges, with their distance."""
-    both = edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")).unionByName(edges.select(F.col(target).alias("_a"), F.col(source).alias("_b")))
-    seen = start.select(node).distinct().withColumn("distance", F.lit(0))
-    front = seen
+    """Nodes within so many steps of some nodes, either way along edges, with their distance; each step is kept as a checkpoint."""
+    both = settled(edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")).unionByName(edges.select(F.col(target).alias("_a"), F.col(source).alias("_b"))).distinct())
+    seen = front = settled(start.select(node).distinct().withColumn("distance", F.lit(0)))
     for d in range(1, steps + 1):
         near = front.join(both, F.col(node) == F.col("_a")).select(F.col("_b").alias(node)).distinct()
-        front = near.join(seen.select(node), node, "left_anti").withColumn("distance", F.lit(d))
+        front = settled(near.join(seen.select(node), node, "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
@@ -127,14 +128,19 @@ def visible(boxes: DataFrame, links: DataFrame, left: float, top: float, right:
     return seen, ends.join(ids, F.col("_end") == F.col("_id"), "left_semi").select("source", "target").distinct()
 
 
-def closure(edges: DataFrame, steps: int, source: str = "source", target: str = "target") -> DataFrame:
-    """(source, target) of all targets within so many steps along edges; cycles end where nothing is new."""
-    known = edges.select(source, target).where(F.col(source) != F.col(target)).distinct()
-    step = edges.select(F.col(source).alias("_s"), F.col(target).alias("_t"))
-    front = known
-    for _ in range(steps - 1):
-        new = front.join(step, F.col(target) == F.col("_s")).select(source, F.col("_t").alias(target)).where(F.col(source) != F.col(target)).distinct().join(known, [source, target], "left_anti")
-        known, front = known.unionByName(new), new
+def closure(edges: DataFrame, steps: int | None = None, source: str = "source", target: str = "target") -> DataFrame:
+    """(source, target) of all targets within so many steps along edges, or of all that edges reach.
+
+    A round joins only what the last one found, and keeps it as a checkpoint,
+    so that plans stay as long as one round; it ends when nothing is new.
+    """
+    step = settled(edges.select(F.col(source).alias("_s"), F.col(target).alias("_t")).where(F.col("_s") != F.col("_t")).distinct())
+    known = front = step.select(F.col("_s").alias(source), F.col("_t").alias(target))
+    rounds = 1
+    while (steps is None or rounds < steps) and front.limit(1).count():
+        new = front.join(step, F.col(target) == F.col("_s")).select(source, F.col("_t").alias(target)).where(F.col(source) != F.col(target)).distinct()
+        front = settled(new.join(known, [source, target], "left_anti"))
+        known, rounds = known.unionByName(front), rounds + 1
     return known
 
 

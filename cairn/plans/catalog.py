@@ -193,12 +193,12 @@ def longest_prefix_join(spark, sf_dir):
     return seq.longest_prefix(names, "target", modules, "module", ".").select("p_partkey", "target", "prefix")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS caller, s_suppkey % 25 AS callee FROM supplier WHERE s_nationkey < s_suppkey % 25),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT s_nationkey AS caller, s_suppkey % 25 AS callee FROM supplier),
 w(sink, place, depth) AS (SELECT callee, callee, 0 FROM (SELECT DISTINCT callee FROM e) UNION SELECT w.sink, e.caller, w.depth + 1 FROM w JOIN e ON e.callee = w.place WHERE w.depth < 5)
 SELECT CAST(sink AS BIGINT) AS sink, CAST(place AS BIGINT) AS caller, CAST(min(depth) AS INT) AS depth FROM w WHERE depth > 0 GROUP BY ALL""")
 def caller_recursion(spark, sf_dir):
     s = table(spark, sf_dir, "supplier")
-    e = s.select(F.col("s_nationkey").cast("long").alias("caller"), (F.col("s_suppkey") % 25).alias("callee")).where("caller < callee").distinct()
+    e = s.select(F.col("s_nationkey").cast("long").alias("caller"), (F.col("s_suppkey") % 25).alias("callee")).distinct()
     level = e.select(F.col("callee").alias("sink"), "caller", F.lit(1).alias("depth"))
     every = level
     for depth in range(2, 6):  # at most five calls deep: five unrolled joins, distinct at each level

@@ -9,6 +9,7 @@ from cairn.functions import names, redaction, rules
 from cairn.operators import checks
 from cairn.operators import selection as sel
 from cairn.operators import sequences as seq
+from cairn.plans.files import pick
 from cairn.plans.registry import query
 from cairn.sources.readers import table
 
@@ -240,16 +241,21 @@ def code_window(spark, sf_dir):
 # ---- graphs -------------------------------------------------------------------------------------
 
 
-@query("""WITH a(algorithm, problem, targets) AS (VALUES ('RSA', 'integer-factorization', ['ML-KEM', 'ML-DSA']), ('DSA', 'discrete-log', ['ML-DSA']), ('DH', 'discrete-log', ['ML-KEM']), ('ECDH', 'elliptic-curve-dlog', ['ML-KEM']), ('ECDSA', 'elliptic-curve-dlog', ['ML-DSA']), ('ECC', 'elliptic-curve-dlog', ['ML-KEM', 'ML-DSA']),
-('X25519', 'elliptic-curve-dlog', ['ML-KEM']), ('X448', 'elliptic-curve-dlog', ['ML-KEM']), ('EdDSA', 'elliptic-curve-dlog', ['ML-DSA', 'SLH-DSA']), ('Ed25519', 'elliptic-curve-dlog', ['ML-DSA', 'SLH-DSA']), ('Ed448', 'elliptic-curve-dlog', ['ML-DSA', 'SLH-DSA']))
-SELECT 'algorithm:' || algorithm AS source, 'math:' || problem AS target FROM a UNION ALL SELECT 'algorithm:' || algorithm, 'pqc:' || unnest(targets) FROM a UNION ALL SELECT DISTINCT 'math:' || problem, 'risk:shor' FROM a""")
+@query("""WITH a(algorithm, problem, targets) AS (VALUES ('RSA', 'integer-factorization', ['ML-KEM', 'ML-DSA']), ('DH', 'discrete-log', ['ML-KEM']), ('ECDSA', 'elliptic-curve-dlog', ['ML-DSA']), ('EdDSA', 'elliptic-curve-dlog', ['ML-DSA', 'SLH-DSA'])),
+f AS (SELECT l_orderkey, ['RSA', 'DH', 'ECDSA', 'EdDSA'][l_linenumber % 4 + 1] AS algorithm FROM lineitem), g AS (SELECT algorithm, count(*) AS findings FROM f GROUP BY 1)
+SELECT 'algorithm:' || algorithm AS source, 'math:' || problem AS target, CAST(findings AS BIGINT) AS findings FROM a JOIN g USING (algorithm) UNION ALL SELECT 'algorithm:' || algorithm, 'pqc:' || unnest(targets), CAST(findings AS BIGINT) FROM a JOIN g USING (algorithm)
+UNION ALL SELECT 'math:' || problem, 'risk:shor', CAST(sum(findings) AS BIGINT) FROM a JOIN g USING (algorithm) GROUP BY problem UNION ALL SELECT 'source:' || l_orderkey, 'algorithm:' || algorithm, CAST(count(*) AS BIGINT) FROM f GROUP BY ALL""")
 def knowledge_edges(spark, sf_dir):
-    p = rules.profiles(spark)
+    """What findings, algorithms, problems and directions have to do with each other, with how many findings stand behind each edge."""
+    found = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("source:"), F.col("l_orderkey").cast("string")).alias("file"), pick(F.col("l_linenumber"), "RSA", "DH", "ECDSA", "EdDSA").alias("algorithm"))
+    count = F.count(F.lit(1)).alias("findings")
+    p = rules.profiles(spark).select("algorithm", "recommendation").join(found.groupBy("algorithm").agg(count), "algorithm")
     problem = F.when(F.col("algorithm") == "RSA", "math:integer-factorization").when(F.col("algorithm").isin("DH", "DSA"), "math:discrete-log").otherwise("math:elliptic-curve-dlog")
     name = F.concat(F.lit("algorithm:"), "algorithm")
     named = F.array_compact(F.array(*[F.when(F.col("recommendation").contains(t), F.lit(f"pqc:{t}")) for t in ("ML-KEM", "ML-DSA", "SLH-DSA")]))
-    rests = p.select(name.alias("source"), problem.alias("target"))
-    return rests.union(p.select(name, F.explode(named))).union(rests.select("target", F.lit("risk:shor")).distinct())
+    rests = p.select(name.alias("source"), problem.alias("target"), "findings")
+    out = rests.union(p.select(name, F.explode(named), "findings")).union(rests.groupBy("target").agg(F.sum("findings").alias("findings")).select("target", F.lit("risk:shor"), "findings"))
+    return out.union(found.groupBy("file", name.alias("a")).agg(count))
 
 
 @query("""SELECT o_orderpriority AS level, CAST(count_if(o_orderstatus = 'F') AS BIGINT) AS f, CAST(count_if(o_orderstatus = 'O') AS BIGINT) AS o, CAST(count_if(o_orderstatus = 'X') AS BIGINT) AS x FROM orders GROUP BY 1""")

@@ -8,6 +8,7 @@ from cairn.functions import catalogue, names
 from cairn.functions.rules import profiles
 from cairn.operators import dispatch, numbering, views
 from cairn.operators import integration as itg
+from cairn.plans.deep import imports
 from cairn.plans.files import pick
 from cairn.plans.registry import query
 from cairn.sources.readers import config_corpus, table
@@ -161,26 +162,23 @@ def merged_tail(spark, sf_dir):
     return views.merged_tail(table(spark, sf_dir, "events").withColumn("one", F.lit(1).cast("long")), "user_id", "one", 8)
 
 
-EDGES = "e AS (SELECT DISTINCT l_partkey % 300 AS source, l_suppkey % 300 AS target FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 40 = 1)"
+EDGES = "e AS (SELECT DISTINCT l_partkey AS source, -1 - l_suppkey AS target FROM lineitem)"
 
 
-def edges(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 40 = 1").select((F.col("l_partkey") % 300).alias("source"), (F.col("l_suppkey") % 300).alias("target")).distinct()
-
-
-@query(f"""WITH {EDGES}, b AS (SELECT * FROM e UNION SELECT target, source FROM e), d0 AS (SELECT 1 AS node UNION SELECT 2), d1 AS (SELECT DISTINCT b.target AS node FROM d0 JOIN b ON node = source WHERE b.target NOT IN (SELECT node FROM d0)),
+@query(f"""WITH {EDGES}, b AS (SELECT * FROM e UNION SELECT target, source FROM e), d0 AS (SELECT 1 AS node UNION SELECT -3), d1 AS (SELECT DISTINCT b.target AS node FROM d0 JOIN b ON node = source WHERE b.target NOT IN (SELECT node FROM d0)),
 d2 AS (SELECT DISTINCT b.target AS node FROM d1 JOIN b ON node = source WHERE b.target NOT IN (SELECT node FROM d0) AND b.target NOT IN (SELECT node FROM d1))
 SELECT node, 0 AS distance FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2""")
 def neighbourhood(spark, sf_dir):
-    """Nodes within two steps of two nodes."""
-    return views.neighbourhood(edges(spark, sf_dir), spark.createDataFrame([(1,), (2,)], "node long"), 2)
+    """Nodes within two steps of a part and a supplier, among all that is supplied."""
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("source"), (-1 - F.col("l_suppkey")).cast("long").alias("target")).distinct()
+    return views.neighbourhood(edges, spark.createDataFrame([(1,), (-3,)], "node long"), 2)
 
 
-@query(f"""WITH {EDGES}, s1 AS (SELECT DISTINCT source, target FROM e WHERE source <> target), s2 AS (SELECT s1.source, e.target FROM s1 JOIN e ON s1.target = e.source WHERE s1.source <> e.target UNION SELECT * FROM s1),
-s3 AS (SELECT s2.source, e.target FROM s2 JOIN e ON s2.target = e.source WHERE s2.source <> e.target UNION SELECT * FROM s2) SELECT * FROM s3""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS source, c_custkey // 3 AS target FROM customer WHERE c_custkey >= 3 UNION SELECT c_custkey, c_custkey - 1 FROM customer WHERE c_custkey % 10 = 1 UNION SELECT c_custkey, c_custkey + 1 FROM customer WHERE c_custkey % 10 = 0 AND c_custkey < (SELECT max(c_custkey) FROM customer)),
+r AS (SELECT source, target FROM e UNION SELECT r.source, e.target FROM r JOIN e ON r.target = e.source) SELECT source, target FROM r WHERE source <> target""")
 def dependency_closure(spark, sf_dir):
-    """Modules that a module depends on within three imports."""
-    return views.closure(edges(spark, sf_dir), 3)
+    """All modules that a module depends on, over any number of imports and over cycles."""
+    return views.closure(imports(spark, sf_dir)[1].select(F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")))
 
 
 @query("""WITH b AS (SELECT p_partkey AS id, p_partkey % 97 * 10.0 AS x, p_partkey % 89 * 10.0 AS y, p_size * 1.0 AS width, 8.0 AS height FROM part), v AS (SELECT id FROM b WHERE x <= 300 AND x + width >= 100 AND y <= 400 AND y + height >= 200)
@@ -233,15 +231,10 @@ def algorithm_names(spark, sf_dir):
 # ---- whole scans --------------------------------------------------------------------------------
 
 
-@query("SELECT 'f' || p_partkey || '.yaml' AS file_name, CASE WHEN p_size % 5 = 0 THEN 'RSA' WHEN p_size % 5 = 1 THEN 'ECDSA' WHEN p_size % 5 = 2 THEN 'EdDSA' ELSE 'X25519' END AS algorithm, 2 AS line, 'text_config' AS rule_id, 'crypto-rules-3' AS rule_version, '高风险' AS risk_level FROM part WHERE p_size % 5 <> 3 AND p_partkey % 3 <> 0 AND p_partkey % 7 <> 0")
+@query("""SELECT 'f' || p_partkey || '.yaml' AS file_name, CASE WHEN bad THEN NULL WHEN p_size % 5 = 0 THEN 'RSA' WHEN p_size % 5 = 1 THEN 'ECDSA' WHEN p_size % 5 = 2 THEN 'EdDSA' ELSE 'X25519' END AS algorithm, CASE WHEN bad THEN 0 ELSE 2 END AS line,
+CASE WHEN bad THEN NULL ELSE 'text_config' END AS rule_id, 'crypto-rules-3' AS rule_version, CASE WHEN bad THEN NULL ELSE '高风险' END AS risk_level, CASE WHEN bad THEN 'config_parse_error' END AS diagnostic
+FROM (SELECT *, p_partkey % 3 = 0 OR p_partkey % 7 = 0 AS bad FROM part) WHERE bad OR p_size % 5 <> 3""")
 def findings_with_rules(spark, sf_dir):
-    """Findings of well-formed configuration files with the rule that made them."""
-    files = config_corpus(spark, sf_dir).where(F.expr("cast(substr(file_name, 2, length(file_name) - 6) as int) % 3 <> 0 and cast(substr(file_name, 2, length(file_name) - 6) as int) % 7 <> 0"))
-    return dispatch.with_rules(dispatch.scan(files).where("diagnostic is null")).select("file_name", "algorithm", "line", "rule_id", "rule_version", "risk_level")
-
-
-@query("SELECT 11 AS profiles, 40 AS calls, 14 AS jwt_names")
-def dimension_sizes(spark, sf_dir):
-    """How many rows the fixed dimensions have."""
-    counts = [df.agg(F.count(F.lit(1)).cast("int").alias(n)) for n, df in (("profiles", profiles(spark)), ("calls", catalogue.api_catalogue(spark)), ("jwt_names", catalogue.jwt_catalogue(spark)))]
-    return counts[0].crossJoin(counts[1]).crossJoin(counts[2])  # three tables of one row
+    """Findings of configuration files with the rule that made them, and files that can't be read."""
+    found = dispatch.with_rules(dispatch.scan(config_corpus(spark, sf_dir)))
+    return found.withColumn("rule_id", F.when(F.col("diagnostic").isNull(), F.col("rule_id"))).select("file_name", "algorithm", "line", "rule_id", "rule_version", "risk_level", "diagnostic")
