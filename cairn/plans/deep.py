@@ -35,7 +35,8 @@ def bound_program(spark, sf_dir):
     return keyflow.program(table(spark, sf_dir, "part").select(F.concat(F.lit("p"), k.cast("string"), F.lit(".py")).alias("path"), text.alias("content")))
 
 
-PART = F.regexp_extract("function", r"^p(\d+)\.", 1).cast("long").alias("p_partkey")
+def part():
+    return F.regexp_extract("function", r"^p(\d+)\.", 1).cast("long").alias("p_partkey")
 
 
 @query(f"SELECT p_partkey, parameter, place, value, origin, reason FROM part JOIN (VALUES {BOUND}) AS e(form, parameter, place, value, origin, reason) ON p_partkey % {len(FORMS)} = form")
@@ -45,7 +46,7 @@ def bound_arguments(spark, sf_dir):
     calls = p.calls.where("target is not null").select("call", F.col("target").alias("function"))
     bound = arguments.bound_arguments(calls, p.arguments, p.parameters)
     texts = p.flow.where("kind = 'constant'").select("node", F.regexp_extract("value", "#(.*)$", 1).alias("text"))
-    return bound.join(texts, F.col("value") == F.col("node"), "left").select(PART, "parameter", "place", F.col("text").alias("value"), "origin", "reason")
+    return bound.join(texts, F.col("value") == F.col("node"), "left").select(part(), "parameter", "place", F.col("text").alias("value"), "origin", "reason")
 
 
 @query(f"SELECT p_partkey, reason, surplus, twice, positional_only, unknown, missing FROM part JOIN (VALUES {SETS}) AS e(form, reason, surplus, twice, positional_only, unknown, missing) ON p_partkey % {len(FORMS)} = form")
@@ -53,7 +54,7 @@ def binding_conflicts(spark, sf_dir):
     """Why calls can't be bound, with the names in conflict."""
     p = bound_program(spark, sf_dir)
     faults = arguments.binding_faults(p.calls.where("target is not null").select("call", F.col("target").alias("function")), p.arguments, p.parameters)
-    return faults.select(PART, "reason", "surplus", *[F.array_join(c, ",").alias(c) for c in ("twice", "positional_only", "unknown", "missing")])
+    return faults.select(part(), "reason", "surplus", *[F.array_join(c, ",").alias(c) for c in ("twice", "positional_only", "unknown", "missing")])
 
 
 def key_program(spark, sf_dir):
