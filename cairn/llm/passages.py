@@ -11,11 +11,13 @@ from cairn.llm.components import star_roots
 
 #: Words of a passage; words in a row that may differ inside it, the share of all its words, and the equal words on each side of them.
 PASSAGE, GAP, GAP_SHARE, ANCHOR = 51, 2, 0.1, 8
-#: A paragraph is so many shingles of ANCHOR words, and its band is their MinHash. Of a passage with at most a tenth of
-#: differing words, in runs of ANCHOR equal ones or more, one run has ten words: it holds a whole paragraph.
-PARAGRAPH = 3
+#: A paragraph is PARAGRAPH shingles of KEY words, ten words, and its band is their MinHash. Of a passage with at most a
+#: tenth of differing words, in runs of ANCHOR equal ones or more, one run has ten words: it holds a whole paragraph.
+KEY, PARAGRAPH = 6, 5
 #: Leaders that the members of a bucket are held against in turn, and members left over that are compared pairwise.
-LEADERS, FEW = 4, 16
+LEADERS, FEW = 2, 16
+#: Words between two shingles that make a bucket together: a paragraph at least, and within the side of a passage.
+NEAR, FAR = 10, 30
 
 
 def _rolling(words: np.ndarray, size: int) -> np.ndarray:
@@ -98,7 +100,7 @@ def paragraph_bands(docs: DataFrame) -> DataFrame:
             words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
             row, starts, keys = [], [], []
             for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
-                h = _rolling(words[first[i] : first[i + 1]], ANCHOR)
+                h = _rolling(words[first[i] : first[i + 1]], KEY)
                 at = paragraph_minima(h)
                 row.append(np.full(len(at), i))
                 starts.append(at)
@@ -165,7 +167,7 @@ def shared_passages(a: np.ndarray, b: Sorted) -> list[tuple[int, int, int, int,
             continue
         reach = e
         _, p, lp = min((int(ha[k]), k, k - x + y) for x, z, y in chain for k in [x + int(np.argmin(ha[x : z - ANCHOR + 1]))])
-        over = ANCHOR + PARAGRAPH - 1
+        over = KEY + PARAGRAPH - 1
         out.append((s, e, ls, fl + e - fs, p, lp, _cumulative(a[max(0, s - over) : s][::-1]), _cumulative(a[e : e + over])))
     return out
 
@@ -220,29 +222,43 @@ def _after_least(bands: DataFrame) -> DataFrame:
     return bands.withColumn("l", least).where(F.struct("d", "t") != F.col("l")).select("bucket", "d", "t", "start", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"))
 
 
-def _windows(places: DataFrame, texts: DataFrame) -> DataFrame:
-    """d, t, start and bucket: all windows of PASSAGE words that hold one of the places."""
+def window_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, key) of all windows of PASSAGE words that hold a shingle at one of the places."""
+    h = _rolling(words, PASSAGE)
+    holds = np.zeros(len(h), bool)
+    for q in at:
+        holds[max(0, q - PASSAGE + KEY) : q + 1] = True
+    start = np.flatnonzero(holds)
+    return start, h[start]
 
-    def windows(batches):
+
+def pair_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of each place with every MinHash of a paragraph NEAR to FAR words before or after it; a key is both shingles in order."""
+    h = _rolling(words, KEY)
+    least = paragraph_minima(h)
+    places, keys = [], []
+    for q in at:
+        before, after = (least[np.searchsorted(least, lo) : np.searchsorted(least, hi, "right")] for lo, hi in ((q - FAR, q - NEAR), (q + NEAR, q + FAR)))
+        places.append(np.full(len(before) + len(after), q))
+        keys += [h[before] * np.uint64(P_WORD) + h[q], h[q] * np.uint64(P_WORD) + h[after]]
+    return np.concatenate(places), mix64(np.concatenate(keys))
+
+
+def _rebucketed(places: DataFrame, texts: DataFrame, keys) -> DataFrame:
+    """d, t, start and bucket: the keys that each text has for its places."""
+
+    def rebucket(batches):
         import pyarrow as pa
 
         for batch in batches:
             words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
-            row, starts, keys = [], [], []
             for i, at in enumerate(batch.column(3).to_pylist()):
-                h = _rolling(words[first[i] : first[i + 1]], PASSAGE)
-                holds = np.zeros(len(h), bool)
-                for q in at:
-                    holds[max(0, q - PASSAGE + ANCHOR) : q + 1] = True
-                w = np.flatnonzero(holds)
-                row.append(np.full(len(w), i))
-                starts.append(w)
-                keys.append(h[w].view(np.int64))
-            take = pa.array(np.concatenate(row or [np.zeros(0, np.int64)]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts or [np.zeros(0)]).astype(np.int32)), pa.array(np.concatenate(keys or [np.zeros(0, np.int64)]))], ["d", "t", "start", "bucket"])
+                start, key = keys(words[first[i] : first[i + 1]], at)
+                take = pa.array(np.full(len(start), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64))], ["d", "t", "start", "bucket"])
 
-    held = places.groupBy("d", "t").agg(F.collect_set("start").alias("at"))
-    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(windows, "d long, t long, start int, bucket long")
+    held = places.groupBy("d", "t").agg(F.sort_array(F.collect_set("start")).alias("at"))
+    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(rebucket, "d long, t long, start int, bucket long")
 
 
 def _unsettled(rows: DataFrame, runs: DataFrame) -> DataFrame:
@@ -257,10 +273,12 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     Members of a bucket are held against its least document; those whose place
     is in a passage of it are settled. The others take their least document as
     the next leader, LEADERS times in all. Then all pairs of what is left are
-    compared in buckets of up to FEW. The rest have a common phrase and mostly
-    nothing else: their windows of 51 words are buckets, whose members do
-    share a passage with the least one. Documents that go on together for a
-    paragraph or more where they leave a leader meet in buckets of their own.
+    compared in buckets of up to FEW. The rest have a common phrase: each of
+    their places makes buckets with the paragraphs around it, in which two
+    phrases of a passage meet whatever else shares one of them, and these are
+    settled in the same way. What shares two phrases with many others and a
+    passage with none of their leaders goes into buckets by windows of 51
+    words, whose members do share a passage with the least one.
     """
     # the bands are shuffled once and not stored
     rows = materialize(_after_least(bands), "shared")
@@ -268,20 +286,30 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "passagetexts")
     compared = materialize(rows.select(*PAIR).distinct(), "passagepairs")
     runs = materialize(verified(compared, texts), "runs")
+
+    def compare(pairs: DataFrame) -> None:
+        nonlocal compared, runs
+        more = materialize(pairs.distinct().join(compared, PAIR, "left_anti"), "passagepairs")
+        compared, runs = compared.unionByName(more), runs.unionByName(materialize(verified(more, texts), "runs"))
+
+    def settle(members: DataFrame) -> DataFrame:
+        rows = materialize(_after_least(members), "shared")
+        compare(rows.select(*PAIR))
+        left = _unsettled(rows, runs)
+        drop_table(rows)
+        return left
+
     left = _unsettled(rows, runs)
+    drop_table(rows)
     for _ in range(LEADERS - 1):
-        drop_table(rows)
-        rows = materialize(_after_least(left), "shared")
-        pairs = materialize(rows.select(*PAIR).distinct().join(compared, PAIR, "left_anti"), "passagepairs")
-        runs, compared = runs.unionByName(materialize(verified(pairs, texts), "runs")), compared.unionByName(pairs)
-        left = _unsettled(rows, runs)
-    sizes = materialize(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucketsizes")
-    few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t").distinct()
-    pairs = few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")), "bucket").where(F.struct("d", "t") > F.struct("ld", "lt")).select(*PAIR)
-    hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
-    pairs = pairs.unionByName(_after_least(_windows(hot, texts)).select(*PAIR)).distinct()
-    more = materialize(pairs.join(compared, PAIR, "left_anti"), "passagepairs")
-    return runs.unionByName(materialize(verified(more, texts), "runs"))
+        left = settle(left)
+    for keys in (pair_keys, window_keys):
+        sizes = materialize(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucketsizes")
+        few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t").distinct()
+        compare(few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")), "bucket").where(F.struct("d", "t") > F.struct("ld", "lt")).select(*PAIR))
+        hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
+        left = settle(_rebucketed(hot, texts, keys))
+    return runs
 
 
 def extended(runs: DataFrame) -> DataFrame:

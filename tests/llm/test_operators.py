@@ -186,6 +186,18 @@ def test_passages_behind_a_shorter_excerpt(spark):
     assert all(r.start <= 40 and r.end >= (92 if i % 8 == 1 else 100) for i, r in got.items())
 
 
+def test_passages_of_common_phrases(spark):
+    """A passage whose every phrase stands in many other documents, too, is found as it is without them."""
+    phrases = [prose(12, 20000 + k) for k in range(6)]
+    passage = lambda i: " ".join(f"{phrase} differs{i}x{k}" for k, phrase in enumerate(phrases)).rsplit(" ", 1)[0]
+    pair = [(i, f"{prose(50, 20100 + i)} {passage(i)} {prose(30, 20200 + i)}") for i in (1, 2)]
+    others = [(10 + 40 * k + i, f"{prose(40, 21000 + 40 * k + i)} {phrase} {prose(40, 22000 + 40 * k + i)}") for k, phrase in enumerate(phrases) for i in range(40)]
+    for texts in (pair, pair + others, others[:120] + [(900 + i, text) for i, text in pair] + others[120:]):
+        got = [tuple(r) for r in passages.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()]
+        two, one = sorted((i for i, text in texts if text in {pair[0][1], pair[1][1]}), reverse=True)
+        assert got == [(two, 50, 127, 77, one)]
+
+
 def test_passages_against_all_windows(spark):
     """Every 51-word window that an earlier document has is in a span; short, repetitive and changed passages too."""
     texts = []
