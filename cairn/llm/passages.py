@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ PASSAGE, GAP, GAP_SHARE, ANCHOR = 51, 2, 0.1, 8
 KEY, PARAGRAPH = 6, 5
 #: Leaders that the members of a bucket are held against in turn, and members left over that are compared pairwise.
 LEADERS, FEW = 2, 16
+#: Words around a shingle of which four bits each travel with it: a paragraph has so many words besides its shingle.
+AROUND = PARAGRAPH - 1
 #: Words between two shingles that make a bucket together: a paragraph at least, and within the side of a passage.
 NEAR, FAR = 10, 30
 
@@ -36,6 +40,23 @@ def paragraph_minima(shingles: np.ndarray) -> np.ndarray:
     return np.unique(np.arange(n) + PARAGRAPH - 1 - np.argmin(windows, axis=1))
 
 
+def words_around(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Four bits of each of the AROUND words before (the nearest lowest) and after a shingle, in 32 bits."""
+    bits = np.zeros(len(words) + 2 * AROUND, np.uint32)
+    bits[AROUND : AROUND + len(words)] = words & np.uint64(15)
+    out = np.zeros(len(at), np.uint32)
+    for i in range(AROUND):
+        out |= bits[at + AROUND - 1 - i] << np.uint32(4 * i) | bits[at + AROUND + KEY + i] << np.uint32(16 + 4 * i)
+    return out.view(np.int32)
+
+
+def _meets(a, b):
+    """Whether the words around two equal shingles allow a common paragraph: some before, the others after."""
+    differ = a.cast("long").bitwiseXOR(b.cast("long"))
+    masks = [(1 << 4 * k) - 1 | ((1 << 4 * (AROUND - k)) - 1) << 16 for k in range(AROUND + 1)]
+    return reduce(lambda x, y: x | y, [differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in masks])
+
+
 def runs_on(a: np.ndarray, b: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int]]:
     """(start in a, end in a, start in b) of the runs of ANCHOR equal words or more on each diagonal, compared word by word."""
     out = []
@@ -90,7 +111,7 @@ def _key() -> list:
 
 
 def paragraph_bands(docs: DataFrame) -> DataFrame:
-    """d, t, start and bucket: a row for each place that is the MinHash of a paragraph, in texts long enough for a passage."""
+    """d, t, start, bucket and around: a row for each place that is the MinHash of a paragraph, in texts long enough for a passage."""
     small_batches(docs.sparkSession)
 
     def bands(batches):
@@ -98,18 +119,20 @@ def paragraph_bands(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
-            row, starts, keys = [], [], []
+            row, starts, keys, arounds = [], [], [], []
             for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
-                h = _rolling(words[first[i] : first[i + 1]], KEY)
+                own = words[first[i] : first[i + 1]]
+                h = _rolling(own, KEY)
                 at = paragraph_minima(h)
+                arounds.append(words_around(own, at))
                 row.append(np.full(len(at), i))
                 starts.append(at)
                 keys.append(h[at].view(np.int64))
             if row:
                 take = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys))], ["d", "t", "start", "bucket"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(arounds))], ["d", "t", "start", "bucket", "around"])
 
-    return docs.select("d", "t", "text").mapInArrow(bands, "d long, t long, start int, bucket long")
+    return docs.select("d", "t", "text").mapInArrow(bands, "d long, t long, start int, bucket long, around int")
 
 
 class Sorted:
@@ -217,9 +240,13 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _after_least(bands: DataFrame) -> DataFrame:
-    """The rows of each bucket that aren't of its least document, with that as ld and lt."""
-    least = F.first(F.struct("d", "t")).over(Window.partitionBy("bucket").orderBy("d", "t").rowsBetween(Window.unboundedPreceding, 0))
-    return bands.withColumn("l", least).where(F.struct("d", "t") != F.col("l")).select("bucket", "d", "t", "start", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"))
+    """The rows of each bucket that aren't of its least document, with that as ld and lt, and whether they can have a paragraph in common."""
+    before = Window.partitionBy("bucket").orderBy("d", "t", "start").rowsBetween(Window.unboundedPreceding, 0)
+    least, second = F.first(F.struct("d", "t", "around")).over(before), F.nth_value(F.struct("d", "t"), 2).over(before)
+    # a least document with several places in the bucket may meet at any of them
+    several = (F.col("second.d") == F.col("l.d")) & (F.col("second.t") == F.col("l.t"))
+    meets = _meets(F.col("around"), F.col("l.around")) | several
+    return bands.withColumn("l", least).withColumn("second", second).where((F.col("d") != F.col("l.d")) | (F.col("t") != F.col("l.t"))).select("bucket", "d", "t", "start", "around", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"), meets.alias("meets"))
 
 
 def window_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -245,7 +272,7 @@ def pair_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]
 
 
 def _rebucketed(places: DataFrame, texts: DataFrame, keys) -> DataFrame:
-    """d, t, start and bucket: the keys that each text has for its places."""
+    """d, t, start, bucket and around: the keys that each text has for its places; around is 0, so that all of them meet."""
 
     def rebucket(batches):
         import pyarrow as pa
@@ -255,23 +282,24 @@ def _rebucketed(places: DataFrame, texts: DataFrame, keys) -> DataFrame:
             for i, at in enumerate(batch.column(3).to_pylist()):
                 start, key = keys(words[first[i] : first[i + 1]], at)
                 take = pa.array(np.full(len(start), i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64))], ["d", "t", "start", "bucket"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.zeros(len(start), np.int32))], ["d", "t", "start", "bucket", "around"])
 
     held = places.groupBy("d", "t").agg(F.sort_array(F.collect_set("start")).alias("at"))
-    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(rebucket, "d long, t long, start int, bucket long")
+    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(rebucket, "d long, t long, start int, bucket long, around int")
 
 
 def _unsettled(rows: DataFrame, runs: DataFrame) -> DataFrame:
-    """bucket, d, t and start of the members whose place is in no passage that they share with their leader."""
+    """bucket, d, t, start and around of the members whose place is in no passage that they share with their leader."""
     inside = F.coalesce(F.max((F.col("start") >= F.col("s")) & (F.col("start") < F.col("e"))), F.lit(False))
-    return materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
+    return materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start", "around").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
 
 
 def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     """Passages of pairs of documents.
 
     Members of a bucket are held against its least document; those whose place
-    is in a passage of it are settled. The others take their least document as
+    is in a passage of it are settled; a few bits of the words around a place
+    tell before whether a whole paragraph can be equal. The others take their least document as
     the next leader, LEADERS times in all. Then all pairs of what is left are
     compared in buckets of up to FEW. The rest have a common phrase: each of
     their places makes buckets with the paragraphs around it, in which two
@@ -284,7 +312,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     rows = materialize(_after_least(bands), "shared")
     ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
     texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "passagetexts")
-    compared = materialize(rows.select(*PAIR).distinct(), "passagepairs")
+    compared = materialize(rows.where("meets").select(*PAIR).distinct(), "passagepairs")
     runs = materialize(verified(compared, texts), "runs")
 
     def compare(pairs: DataFrame) -> None:
@@ -294,7 +322,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
 
     def settle(members: DataFrame) -> DataFrame:
         rows = materialize(_after_least(members), "shared")
-        compare(rows.select(*PAIR))
+        compare(rows.where("meets").select(*PAIR))
         left = _unsettled(rows, runs)
         drop_table(rows)
         return left
@@ -305,8 +333,9 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
         left = settle(left)
     for keys in (pair_keys, window_keys):
         sizes = materialize(left.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucketsizes")
-        few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t").distinct()
-        compare(few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt")), "bucket").where(F.struct("d", "t") > F.struct("ld", "lt")).select(*PAIR))
+        few = left.join(sizes.where(F.col("n") <= FEW), "bucket").select("bucket", "d", "t", "around").distinct()
+        both = few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("around").alias("other")), "bucket")
+        compare(both.where((F.struct("d", "t") > F.struct("ld", "lt")) & _meets(F.col("around"), F.col("other"))).select(*PAIR))
         hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
         left = settle(_rebucketed(hot, texts, keys))
     return runs

@@ -198,6 +198,19 @@ def test_passages_of_common_phrases(spark):
         assert got == [(two, 50, 127, 77, one)]
 
 
+def test_places_that_can_meet(spark):
+    """Four equal words around a shingle make a paragraph; a least document with several places may meet at any."""
+    rows = [(1, 0, 5, 7, 0x12345678), (2, 0, 5, 7, 0x12345678), (3, 0, 5, 7, 0x12F4F6F8), (4, 0, 5, 7, 0x12F456F8), (5, 0, 5, 7, 0x0FF40F78), (1, 0, 5, 8, 0), (1, 0, 9, 8, 0x11111111), (2, 0, 5, 8, 0x11111111)]
+    bands = spark.createDataFrame(rows, "d long, t long, start int, bucket long, around int")
+    got = {(r.bucket, r.d): r.meets for r in passages._after_least(bands).collect()}
+    assert got == {(7, 2): True, (7, 3): False, (7, 4): False, (7, 5): False, (8, 2): True}
+    words = np.arange(100, 120, dtype=np.uint64)
+    around = passages.words_around(words, np.array([0, 7, 14])).view(np.uint32).tolist()
+    bits = [int(w) & 15 for w in words]
+    side = lambda at: sum(bits[i] << 4 * k for k, i in enumerate(at))
+    assert around == [side([6, 7, 8, 9]) << 16, side([6, 5, 4, 3]) | side([13, 14, 15, 16]) << 16, side([13, 12, 11, 10])]
+
+
 def test_passages_against_all_windows(spark):
     """Every 51-word window that an earlier document has is in a span; short, repetitive and changed passages too."""
     texts = []
