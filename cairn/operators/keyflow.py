@@ -12,7 +12,7 @@ from cairn.functions import keyrules
 from cairn.functions.flow import flow_facts
 from cairn.functions.names import module_of
 from cairn.operators.arguments import binding_faults, bound_arguments
-from cairn.operators.steps import settled
+from cairn.operators.steps import settled, spread
 from cairn.operators.symbols import bindings, resolve_calls, symbol_facts
 
 FLOW = "module string, kind string, scope string, node string, place int, name string, value string, detail string"
@@ -51,7 +51,7 @@ def program(files: DataFrame) -> Program:
                     continue
             yield pd.DataFrame(out, columns=heads)
 
-    flow = settled(files.select(module_of(F.col("path")).alias("module"), "content").mapInPandas(run, FLOW))
+    flow = settled(spread(files.select(module_of(F.col("path")).alias("module"), "content")).mapInPandas(run, FLOW))
     symbols = settled(symbol_facts(files))
     targets = resolve_calls(symbols).select("module", "scope", F.col("line").alias("place"), "name", "target")
     calls = flow.where("kind = 'call'").join(targets, ["module", "scope", "place", "name"], "left")

@@ -1,17 +1,38 @@
-"""Steps of long plans that are computed once and kept in the folder that the cluster shares."""
+"""Steps of long plans: rows dealt to all cores, joins chosen by measured sizes, results kept in the folder that the cluster shares."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: Fixed value: tasks for each core over which parsers deal their files.
+TASKS = 4
 
 _ready: set[str] = set()
 
 
+def measured_joins(spark: SparkSession) -> None:
+    """A table is sent whole to all executors only after its rows were measured, or where a join says so; the values hold for the session.
+
+    Spark's estimate of what parsers and checkpoints give is a share of the
+    size of the files behind them, whatever is made of their rows: facts of
+    gigabytes passed for less than 10 MB, and went through the driver.
+    """
+    most = "10MB"  # Spark's own default
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", most)
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt evenly to some tasks for each core: a small file of them is one task, however long what is made of each takes."""
+    return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a checkpoint below spark.checkpoint.dir: later steps read it instead of computing it again, also after an executor is lost."""
     spark = df.sparkSession
+    measured_joins(spark)
     app = spark.sparkContext.applicationId
     if app not in _ready:
         base = spark.conf.get("spark.checkpoint.dir", None)

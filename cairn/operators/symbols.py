@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions.names import is_package, module_of
 from cairn.functions.syntax import dotted, parameters
+from cairn.operators.steps import measured_joins, spread
 
 FACTS = "path string, module string, scope string, kind string, name string, target string, line int, end_line int"
 
@@ -66,7 +67,8 @@ def symbol_facts(files: DataFrame) -> DataFrame:
                     out.append((path, module, "", "unparsed", None, None, 0, 0))
             yield pd.DataFrame(out, columns=heads)
 
-    return files.select("path", module_of(F.col("path")).alias("module"), "content").mapInPandas(run, FACTS)
+    measured_joins(files.sparkSession)
+    return spread(files.select("path", module_of(F.col("path")).alias("module"), "content")).mapInPandas(run, FACTS)
 
 
 def bindings(facts: DataFrame) -> DataFrame:
