@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cairn.operators import arguments, keyflow
+from cairn.operators import arguments, keyflow, spans
 
 
 def test_facts_are_read_by_many_tasks_and_never_sent_whole(spark):
@@ -14,3 +14,10 @@ def test_facts_are_read_by_many_tasks_and_never_sent_whole(spark):
     plan = bound._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert bound.where("reason is null and origin = 'positional'").count() == 40
+
+
+def test_few_sizes_of_blocks(spark):
+    rows = spark.createDataFrame([(3, 999_999), (-70, 70), (5, 5), (0, 16)], "a long, b long")
+    for r in rows.select("a", "b", spans.blocks_of(rows.a, rows.b, 4).alias("x")).collect():
+        held = [p for x in r.x for p in range(x.block << x.level, (x.block + 1) << x.level)]
+        assert sorted(held) == list(range(r.a, r.b)) and {x.level for x in r.x} <= {0, 4, 8, 12, 16}
