@@ -75,10 +75,11 @@ def resolved_calls(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     d = p.select(F.col("p_size").alias("source"), (F.col("p_size") % 7 + 1).alias("dep")).distinct()
     sees = d.union(d.select("source", F.col("source"))).distinct()
-    s = p.select(F.col("p_partkey").alias("symbol"), (F.col("p_partkey") % 97).alias("name"), F.col("p_size").alias("dep"))
+    # a name with several definitions in a source makes one row there, not one for each call and definition
+    s = p.groupBy((F.col("p_partkey") % 97).alias("name"), F.col("p_size").alias("dep")).agg(F.min("p_partkey").alias("symbol"), F.max("p_partkey").alias("most"))
     c = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), (F.col("o_custkey") % 97).alias("name"), (F.col("o_orderkey") % 50 + 1).cast("int").alias("source"))
     hit = c.join(sees, "source").join(s, ["dep", "name"])
-    return hit.groupBy("call").agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("_most")).where("symbol = _most").drop("_most")
+    return hit.groupBy("call").agg(F.min("symbol").alias("symbol"), F.max("most").alias("_most")).where("symbol = _most").drop("_most")
 
 
 @query("""WITH m AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE md5(text) END AS want FROM documents WHERE doc_id % 3 <> 0), f AS (SELECT doc_id, md5(text) AS have FROM documents WHERE doc_id % 5 <> 0)
