@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.steps import settled
+from cairn.operators.steps import settled, spread
 
 
 def _ranges(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
@@ -73,7 +73,7 @@ def longest_prefix(names: DataFrame, name: str, prefixes: DataFrame, prefix: str
     """The longest of a name's dotted prefixes that is in the other table: an equi-join on all its prefixes, no range join."""
     parts = F.split(name, rf"\Q{separator}\E")
     every = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), separator))
-    tried = names.withColumn("_p", F.explode(every))
+    tried = spread(names).withColumn("_p", F.explode(every))
     hit = tried.join(prefixes.select(F.col(prefix).alias("_p")).distinct(), "_p")
     return hit.groupBy(*names.columns).agg(F.max_by("_p", F.length("_p")).alias("prefix"))
 

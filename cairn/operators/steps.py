@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Fixed value: tasks for each core over which parsers deal their files.
 TASKS = 4
@@ -26,7 +27,8 @@ def measured_joins(spark: SparkSession) -> None:
 
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt evenly to some tasks for each core: a small file of them is one task, however long what is made of each takes."""
-    return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism)
+    # by a number of the row: dealing in turn sorts all rows of the one task before
+    return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism, F.monotonically_increasing_id())
 
 
 def settled(df: DataFrame) -> DataFrame:
