@@ -111,10 +111,11 @@ def merged_tail(rows: DataFrame, key: str, count: str, capacity: int) -> DataFra
 
 def neighbourhood(edges: DataFrame, start: DataFrame, steps: int = 1, source: str = "source", target: str = "target", node: str = "node") -> DataFrame:
     """Nodes within so many steps of some nodes, either way along edges, with their distance; each step is kept as a checkpoint."""
-    both = settled(edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")).unionByName(edges.select(F.col(target).alias("_a"), F.col(source).alias("_b"))).distinct())
+    # edges are kept as they come: what a step reaches is made distinct, which is less than all edges both ways
+    kept = settled(edges.select(F.col(source).alias("_a"), F.col(target).alias("_b")))
     seen = front = settled(start.select(node).distinct().withColumn("distance", F.lit(0)))
     for d in range(1, steps + 1):
-        near = front.join(both, F.col(node) == F.col("_a")).select(F.col("_b").alias(node)).distinct()
+        near = front.join(kept, F.col(node) == F.col("_a")).select(F.col("_b").alias(node)).unionByName(front.join(kept, F.col(node) == F.col("_b")).select(F.col("_a").alias(node))).distinct()
         front = settled(near.join(seen.select(node), node, "left_anti").withColumn("distance", F.lit(d)))
         seen = seen.unionByName(front)
     return seen

@@ -170,7 +170,7 @@ d2 AS (SELECT DISTINCT b.target AS node FROM d1 JOIN b ON node = source WHERE b.
 SELECT node, 0 AS distance FROM d0 UNION ALL SELECT node, 1 FROM d1 UNION ALL SELECT node, 2 FROM d2""")
 def neighbourhood(spark, sf_dir):
     """Nodes within two steps of a part and a supplier, among all that is supplied."""
-    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("source"), (-1 - F.col("l_suppkey")).cast("long").alias("target")).distinct()
+    edges = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("source"), (-1 - F.col("l_suppkey")).cast("long").alias("target"))
     return views.neighbourhood(edges, spark.createDataFrame([(1,), (-3,)], "node long"), 2)
 
 
