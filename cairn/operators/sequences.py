@@ -57,10 +57,27 @@ def interleave(rows: DataFrame, group: str, order: list[str], most: int) -> Data
 
 
 def islands(rows: DataFrame, group: list[str], number: str) -> DataFrame:
-    """Runs of consecutive numbers in each group."""
-    d = rows.select(*group, number).distinct()
-    shift = F.col(number) - F.row_number().over(Window.partitionBy(*group).orderBy(number))
-    return d.withColumn("_i", shift).groupBy(*group, "_i").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count(F.lit(1)).alias("n")).drop("_i")
+    """Runs of consecutive numbers in each group, each number counted once; a null is a run of its own."""
+    # repeats share a rank, so rows are sent once, by group, and none are held to find the different ones
+    shift = F.col(number) - F.dense_rank().over(Window.partitionBy(*group).orderBy(number))
+    runs = rows.select(*group, number).withColumn("_i", shift).groupBy(*group, "_i").agg(F.min(number).alias("first"), F.max(number).alias("last"))
+    return runs.withColumn("n", F.coalesce((F.col("last") - F.col("first")).cast("long") + 1, F.lit(1).cast("long"))).drop("_i")
+
+
+def joined_ranges(rows: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
+    """Runs of consecutive numbers that ranges from low to high cover in each group; no range is spread over its numbers.
+
+    Ranges that begin at the same number come down to the longest, before they
+    are sent. One begins a run if it begins more than one past all that those
+    before it reach. Ranges that end before they begin cover nothing.
+    """
+    longest = rows.where(F.col(low) <= F.col(high)).groupBy(*group, low).agg(F.max(high).alias(high))
+    by = Window.partitionBy(*group).orderBy(low)
+    reach = F.max(high).over(by.rowsBetween(Window.unboundedPreceding, -1))
+    begins = F.when(reach.isNull() | (F.col(low) > reach + 1), 1).otherwise(0)
+    runs = longest.withColumn("_b", begins).withColumn("_i", F.sum("_b").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    out = runs.groupBy(*group, "_i").agg(F.min(low).alias("first"), F.max(high).alias("last")).drop("_i")
+    return out.withColumn("n", (F.col("last") - F.col("first")).cast("long") + 1)
 
 
 def without_repeats(rows: DataFrame, group: str, order: list[str], value: str) -> DataFrame:

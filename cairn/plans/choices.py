@@ -188,8 +188,8 @@ def evidence_ranges(spark, sf_dir):
     """Lines around citations, joined into runs; a citation covers at most 26 lines."""
     s = F.col("l_partkey") % 200 + 1
     low = F.greatest(F.lit(1), s - 3)
-    lines = F.explode(F.sequence(low, F.least(F.lit(210), s + F.col("l_linenumber") + 4, low + 25)))
-    return seq.islands(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), lines.alias("line")), ["source"], "line")
+    high = F.least(F.lit(210), s + F.col("l_linenumber") + 4, low + 25)
+    return seq.joined_ranges(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("source"), low.alias("low"), high.alias("high")), ["source"], "low", "high")
 
 
 @query("""WITH c AS (SELECT user_id, event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events)
