@@ -58,10 +58,14 @@ def interleave(rows: DataFrame, group: str, order: list[str], most: int) -> Data
 
 def islands(rows: DataFrame, group: list[str], number: str) -> DataFrame:
     """Runs of consecutive numbers in each group, each number counted once; a null is a run of its own."""
-    # repeats share a rank, so rows are sent once, by group, and none are held to find the different ones
-    shift = F.col(number) - F.dense_rank().over(Window.partitionBy(*group).orderBy(number))
-    runs = rows.select(*group, number).withColumn("_i", shift).groupBy(*group, "_i").agg(F.min(number).alias("first"), F.max(number).alias("last"))
-    return runs.withColumn("n", F.coalesce((F.col("last") - F.col("first")).cast("long") + 1, F.lit(1).cast("long"))).drop("_i")
+    # one sort by group and number tells where runs begin and end; no table of different rows or of runs is held
+    by, n = Window.partitionBy(*group).orderBy(number), F.col(number)
+    d = rows.select(*group, number).withColumns({"_b": F.lag(number).over(by), "_r": F.row_number().over(by), "_most": F.max(number).over(Window.partitionBy(*group))})
+    begins = d.where(F.when(n.isNull(), F.col("_r") == 1).otherwise(F.col("_b").isNull() | (n > F.col("_b") + 1)))
+    after = F.lead(F.struct("_b")).over(by)
+    last = F.when(n.isNotNull(), F.when(after.isNull(), F.col("_most")).otherwise(after["_b"]))
+    runs = begins.withColumn("last", last).select(*group, n.alias("first"), "last")
+    return runs.withColumn("n", F.coalesce((F.col("last") - F.col("first")).cast("long") + 1, F.lit(1).cast("long")))
 
 
 def joined_ranges(rows: DataFrame, group: list[str], low: str, high: str) -> DataFrame:
