@@ -13,6 +13,7 @@ from cairn.functions import catalogue, rules, syntax
 from cairn.functions.programs import config_scalars, node_calls
 from cairn.functions.text import source_id
 from cairn.operators.scanners import KEY_BEGINNINGS, NODE_TYPES
+from cairn.operators.steps import spread
 
 CONFIG, PYTHON, NODE = (".json", ".yaml", ".yml"), (".py", ".pyw", ""), (".js", ".jsx", ".ts", ".tsx")
 C_LIKE = (".cs", ".java", *NODE, ".go", ".rs")
@@ -64,7 +65,7 @@ def facts(files: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
                 out += [(name, identity, kind, k, line, seq, n, v) for seq, (k, line, n, v) in enumerate(file_facts(name or "", text or "", most_bytes))]
             yield pd.DataFrame(out, columns=heads)
 
-    return files.select("file_name", "content", identity.alias("source_id"), kind.alias("source_type")).mapInPandas(run, FACTS)
+    return spread(files.select("file_name", "content", identity.alias("source_id"), kind.alias("source_type"))).mapInPandas(run, FACTS)
 
 
 HIT = "struct<line:int,code:string,evidence:string,method:string,api:string,diagnostic:string>"

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from cairn.operators import arguments, keyflow, sequences, spans, views
+from cairn.operators import arguments, dispatch, keyflow, sequences, spans, views
 from cairn.plans import choices  # noqa: F401 - it registers its queries
 from cairn.plans.registry import QUERIES
 
@@ -67,3 +67,13 @@ def test_calls_of_one_name_with_many_definitions(spark, tmp_path):
     assert out.count() == 0
     grouped = [n for n in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "p_partkey" in n and "Aggregate" in n]
     assert grouped
+
+
+def test_files_are_scanned_by_many_tasks(spark):
+    files = spark.range(40).select(F.format_string("p%d.py", "id").alias("file_name"), F.lit("x = 1").alias("content")).coalesce(1)
+    assert dispatch.facts(files).rdd.getNumPartitions() > 1
+
+
+def test_lines_are_masked_by_many_tasks(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    assert QUERIES["redacted_lines"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
