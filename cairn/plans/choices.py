@@ -9,6 +9,7 @@ from cairn.functions import names, redaction, rules
 from cairn.operators import checks
 from cairn.operators import selection as sel
 from cairn.operators import sequences as seq
+from cairn.operators.steps import spread
 from cairn.plans.files import pick
 from cairn.plans.registry import query
 from cairn.sources.readers import table
@@ -294,5 +295,5 @@ def redacted_lines(spark, sf_dir):
     """Lines without secrets: key blocks, YAML blocks, quotes over lines, assignments, calls, tokens, credentials."""
     lines = ['db_password = "x{k}" # x', "-----BEGIN RSA PRIVATE KEY-----", "AA{k}", "-----END RSA PRIVATE KEY-----", "secret: |", "    s{k}", "name: c{k}", 'api_key = load("{k}", algorithm="RS256")', "see https://me:{k}@host/c and ghp_0123456789abc", 'key = """a{k}', 'b"""', "end"]
     text = F.replace(F.lit("\n".join(lines)), F.lit("{k}"), F.col("c_custkey").cast("string"))
-    masked = table(spark, sf_dir, "customer").select("c_custkey", redaction.redacted(text).alias("lines"))
+    masked = spread(table(spark, sf_dir, "customer").select("c_custkey")).select("c_custkey", redaction.redacted(text).alias("lines"))
     return masked.select("c_custkey", F.posexplode("lines").alias("line", "text")).withColumn("line", (F.col("line") + 1).cast("long"))
