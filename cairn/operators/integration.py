@@ -171,7 +171,7 @@ def attached(rows: DataFrame, opinions: DataFrame, neutral: DataFrame | None = N
         F.when(F.col("algorithm") == "unknown", OPEN_ALGORITHM).otherwise(canonical(F.col("algorithm"))).alias("algorithm"), F.lit("unknown").alias("purpose_code"), F.lit("pending").alias("verification_status"), F.lit("ai").alias("origin"), F.lit(None).cast(rows.schema["operation_id"].dataType).alias("operation_id"), "context_id",
     )
     links = by_ref.unionByName(at_place.select("opinion_id", "row_id"))
-    everything = settled(rows.unionByName(made, allowMissingColumns=True))
+    everything = rows.unionByName(settled(made), allowMissingColumns=True)  # both are kept already
     said = links.join(everything.select(F.col("finding_id").alias("row_id"), F.col("algorithm").alias("row_algorithm"), (F.col("verification_status") == "pending").alias("_pending")), "row_id").join(live, "opinion_id")
     judged = lambda theirs: adoption(F.col("algorithm"), theirs, F.col("kind"), F.col("conflict"), F.col("gaps"), F.col("valid"), F.col("anchored"), F.col("basis"), F.col("scope_reason"))
     said = settled(said.withColumn("reason", judged(F.col("row_algorithm"))))
