@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,11 +42,15 @@ def node_scan(spark, sf_dir):
 @query("""SELECT p_brand AS path, 'src/m' || p_partkey || '.py' AS member, CAST(CASE WHEN p_partkey % 6 <> 0 THEN length('x = ' || p_partkey) END AS BIGINT) AS chars, CAST(NULL AS VARCHAR) AS reason FROM part WHERE p_partkey % 6 <> 0
 UNION ALL SELECT p_brand, 'src/m' || p_partkey || '.bin', NULL, 'unsupported_type' FROM part WHERE p_partkey % 6 = 0""")
 def archive_members(spark, sf_dir):
-    def zipped(part: pd.DataFrame) -> pd.DataFrame:
-        files = [(f"root/src/m{k}.{'bin' if k % 6 == 0 else 'py'}", f"x = {k}") for k in part["p_partkey"]]
-        return pd.DataFrame({"path": [part["p_brand"].iloc[0]], "content": [archives.zip_bytes(files)]})
+    def zipped(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for brand, keys in zip(b.column(0), b.column(1), strict=True):
+                files = [(f"root/src/m{k}.{'bin' if k % 6 == 0 else 'py'}", f"x = {k}") for k in keys.as_py()]
+                yield pa.RecordBatch.from_pydict({"path": pa.array([brand.as_py()], pa.string()), "content": [archives.zip_bytes(files)]})
 
     # a brand's parts lie in as many archives as they need, each far below the bound of members
     parts = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.floor(F.col("p_partkey") / 1000).alias("number"))
-    packed = parts.groupBy("p_brand", "number").applyInPandas(zipped, "path string, content binary")
+    packed = parts.groupBy("p_brand", "number").agg(F.collect_list("p_partkey").alias("keys")).select("p_brand", "keys").mapInArrow(zipped, "path string, content binary")
     return archives.members(packed).select("path", "member", F.length("text").cast("long").alias("chars"), "reason")

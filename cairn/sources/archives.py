@@ -7,7 +7,6 @@ import tarfile
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +14,8 @@ from cairn.sources.readers import MOST_BYTES, SUFFIXES
 
 MOST_MEMBERS = 5000
 MOST_EXPANDED = 100 * 1024 * 1024
+#: Rows and bytes of the batches that a worker holds: archives are long rows, and a few thousand of them members enough for a batch of texts.
+BATCH_ROWS, BATCH_BYTES, TEXT_CHARS = 1000, "32mb", 1 << 20
 
 
 def zip_bytes(files: list[tuple[str, str]]) -> bytes:
@@ -79,21 +80,42 @@ def members_of(content: bytes) -> Iterator[tuple[int, str, str | None, str | Non
         yield ordinal, "", None, "unreadable_archive"
 
 
+def in_batches(rows: Iterator[tuple], schema) -> Iterator:
+    """Record batches of at most BATCH_ROWS rows (path, ordinal, member, text, reason) that end once they have TEXT_CHARS of text."""
+    import pyarrow as pa
+
+    held, chars = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        chars += len(row[3] or "")
+        if len(held) >= BATCH_ROWS or chars >= TEXT_CHARS:
+            yield batch()
+            held, chars = [], 0
+    if held:
+        yield batch()
+
+
 def members(archives: DataFrame, name: str = "path", content: str = "content") -> DataFrame:
     """One row for each member. A directory that all safe files of an archive share is taken off their paths.
 
     An archive is one task's work; its members, their sizes and the total are
-    bounded. Null archives have no members.
+    bounded, and a worker holds one archive and a batch of texts at a time.
+    Null archives have no members.
     """
     kind = archives.schema[name].dataType.simpleString()
+    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    archives.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
     def run(batches):
+        import pyarrow as pa
+
         for b in batches:
-            for n, data in zip(b[name], b[content], strict=True):
-                rows = [(n, *m) for m in members_of(bytes(data))] if data is not None else []
-                yield pd.DataFrame(rows, columns=[name, "ordinal", "member", "text", "reason"])
+            schema = pa.schema([(name, b.schema.field(0).type), ("ordinal", pa.int32()), ("member", pa.string()), ("text", pa.string()), ("reason", pa.string())])
+            listed = ((n.as_py(), *m) for n, data in zip(b.column(0), b.column(1), strict=True) if data.is_valid for m in members_of(data.as_py()))
+            yield from in_batches(listed, schema)
 
-    rows = archives.select(name, content).mapInPandas(run, f"{name} {kind}, ordinal int, member string, text string, reason string")
+    rows = archives.select(name, content).mapInArrow(run, f"{name} {kind}, ordinal int, member string, text string, reason string")
     safe = F.col("member") != ""
     root = F.when(safe, F.element_at(F.split("member", "/"), 1))
     tops = rows.groupBy(name).agg((F.min(F.when(safe, F.contains("member", F.lit("/")))) & (F.min(root) == F.max(root))).alias("_one"))

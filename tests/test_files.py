@@ -130,3 +130,15 @@ def test_archives_of_a_large_brand(spark, tmp_path):
     spark.range(1, 6002).selectExpr("id AS p_partkey", "'Brand#11' AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
     rows = files.archive_members(spark, str(tmp_path)).collect()
     assert len({r.member for r in rows}) == len(rows) == 6001 and {r.reason for r in rows} == {None, "unsupported_type"}
+
+
+def test_batches_of_texts_are_bounded():
+    """Members of an archive with much text come in several batches, each of little more than the bound."""
+    import pyarrow as pa
+
+    schema = pa.schema([("path", pa.string()), ("ordinal", pa.int32()), ("member", pa.string()), ("text", pa.string()), ("reason", pa.string())])
+    content = archives.zip_bytes([(f"m{i}.py", "x" * 300_000) for i in range(20)] + [(f"n{i}.bin", "") for i in range(3000)])
+    out = list(archives.in_batches((("p", *m) for m in archives.members_of(content)), schema))
+    assert sum(b.num_rows for b in out) == 3020 and max(b.num_rows for b in out) <= archives.BATCH_ROWS
+    assert max(b.nbytes for b in out) < 2 * archives.TEXT_CHARS
+    assert [o for b in out for o in b.column(1).to_pylist()] == list(range(3020))
