@@ -16,6 +16,16 @@ PASSAGE, GAP, GAP_SHARE, ANCHOR = 51, 2, 0.1, 8
 #: A paragraph is PARAGRAPH shingles of KEY words, ten words, and its band is their MinHash. Of a passage with at most a
 #: tenth of differing words, in runs of ANCHOR equal ones or more, one run has ten words: it holds a whole paragraph.
 KEY, PARAGRAPH = 6, 5
+#: Shingles of a short paragraph: ANCHOR words, so that each run of a passage holds a whole one.
+SHORT = ANCHOR - KEY + 1
+#: In each text of a passage the places of short paragraphs, the same in both, follow each other after at most STEP words and
+#: spread over SPAN: the first is within SHORT words of the first run's start, the last within ANCHOR of the last run's end.
+STEP = GAP + ANCHOR + SHORT - 1
+SPAN = PASSAGE - int(PASSAGE * GAP_SHARE) - ANCHOR - SHORT + 1
+#: Words of a stretch in which a few words repeat that one place stands for.
+STRETCH = 8
+#: Bytes of text that are hashed at a time.
+HASH_BYTES = 4 << 20
 #: Leaders that the members of a bucket are held against in turn, and members left over that are compared pairwise.
 LEADERS, FEW = 2, 16
 #: Words around a shingle of which four bits each travel with it: a paragraph has so many words besides its shingle.
@@ -31,13 +41,45 @@ def _rolling(words: np.ndarray, size: int) -> np.ndarray:
     return mix64(out)
 
 
-def paragraph_minima(shingles: np.ndarray) -> np.ndarray:
-    """The places of the least shingle of each paragraph, the last of equal ones; a paragraph starts at every word."""
-    n = len(shingles) - PARAGRAPH + 1
+def paragraph_minima(shingles: np.ndarray, size: int = PARAGRAPH, starts: np.ndarray | None = None) -> np.ndarray:
+    """The places of the least shingle of each paragraph, the last of equal ones; a paragraph starts at every word, or where starts is true."""
+    n = len(shingles) - size + 1
     if n < 1:
         return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(shingles, PARAGRAPH)[:, ::-1]
-    return np.unique(np.arange(n) + PARAGRAPH - 1 - np.argmin(windows, axis=1))
+    least, at = shingles[size - 1 :].copy(), np.arange(size - 1, len(shingles))
+    for k in range(size - 2, -1, -1):
+        less = np.flatnonzero(shingles[k : k + n] < least)
+        least[less] = shingles[less + k]
+        at[less] = less + k
+    kept = np.zeros(len(shingles), bool)
+    kept[at if starts is None else at[starts[:n]]] = True
+    return np.flatnonzero(kept)
+
+
+def in_stretches(shingles: np.ndarray, at: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which places are in a stretch, and which of all places stand for it.
+
+    A stretch is places with one shingle that overlap: its words are a few
+    that repeat. Its first and last place stand for it, and one for each
+    STRETCH words, so that they still follow each other after STEP words.
+    number has the places' numbers in their own texts.
+    """
+    if not len(at):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    same = (shingles[at[1:]] == shingles[at[:-1]]) & (np.diff(at) < PARAGRAPH)
+    before, after = np.r_[False, same], np.r_[same, False]
+    return before | after, ~(before & after) | np.r_[True, number[1:] // STRETCH != number[:-1] // STRETCH]
+
+
+def hashed(column):
+    """first row, word hashes and the rows' first words in them, of at most HASH_BYTES of texts at a time (or one text)."""
+    data, offsets = utf8_rows(column)
+    lo = 0
+    while lo < len(offsets) - 1:
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + HASH_BYTES, "right")) - 1)
+        words, first, _, _ = word_hashes(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+        yield lo, words, first
+        lo = hi
 
 
 def words_around(words: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -54,7 +96,8 @@ def _meets(a, b):
     """Whether the words around two equal shingles allow a common paragraph: some before, the others after."""
     differ = a.cast("long").bitwiseXOR(b.cast("long"))
     masks = [(1 << 4 * k) - 1 | ((1 << 4 * (AROUND - k)) - 1) << 16 for k in range(AROUND + 1)]
-    return reduce(lambda x, y: x | y, [differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in masks])
+    # places in a stretch have no words around them: one place stands for several
+    return F.coalesce(reduce(lambda x, y: x | y, [differ.bitwiseAND(F.lit(m).cast("long")) == 0 for m in masks]), F.lit(True))
 
 
 def runs_on(a: np.ndarray, b: np.ndarray, diagonals: list[int]) -> list[tuple[int, int, int]]:
@@ -110,29 +153,109 @@ def _key() -> list:
     return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
 
 
-def paragraph_bands(docs: DataFrame) -> DataFrame:
-    """d, t, start, bucket and around: a row for each place that is the MinHash of a paragraph, in texts long enough for a passage."""
+def text_places(words: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+    """row, place, key and the words around it of each MinHash of a short paragraph, in texts long enough for a passage.
+
+    place is four times the number of the first word, two more in a stretch,
+    and one more where the shingle is the MinHash of a whole paragraph, too.
+    """
+    h = _rolling(words, KEY)
+    n = np.diff(first)
+    # words from a place to its text's end; none count in short texts
+    rest = np.where(np.repeat(n, n) > SPAN + ANCHOR, np.repeat(first[1:], n) - np.arange(len(words)), 0)
+    short, whole = (paragraph_minima(h, size, rest >= KEY + size - 1) for size in (SHORT, PARAGRAPH))
+    kind, stays = np.zeros(len(h), np.int64), np.zeros(len(h), bool)
+    kind[whole] = 1
+    for of in (short, whole):
+        stretch, stand = in_stretches(h, of, of - first[np.searchsorted(first, of, "right") - 1])
+        kind[of[stretch]] |= 2
+        stays[of[stand]] = True
+    at = np.flatnonzero(stays)
+    row = np.searchsorted(first, at, "right") - 1
+    return row, (4 * (at - first[row]) + kind[at]).astype(np.int32), h[at], words_around(words, at)
+
+
+def _held_twice(bucket: np.ndarray, *owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The order of buckets, where each begins in it, and which of them have different owners."""
+    order = np.argsort(bucket, kind="stable")
+    k = bucket[order]
+    begin = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return order, begin, np.any([np.minimum.reduceat(o[order], begin) != np.maximum.reduceat(o[order], begin) for o in owner], axis=0)
+
+
+#: What travels of places, as arrays in bytes, and the bytes of text whose places meet in one part.
+PLACE, PART_BYTES = {"d": np.int64, "t": np.int64, "place": np.int32, "bucket": np.uint64, "around": np.int32}, 12 << 20
+
+
+def common_places(docs: DataFrame) -> DataFrame:
+    """d, t, place, bucket and around of the places whose shingle another document has, in texts long enough for a passage.
+
+    Places meet in parts by their bucket. What two texts of a batch share is
+    known there: these places go on by themselves, and one row of each of
+    their buckets tells the others, so that no part gets a frequent bucket whole.
+    """
     small_batches(docs.sparkSession)
+    parts = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
 
-    def bands(batches):
+    def dealt(batches):
         import pyarrow as pa
 
         for batch in batches:
-            words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
-            row, starts, keys, arounds = [], [], [], []
-            for i in np.flatnonzero(np.diff(first) >= PASSAGE).tolist():
-                own = words[first[i] : first[i + 1]]
-                h = _rolling(own, KEY)
-                at = paragraph_minima(h)
-                arounds.append(words_around(own, at))
-                row.append(np.full(len(at), i))
-                starts.append(at)
-                keys.append(h[at].view(np.int64))
-            if row:
-                take = pa.array(np.concatenate(row))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(np.concatenate(starts).astype(np.int32)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(arounds))], ["d", "t", "start", "bucket", "around"])
-
-    return docs.select("d", "t", "text").mapInArrow(bands, "d long, t long, start int, bucket long, around int")
+            ids = [batch.column(k).to_numpy() for k in (0, 1)]
+            for row0, words, first in hashed(batch.column(2)):
+                row, place, bucket, around = text_places(words, first)
+                if not len(row):
+                    continue
+                row += row0
+                order, begin, twice = _held_twice(bucket, row)
+                sure = np.zeros(len(row), bool)
+                sure[order] = np.repeat(twice, np.diff(np.r_[begin, len(row)]))
+                tells = order[begin[twice]]
+                send = np.r_[np.flatnonzero(~sure), tells]
+                part = ((bucket[send] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int32)
+                by = np.argsort(part, kind="stable")
+                cols = [*(x[row] for x in ids), place, bucket, around]
+                sent = [c[send] for c in cols]
+                sent[2][len(send) - len(tells) :] = -1
+                sent = [c[by] for c in sent]
+                number, at = np.unique(part[by], return_index=True)
+                pieces = [slice(a, b) for a, b in zip(at, np.r_[at[1:], len(by)], strict=True)]
+                alone = [c[sure].tobytes() for c in cols]
+                own = -1 - int(ids[0][row[0]]) % parts
+                yield pa.RecordBatch.from_arrays([pa.array([*number.tolist(), own], pa.int32()), *[pa.array([*[c[p].tobytes() for p in pieces], a], pa.binary()) for c, a in zip(sent, alone, strict=True)]], ["part", *PLACE])
+
+    def meet(table):
+        import pyarrow as pa
+
+        cols = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in PLACE.items()}
+        stays = cols["place"] >= 0
+        if table.column("part")[0].as_py() >= 0:
+            order, begin, twice = _held_twice(cols["bucket"], cols["d"], cols["t"])
+            stays[order] &= np.repeat(twice, np.diff(np.r_[begin, len(order)]))
+        return pa.table({c: (v.view(np.int64) if c == "bucket" else v)[stays] for c, v in cols.items()})
+
+    packed = docs.select("d", "t", "text").mapInArrow(dealt, f"part int, {', '.join(f'{c} binary' for c in PLACE)}")
+    return packed.groupBy("part").applyInArrow(meet, "d long, t long, place int, bucket long, around int")
+
+
+def possible_places(docs: DataFrame) -> DataFrame:
+    """d, t, start, bucket and around of the MinHashes of paragraphs that can be in a passage.
+
+    All short paragraphs of a passage's runs are in another document, too. So
+    a place stays if its text has such places around it that follow each other
+    after at most STEP words and spread over SPAN: phrases that many documents
+    share, with nothing else around them, and what no other document has make
+    no bucket.
+    """
+    common = materialize(common_places(docs).withColumn("start", F.shiftright("place", 2)), "common")
+    by = Window.partitionBy("d", "t").orderBy("start")
+    chained = common.withColumn("new", F.coalesce((F.col("start") - F.lag("start").over(by) > STEP).cast("int"), F.lit(0))).withColumn("chain", F.sum("new").over(by))
+    chain = Window.partitionBy("d", "t", "chain")
+    spread = chained.withColumn("spread", F.max("start").over(chain) - F.min("start").over(chain))
+    around = F.when(F.col("place").bitwiseAND(2) == 0, F.col("around")).alias("around")
+    out = materialize(spread.where((F.col("spread") >= SPAN) & (F.col("place").bitwiseAND(1) == 1)).select("d", "t", "start", "bucket", around), "possible")
+    drop_table(common)
+    return out
 
 
 class Sorted:
@@ -223,18 +346,19 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         leader = Sorted(np.zeros(0, np.uint64))
         for batch in batches:
-            words, begin, _, _ = word_hashes(*utf8_rows(batch.column(6)))
-            rows = []
-            for i, kind in enumerate(batch.column(3).to_pylist()):
-                own = words[begin[i] : begin[i + 1]]
-                if kind:
-                    rows += [(i, *run) for run in shared_passages(own, leader)]
-                else:
-                    leader = Sorted(own)
-            cols = list(zip(*rows, strict=True)) or [()] * 9
-            take = pa.array(cols[0], pa.int64())
-            found = [*[pa.array(c, pa.int32()) for c in cols[1:7]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[7:]]]
-            yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in (4, 5, 0, 1)], *found], [*PAIR, *RUN, "before", "after"])
+            kinds = batch.column(3).to_pylist()
+            for row0, words, begin in hashed(batch.column(6)):
+                rows = []
+                for i in range(len(begin) - 1):
+                    own = words[begin[i] : begin[i + 1]]
+                    if kinds[row0 + i]:
+                        rows += [(row0 + i, *run) for run in shared_passages(own, leader)]
+                    else:
+                        leader = Sorted(own)
+                cols = list(zip(*rows, strict=True)) or [()] * 9
+                take = pa.array(cols[0], pa.int64())
+                found = [*[pa.array(c, pa.int32()) for c in cols[1:7]], *[pa.array(c, pa.list_(pa.int64())) for c in cols[7:]]]
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(take) for k in (4, 5, 0, 1)], *found], [*PAIR, *RUN, "before", "after"])
 
     return streamed.mapInArrow(verify, "d long, t long, ld long, lt long, s int, e int, ls int, le int, p int, lp int, before array<long>, after array<long>")
 
@@ -249,7 +373,7 @@ def _after_least(bands: DataFrame) -> DataFrame:
     return bands.withColumn("l", least).withColumn("second", second).where((F.col("d") != F.col("l.d")) | (F.col("t") != F.col("l.t"))).select("bucket", "d", "t", "start", "around", F.col("l.d").alias("ld"), F.col("l.t").alias("lt"), meets.alias("meets"))
 
 
-def window_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def window_keys(words: np.ndarray, at: list[int], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, key) of all windows of PASSAGE words that hold a shingle at one of the places."""
     h = _rolling(words, PASSAGE)
     holds = np.zeros(len(h), bool)
@@ -259,33 +383,37 @@ def window_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarra
     return start, h[start]
 
 
-def pair_keys(words: np.ndarray, at: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, key) of each place with every MinHash of a paragraph NEAR to FAR words before or after it; a key is both shingles in order."""
+def pair_keys(words: np.ndarray, at: list[int], shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, key) of each place with every shared MinHash of a paragraph NEAR to FAR words before or after it; a key is both shingles in order."""
     h = _rolling(words, KEY)
     least = paragraph_minima(h)
-    places, keys = [], []
+    least = least[np.isin(h[least], shared)]
+    places, keys, by = [], [], np.uint64(P_WORD)
     for q in at:
         before, after = (least[np.searchsorted(least, lo) : np.searchsorted(least, hi, "right")] for lo, hi in ((q - FAR, q - NEAR), (q + NEAR, q + FAR)))
-        places.append(np.full(len(before) + len(after), q))
-        keys += [h[before] * np.uint64(P_WORD) + h[q], h[q] * np.uint64(P_WORD) + h[after]]
+        key = np.unique(np.concatenate([h[before] * by + h[q], h[q : q + 1] * by + h[after]]))
+        places.append(np.full(len(key), q))
+        keys.append(key)
     return np.concatenate(places), mix64(np.concatenate(keys))
 
 
-def _rebucketed(places: DataFrame, texts: DataFrame, keys) -> DataFrame:
-    """d, t, start, bucket and around: the keys that each text has for its places; around is 0, so that all of them meet."""
+def _rebucketed(places: DataFrame, texts: DataFrame, possible: DataFrame, keys) -> DataFrame:
+    """d, t, start, bucket and around: the keys that each text has for its places; without around, so that all of them meet."""
 
     def rebucket(batches):
         import pyarrow as pa
 
         for batch in batches:
-            words, first, _, _ = word_hashes(*utf8_rows(batch.column(2)))
-            for i, at in enumerate(batch.column(3).to_pylist()):
-                start, key = keys(words[first[i] : first[i + 1]], at)
-                take = pa.array(np.full(len(start), i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(np.zeros(len(start), np.int32))], ["d", "t", "start", "bucket", "around"])
+            at, shared = batch.column(3).to_pylist(), batch.column(4)
+            for row0, words, first in hashed(batch.column(2)):
+                for i in range(len(first) - 1):
+                    start, key = keys(words[first[i] : first[i + 1]], at[row0 + i], np.array(shared[row0 + i].as_py(), np.int64).view(np.uint64))
+                    take = pa.array(np.full(len(start), row0 + i))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(start.astype(np.int32)), pa.array(key.view(np.int64)), pa.nulls(len(start), pa.int32())], ["d", "t", "start", "bucket", "around"])
 
     held = places.groupBy("d", "t").agg(F.sort_array(F.collect_set("start")).alias("at"))
-    return held.join(texts, ["d", "t"]).select("d", "t", "text", "at").mapInArrow(rebucket, "d long, t long, start int, bucket long, around int")
+    shared = possible.join(held.select("d", "t"), ["d", "t"], "left_semi").groupBy("d", "t").agg(F.collect_set("bucket").alias("shared"))
+    return held.join(shared, ["d", "t"]).join(texts, ["d", "t"]).select("d", "t", "text", "at", "shared").mapInArrow(rebucket, "d long, t long, start int, bucket long, around int")
 
 
 def _unsettled(rows: DataFrame, runs: DataFrame) -> DataFrame:
@@ -294,7 +422,7 @@ def _unsettled(rows: DataFrame, runs: DataFrame) -> DataFrame:
     return materialize(rows.join(runs.select(*PAIR, "s", "e"), PAIR, "left").groupBy("bucket", "d", "t", "start", "around").agg(inside.alias("in")).where("not in").drop("in"), "unsettled")
 
 
-def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
+def passage_runs(docs: DataFrame, places: DataFrame) -> DataFrame:
     """Passages of pairs of documents.
 
     Members of a bucket are held against its least document; those whose place
@@ -308,8 +436,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
     passage with none of their leaders goes into buckets by windows of 51
     words, whose members do share a passage with the least one.
     """
-    # the bands are shuffled once and not stored
-    rows = materialize(_after_least(bands), "shared")
+    rows = materialize(_after_least(places), "shared")
     ids = rows.select("d", "t").unionByName(rows.select(F.col("ld").alias("d"), F.col("lt").alias("t"))).distinct()
     texts = materialize(docs.join(ids, ["d", "t"], "left_semi").dropDuplicates(["d", "t"]).withColumn("n_bytes", F.octet_length("text").cast("long")), "passagetexts")
     compared = materialize(rows.where("meets").select(*PAIR).distinct(), "passagepairs")
@@ -337,7 +464,7 @@ def passage_runs(docs: DataFrame, bands: DataFrame) -> DataFrame:
         both = few.join(few.select("bucket", F.col("d").alias("ld"), F.col("t").alias("lt"), F.col("around").alias("other")), "bucket")
         compare(both.where((F.struct("d", "t") > F.struct("ld", "lt")) & _meets(F.col("around"), F.col("other"))).select(*PAIR))
         hot = left.join(sizes.where(F.col("n") > FEW), "bucket").select("d", "t", "start")
-        left = settle(_rebucketed(hot, texts, keys))
+        left = settle(_rebucketed(hot, texts, places, keys))
     return runs
 
 
@@ -383,7 +510,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     copies = known.where(copied).select("d", "t", F.lit(0).alias("s"), F.regexp_count("text", F.lit(WORD)).alias("e"), "kept").where(F.col("e") >= PASSAGE).distinct()
     # only texts that share their doc_id need the hash to be told apart; others go without it through the shuffles
     firsts = known.where(~copied).select("d", F.when(F.col("several"), F.col("t")).otherwise(F.lit(0)).alias("t"), "text")
-    runs = extended(passage_runs(firsts, paragraph_bands(firsts)))
+    runs = extended(passage_runs(firsts, possible_places(firsts)))
     # places are numbered by a hash: numbers are aggregated without sorting
     named = materialize(runs.select("d", "t", "s", "e", "ld", F.xxhash64("d", "t", "p").alias("node"), F.xxhash64("ld", "lt", "lp").alias("other")), "places")
     roots = star_roots(named.select(F.col("node").alias("u"), F.col("other").alias("v")))

@@ -211,6 +211,23 @@ def test_places_that_can_meet(spark):
     assert around == [side([6, 7, 8, 9]) << 16, side([6, 5, 4, 3]) | side([13, 14, 15, 16]) << 16, side([13, 12, 11, 10])]
 
 
+def test_places_that_can_be_in_a_passage(spark):
+    """A phrase in many documents with nothing else in common makes no bucket; a passage's runs of eight words keep its places."""
+    phrase, passage = prose(20, 30000), prose(51, 30001).split()
+    texts = [(i, f"{prose(60, 30100 + i)} {phrase} {prose(60, 30200 + i)}") for i in range(30)]
+    changed = [w if k not in (10, 19, 28, 37) else f"changed{k}" for k, w in enumerate(passage)]
+    texts += [(100 + i, f"{prose(40, 30300 + i)} {' '.join(p)} {prose(40, 30400 + i)}") for i, p in enumerate((passage, changed))]
+    docs = spark.createDataFrame([(i, 0, t) for i, t in texts], "d long, t long, text string")
+    got = {}
+    for r in passages.possible_places(docs).collect():
+        got.setdefault(r.d, set()).add(r.bucket)
+    assert set(got) == {100, 101} and got[100] & got[101]
+    # one place stands for several of a run of one word
+    words = np.r_[np.arange(1, 61), np.full(80, 7), np.arange(200, 260)].astype(np.uint64)
+    _, place, _, _ = passages.text_places(words, np.array([0, len(words)]))
+    assert 2 < sum(int(p) & 2 > 0 for p in place) < 20
+
+
 def test_passages_against_all_windows(spark):
     """Every 51-word window that an earlier document has is in a span; short, repetitive and changed passages too."""
     texts = []
