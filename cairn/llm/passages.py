@@ -197,6 +197,10 @@ def common_places(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     parts = max(1, (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // PART_BYTES)
 
+    def sealed(cols):
+        """The columns as bytes; only places of whole paragraphs outside of stretches need the words around them."""
+        return [c.tobytes() for c in (*cols[:4], cols[4][cols[2] & 3 == 1])]
+
     def dealt(batches):
         import pyarrow as pa
 
@@ -220,14 +224,17 @@ def common_places(docs: DataFrame) -> DataFrame:
                 sent = [c[by] for c in sent]
                 number, at = np.unique(part[by], return_index=True)
                 pieces = [slice(a, b) for a, b in zip(at, np.r_[at[1:], len(by)], strict=True)]
-                alone = [c[sure].tobytes() for c in cols]
+                alone = [c[sure] for c in cols]
                 own = -1 - int(ids[0][row[0]]) % parts
-                yield pa.RecordBatch.from_arrays([pa.array([*number.tolist(), own], pa.int32()), *[pa.array([*[c[p].tobytes() for p in pieces], a], pa.binary()) for c, a in zip(sent, alone, strict=True)]], ["part", *PLACE])
+                yield pa.RecordBatch.from_arrays([pa.array([*number.tolist(), own], pa.int32()), *[pa.array(list(c), pa.binary()) for c in zip(*[sealed([c[p] for c in sent]) for p in pieces], sealed(alone), strict=True)]], ["part", *PLACE])
 
     def meet(table):
         import pyarrow as pa
 
         cols = {c: np.frombuffer(b"".join(table.column(c).to_pylist()), kind) for c, kind in PLACE.items()}
+        around = np.zeros(len(cols["place"]), np.int32)
+        around[cols["place"] & 3 == 1] = cols["around"]
+        cols["around"] = around
         stays = cols["place"] >= 0
         if table.column("part")[0].as_py() >= 0:
             order, begin, twice = _held_twice(cols["bucket"], cols["d"], cols["t"])
