@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cairn.llm.common import materialize, mix64, small_batches, table
-from cairn.llm.vectors import matrix, vector_classes
+from cairn.llm.vectors import vector_classes
 
 #: Numbers in the vectors of a shard: 32 MB, and 65,536 vectors of 64 dimensions.
 SHARD_NUMBERS = 1 << 22
+#: Numbers in a block of distances (16 MB), bytes of a row that holds a piece of a graph, and copies of graphs for each core.
+BLOCK_NUMBERS, PIECE_BYTES, COPIES = 1 << 22, 1 << 14, 8
 
 
 class Hnsw:
@@ -78,10 +81,14 @@ class Hnsw:
     def _layer(cls, x: np.ndarray, m: int, width: int, candidates: int = 64, rows: int = 256) -> np.ndarray:
         n, sq = len(x), np.einsum("ij,ij->i", x, x)
         forward = np.full((n, m), -1, np.int64)
-        for s in range(1, n, rows):
-            e = min(n, s + rows)
-            far = sq[s:e, None] + sq[None, :e] - 2 * (x[s:e] @ x[:e].T)
-            far[np.arange(e)[None, :] >= np.arange(s, e)[:, None]] = np.inf
+        block = max(16, min(rows, BLOCK_NUMBERS // max(1, n)))
+        for s in range(1, n, block):
+            e = min(n, s + block)
+            far = sq[s:e, None] + sq[None, :e]
+            dot = x[s:e] @ x[:e].T
+            dot *= 2
+            far -= dot
+            far[:, s:e][np.triu(np.ones((e - s, e - s), bool))] = np.inf
             k = min(candidates, e)
             near = np.argpartition(far, k - 1, axis=1)[:, :k]
             far = np.take_along_axis(far, near, 1)
@@ -91,9 +98,9 @@ class Hnsw:
         b = forward[a, c]
         u, v = np.concatenate([a, b]), np.concatenate([b, a])
         far = np.empty(len(u), np.float32)
-        for s in range(0, len(u), 1 << 18):
-            d = x[u[s : s + (1 << 18)]] - x[v[s : s + (1 << 18)]]
-            far[s : s + (1 << 18)] = np.einsum("ij,ij->i", d, d)
+        for s in range(0, len(u), 1 << 15):
+            d = x[u[s : s + (1 << 15)]] - x[v[s : s + (1 << 15)]]
+            far[s : s + (1 << 15)] = np.einsum("ij,ij->i", d, d)
         order = np.lexsort((v, far, u))
         u, v, far = u[order], v[order], far[order]
         start = np.searchsorted(u, np.arange(n + 1))
@@ -148,10 +155,43 @@ class Hnsw:
 
 def _lifted(x: np.ndarray, most: float) -> np.ndarray:
     """x with one more component that brings all rows to the squared length `most`."""
-    return np.hstack([x, np.sqrt(np.maximum(0, most - (x * x).sum(axis=1)))[:, None]]).astype(np.float32)
-
-
-GRAPH = "dim int, shard long, n long, entry long, top long, most double, ids string, x binary, links array<binary>"
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    for s in range(0, len(x), 4096):
+        y = x[s : s + 4096]
+        out[s : s + 4096, -1] = np.sqrt(np.maximum(0, most - (y * y).sum(axis=1)))
+    return out
+
+
+GRAPH = "dim int, shard long, total long, at long, body binary"
+
+
+def graph_pieces(g: Hnsw, x: np.ndarray, most: float, ids: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(total, at, body): the bytes of a graph and its vectors, where they stand in all, a piece at a time."""
+    head = np.array([len(x), x.shape[1], g.entry, g.top, *[a.shape[1] for a in g.links]], np.int64)
+    parts = [memoryview(a).cast("B") for a in (np.array([len(head)], np.int64), head, np.array([most]), x.ravel(), np.frombuffer(ids, np.uint8), *[a.ravel() for a in g.links])]
+    total, at = sum(map(len, parts)), 0
+    for part in parts:
+        for s in range(0, len(part), PIECE_BYTES):
+            body = bytes(part[s : s + PIECE_BYTES])
+            yield total, at, body
+            at += len(body)
+
+
+def graph_of(buffer: bytearray) -> tuple[Hnsw, np.ndarray, memoryview]:
+    """The graph, its vectors and their ids, of all the bytes of graph_pieces(); only the vectors at one length are a copy."""
+    heads = int(np.frombuffer(buffer, np.int64, 1)[0])
+    n, dim, entry, top, *widths = np.frombuffer(buffer, np.int64, heads, 8).tolist()
+    at = 8 + 8 * heads
+    most = float(np.frombuffer(buffer, np.float64, 1, at)[0])
+    x = np.frombuffer(buffer, np.float64, n * dim, at + 8).reshape(n, dim)
+    at += 8 + 8 * n * dim
+    ids, links = memoryview(buffer)[at : at + 32 * n], []
+    at += 32 * n
+    for width in widths:
+        links.append(np.frombuffer(buffer, np.int32, n * width, at).reshape(n, width))
+        at += 4 * n * width
+    return Hnsw.stored(_lifted(x, most), links, entry, top), x, ids
 
 
 def dealt_classes(classes: DataFrame, shard_rows: int | None) -> tuple[DataFrame, DataFrame]:
@@ -172,60 +212,79 @@ def dealt_classes(classes: DataFrame, shard_rows: int | None) -> tuple[DataFrame
     return dealt.select("dim", (F.col("first") + F.pmod(F.xxhash64("class_id"), F.col("pieces"))).cast("long").alias("shard"), "class_id", "v"), pieces.groupBy("dim").agg(F.sum("pieces").alias("shards"))
 
 
-def shard_graphs(dealt: DataFrame) -> DataFrame:
-    """A graph for each dimension and shard; every class is in a graph."""
+def rows_of(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of `dim` doubles as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+
 
-    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("class_id")
-        x = matrix(rows["v"])
-        most = float((x * x).sum(axis=1).max())
+def shard_graphs(dealt: DataFrame) -> DataFrame:
+    """A graph for each dimension and shard, in pieces (GRAPH); every class is in a graph."""
+    fields = pa.schema([("dim", pa.int32()), ("shard", pa.int64()), ("total", pa.int64()), ("at", pa.int64()), ("body", pa.binary())])
+
+    def build(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dim, shard = (k.as_py() for k in key)
+        ids, parts = [], []
+        for b in batches:
+            ids += b["class_id"].to_pylist()
+            parts.append(rows_of(b["v"], dim).copy())
+        order = np.argsort(np.array(ids))
+        ids, x = "".join([ids[i] for i in order.tolist()]).encode(), np.concatenate(parts)
+        parts.clear()
+        x = x[order]
+        most = max(float((x[s : s + 4096] ** 2).sum(axis=1).max()) for s in range(0, len(x), 4096))
         g = Hnsw(_lifted(x, most))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "n": [len(x)], "entry": [g.entry], "top": [g.top], "most": [most], "ids": ["".join(rows["class_id"])], "x": [x.tobytes()], "links": [[a.tobytes() for a in g.links]]})
+        for total, at, body in graph_pieces(g, x, most, ids):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((dim, shard, total, at, body), fields, strict=True)], schema=fields)
 
-    return materialize(dealt.groupBy("dim", "shard").applyInPandas(build, GRAPH), "graphs")
+    return materialize(dealt.select("dim", "shard", "class_id", "v").groupBy("dim", "shard").applyInArrow(build, GRAPH), "graphs")
 
 
 def graph_hits(graphs: DataFrame, asked: DataFrame, shards: DataFrame, k: int, ef: int, query_rows: int, blocks_per_task: int) -> DataFrame:
     """q, class_id and score of the k + 1 nearest found in each shard for each row (q, v, dim) of asked.
 
-    Queries travel in blocks. A task of `blocks_per_task` blocks reads its
-    graph once, as the first row of its sorted partition, and the blocks
-    stream past it.
+    Queries travel in blocks. A task of `blocks_per_task` blocks or more reads
+    its graph once, whose pieces are the first rows of its sorted partition,
+    and the blocks stream past it. A graph is copied for no more tasks than
+    give each core `COPIES` of them, so that copies don't grow with queries.
     """
     blocks = max(1, -(-asked.count() // query_rows))
     packed = asked.groupBy("dim", F.pmod(F.xxhash64("q", F.lit(3)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("q", "v")).alias("qs"))
-    splits = -(-blocks // blocks_per_task)
-    shape = "kind int, n long, entry long, top long, most double, ids string, x binary, links array<binary>, qs array<struct<q:string,v:array<double>>>"
-    empty = lambda *names: [F.lit(None).alias(c) for c in names]
-    body = ["n", "entry", "top", "most", "ids", "x", "links"]
-    number = graphs.count()
-    first = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), F.lit(0).alias("kind"), *body, *empty("qs"))
-    then = packed.join(F.broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"), F.pmod("block", F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), *empty(*body), "qs")
+    number, cores = max(1, graphs.where("at = 0").count()), graphs.sparkSession.sparkContext.defaultParallelism
+    splits = max(1, min(-(-blocks // blocks_per_task), -(-COPIES * cores // number)))
+    empty = lambda kind, *names: [F.lit(None).cast(kind).alias(c) for c in names]
+    first = graphs.select("dim", "shard", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("split"), "total", "at", "body", *empty("array<struct<q:string,v:array<double>>>", "qs"))
+    then = packed.join(F.broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards").cast("long") - 1)).alias("shard"), F.pmod("block", F.lit(splits)).cast("int").alias("split"), *empty("long", "total", "at"), *empty("binary", "body"), "qs")
     at = ["dim", "shard", "split"]
-    dealt = first.unionByName(then).repartition(max(graphs.sparkSession.sparkContext.defaultParallelism, number * splits), *at).sortWithinPartitions(*at, "kind")
+    # hashed to more partitions than there are tasks, so that few get two
+    dealt = first.unionByName(then).repartition(max(cores, 4 * number * splits), *at).sortWithinPartitions(*at, F.col("at").asc_nulls_last())
+    fields = pa.schema([("q", pa.string()), ("class_id", pa.string()), ("score", pa.float64())])
 
     def search(batches):
-        place, g, x, ids = None, None, None, ""
+        place, buffer, g, x, ids = None, None, None, None, None
         for rows in batches:
-            for r in rows.itertuples():
-                here = (r.dim, r.shard, r.split)
-                if r.kind == 0:
-                    place, ids = here, r.ids
-                    x = np.frombuffer(r.x, np.float64).reshape(int(r.n), -1)
-                    g = Hnsw.stored(_lifted(x, r.most), [np.frombuffer(a, np.int32).reshape(int(r.n), -1) for a in r.links], int(r.entry), int(r.top))
+            keys = zip(*(rows[c].to_pylist() for c in (*at, "total", "at")), strict=True)
+            for i, (*here, total, offset) in enumerate(keys):
+                if offset is not None:
+                    if offset == 0:
+                        place, g, x, ids = here, None, None, None
+                        buffer = bytearray(total)
+                    body = memoryview(rows["body"][i].as_buffer())
+                    buffer[offset : offset + len(body)] = body
                     continue
                 if here != place:
                     continue  # no vector of this dimension is in the shard
+                if g is None:
+                    g, x, ids = graph_of(buffer)
+                qs = rows["qs"][i].values
                 q_out, c_out, s_out = [], [], []
-                for q in r.qs:
-                    v = np.asarray(q["v"], np.float64)
+                for q, v in zip(qs.field("q").to_pylist(), rows_of(qs.field("v"), here[0]), strict=True):
                     found = g.nearest(np.append(v, 0).astype(np.float32), k + 1, ef)
-                    q_out += [q["q"]] * len(found)
-                    c_out += [ids[32 * i : 32 * i + 32] for i in found]
+                    q_out += [q] * len(found)
+                    c_out += [str(ids[32 * i : 32 * i + 32], "ascii") for i in found]
                     s_out += (x[found] * v).sum(axis=1).tolist()
-                yield pd.DataFrame({"q": q_out, "class_id": c_out, "score": s_out})
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip((q_out, c_out, s_out), fields, strict=True)], schema=fields)
 
-    return materialize(dealt.select(*at, *[c.split()[0] for c in shape.split(", ")]).mapInPandas(search, "q string, class_id string, score double"), "hits")
+    return materialize(dealt.mapInArrow(search, "q string, class_id string, score double"), "hits")
 
 
 def search_inner(vectors: DataFrame, queries, k: int = 20, shard_rows: int | None = None, query_rows: int = 128, blocks_per_task: int = 4, ef: int = 160) -> DataFrame:
@@ -235,8 +294,8 @@ def search_inner(vectors: DataFrame, queries, k: int = 20, shard_rows: int | Non
     class is in the graph of one of the shards, which are dealt by length and
     hash and hold about `shard_rows` classes (32 MB of vectors unless it is
     given).
-    Graphs are built by one task each, stored as flat arrays in the shared
-    folder, and searched by blocks of queries; the shards' results are merged
+    Graphs are built by one task each, stored as pieces of flat arrays in the
+    shared folder, and searched by blocks of queries; the shards' results are merged
     by a top-k aggregate. Scores are computed in double precision from the
     original vectors. A class brings in its k + 1 smallest ids, as no more can
     rank.

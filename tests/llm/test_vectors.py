@@ -1,5 +1,7 @@
 """Embedding operators on large groups, dense topics, ties and repeated rows, against brute force."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -97,3 +99,31 @@ def test_nearest_ties_and_repeated_rows(spark):
     best = [i for i in np.lexsort((np.arange(100), -np.array([np.dot(np.float64(v), np.float64(rows[0][1])) for _, v in rows]))).tolist()]
     for q in (0, 20, 40):
         assert got[q] == [i for i in best if i != q][:20]
+
+
+def test_graphs_travel_in_pieces(spark):
+    """A stored graph has no large row and is the same when put together; building one keeps blocks of distances small."""
+    x = np.random.default_rng(8).standard_normal((700, 16)).astype(np.float32)
+    _, classes = vectors.vector_classes(frame(spark, x))
+    dealt, _ = neighbours.dealt_classes(classes, 5000)
+    v = {r.class_id: r.v for r in classes.collect()}
+    shards: dict = {}
+    for r in neighbours.shard_graphs(dealt).collect():
+        assert len(r.body) <= 1 << 16
+        shards.setdefault(r.shard, bytearray(r.total))[r.at : r.at + len(r.body)] = r.body
+    seen = []
+    for buffer in shards.values():
+        g, y, ids = neighbours.graph_of(buffer)
+        names = [str(ids[32 * i : 32 * i + 32], "ascii") for i in range(len(y))]
+        assert (y == np.array([v[c] for c in names])).all()
+        own = neighbours.Hnsw(neighbours._lifted(y, float((y * y).sum(axis=1).max())))
+        assert (g.entry, g.top) == (own.entry, own.top) and all((a == b).all() for a, b in zip(g.links, own.links, strict=True))
+        seen += names
+    assert sorted(seen) == sorted(v) and max(map(len, shards.values())) > 2 * neighbours.PIECE_BYTES
+
+    big = np.random.default_rng(9).standard_normal((20_000, 65)).astype(np.float32)
+    tracemalloc.start()
+    neighbours.Hnsw(big)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
