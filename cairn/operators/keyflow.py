@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ast
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,10 +13,12 @@ from cairn.functions import keyrules
 from cairn.functions.flow import flow_facts
 from cairn.functions.names import module_of
 from cairn.operators.arguments import binding_faults, bound_arguments
-from cairn.operators.steps import settled, spread
-from cairn.operators.symbols import bindings, resolve_calls, symbol_facts
+from cairn.operators.steps import settled, spread, stored
+from cairn.operators.symbols import bindings, module_facts, resolve_calls
 
 FLOW = "module string, kind string, scope string, node string, place int, name string, value string, detail string"
+#: Facts of both kinds in one table: of symbols, place is the line and value the target.
+BOTH = f"fact string, {FLOW}, path string, end_line int"
 
 
 @dataclass
@@ -25,6 +28,7 @@ class Program:
     flow: DataFrame
     symbols: DataFrame
     calls: DataFrame
+    made: DataFrame | None = None
 
     @property
     def arguments(self) -> DataFrame:
@@ -38,21 +42,34 @@ class Program:
 
 def program(files: DataFrame) -> Program:
     """The facts of all files (path, content); files that can't be parsed have none."""
-    heads = [c.split()[0] for c in FLOW.split(", ")]
+    heads = [c.split() for c in BOTH.split(", ")]
+    fields = pa.schema([(name, {"string": pa.string(), "int": pa.int32()}[kind]) for name, kind in heads])
 
     def run(batches):
         for b in batches:
             out = []
-            for module, source in zip(b["module"], b["content"], strict=True):
+            for path, module, source in zip(*(b[c].to_pylist() for c in ("path", "module", "content")), strict=True):
                 try:
-                    for kind, scope, node, place, name, value, detail in flow_facts(source or ""):
-                        out.append((module, kind, scope, node and f"{module}#{node}", place, name, value and f"{module}#{value}", detail))
+                    tree = ast.parse(source or "")
                 except (SyntaxError, ValueError, RecursionError):
+                    out.append(("symbol", module, "unparsed", "", None, 0, None, None, None, path, 0))
                     continue
-            yield pd.DataFrame(out, columns=heads)
-
-    flow = settled(spread(files.select(module_of(F.col("path")).alias("module"), "content")).mapInPandas(run, FLOW))
-    symbols = settled(symbol_facts(files))
+                try:
+                    for kind, scope, node, place, name, value, detail in flow_facts(tree):
+                        out.append(("flow", module, kind, scope, node, place, name, value, detail, None, None))
+                except (SyntaxError, ValueError, RecursionError):
+                    pass
+                try:
+                    out += [("symbol", module, kind, scope, None, line, name, target, None, path, end) for scope, kind, name, target, line, end in module_facts(tree)]
+                except (SyntaxError, ValueError, RecursionError):
+                    out.append(("symbol", module, "unparsed", "", None, 0, None, None, None, path, 0))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), fields, strict=True)], schema=fields)
+
+    facts = stored(spread(files.select("path", module_of(F.col("path")).alias("module"), "content")).mapInArrow(run, BOTH), "fact", "kind")
+    prefixed = {c: F.concat(F.coalesce("module", F.lit("None")), F.lit("#"), c) for c in ("node", "value")}
+    flow = facts.where("fact = 'flow'").withColumns(prefixed).select(*[c.split()[0] for c in FLOW.split(", ")])
+    symbols = facts.where("fact = 'symbol'").select("path", "module", "scope", "kind", "name", F.col("value").alias("target"), F.col("place").alias("line"), "end_line")
     targets = resolve_calls(symbols).select("module", "scope", F.col("line").alias("place"), "name", "target")
     calls = flow.where("kind = 'call'").join(targets, ["module", "scope", "place", "name"], "left")
     return Program(flow, symbols, settled(calls.select(F.col("node").alias("call"), "module", "scope", F.col("place").alias("line"), "name", F.col("value").alias("receiver"), F.col("detail").alias("method"), "target")))
@@ -92,12 +109,41 @@ def call_edges(p: Program) -> DataFrame:
     """source and target: arguments to parameters, and returned values to calls, of the program's own functions."""
     own = p.flow.where("kind = 'parameter'").select(F.concat_ws(".", "module", "scope").alias("function"), F.col("name").alias("parameter"), parameter_node().alias("target"))
     calls = p.calls.where("target is not null").select("call", F.col("target").alias("function"))
-    given = bound_arguments(calls, p.arguments, p.parameters).where("value is not null")
+    called = settled(calls.join(own.select("function").distinct(), "function", "left_semi").select("call", "function"))
+    given = bound_arguments(called, arguments_of(p, called), p.parameters).where("value is not null")
     down = given.join(own, ["function", "parameter"]).select(F.col("value").alias("source"), "target")
     up = p.flow.where("kind = 'return'").select(F.concat_ws(".", "module", "scope").alias("function"), F.col("value").alias("source")).join(calls, "function")
     return down.unionByName(up.select("source", F.col("call").alias("target")))
 
 
+def arguments_of(p: Program, calls: DataFrame) -> DataFrame:
+    return settled(p.arguments.join(calls.select("call").distinct(), "call", "left_semi"))
+
+
+def contracted(edges: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges between other nodes; node and root of all nodes that have what their root has).
+
+    What a single edge without a rule leads to, and nothing else makes a key,
+    has the types of where the edge comes from. Chains of such nodes are
+    followed by doubling; what goes round in a circle of them has no types,
+    and no root.
+    """
+    edges = settled(edges.distinct())
+    into = edges.groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.max("source").alias("root"), F.max("rule").alias("rule"))
+    up = settled(into.where("n = 1 and rule is null and root != target").select(F.col("target").alias("node"), "root").join(sources.select("node"), "node", "left_anti"))
+    left = None
+    while True:
+        up = settled(up.join(up.select(F.col("node").alias("root"), F.col("root").alias("next")), "root", "left").select("node", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("open")))
+        before, left = left, up.where("open").count()
+        if left in (0, before):
+            break
+        up = up.drop("open")
+    up = up.where("not open").select("node", "root")
+    own = edges.join(into.where("n = 1 and rule is null and root != target").select("target").join(sources.select(F.col("node").alias("target")), "target", "left_anti"), "target", "left_anti")
+    moved = own.join(up.withColumnRenamed("node", "source"), "source", "left").select(F.coalesce("root", "source").alias("source"), "target", "rule")
+    return moved, up
+
+
 def propagate(sources: DataFrame, edges: DataFrame, rules: DataFrame | None = None) -> DataFrame:
     """node, key_type and origin of all nodes that types reach.
 
@@ -111,7 +157,7 @@ def propagate(sources: DataFrame, edges: DataFrame, rules: DataFrame | None = No
     plain = settled(edges.where("rule is null").select(F.col("source").alias("node"), "target").distinct())
     ruled = settled(edges.where("rule is not null").join(F.broadcast(rules), "rule").select(F.col("source").alias("node"), "head", "target", "after").distinct()) if rules is not None else None
     rounds = 0
-    while delta.limit(1).count():
+    while not delta.isEmpty():
         new = delta.join(plain, "node").select(F.col("target").alias("node"), "key_type", "origin")
         if ruled is not None:
             new = new.unionByName(delta.withColumn("head", head(F.col("key_type"))).join(ruled, ["node", "head"]).select(F.col("target").alias("node"), F.col("after").alias("key_type"), "origin"))
@@ -129,12 +175,22 @@ def head(key_type):
 
 def made_keys(p: Program) -> DataFrame:
     """call, target and key_type of calls that make keys, and reason where their arguments or curve don't allow it."""
+    if p.made is None:
+        p.made = settled(_made_keys(p))
+    return p.made
+
+
+def _made_keys(p: Program) -> DataFrame:
     spark = p.flow.sparkSession
     rules = F.broadcast(keyrules.constructors(spark))  # some twenty rows
-    calls = p.calls.join(rules, "target").select("call", "module", "scope", "line", "target", "operation", "algorithm", "key_type")
+    calls = settled(p.calls.join(rules, "target").select("call", "module", "scope", "line", "target", "operation", "algorithm", "key_type"))
     asked = calls.select("call", F.col("target").alias("function"))
-    faults = binding_faults(asked, p.arguments, keyrules.rule_parameters(spark)).select("call", "reason")
-    curve = bound_arguments(asked.where("function = 'ecdsa.SigningKey.generate'"), p.arguments, keyrules.rule_parameters(spark)).where("parameter = 'curve' and origin != 'default'").select("call", F.col("value").alias("node"))
+    arguments = arguments_of(p, calls)
+    faults = binding_faults(asked, arguments, keyrules.rule_parameters(spark)).select("call", "reason")
+    if asked.where("function = 'ecdsa.SigningKey.generate'").isEmpty():
+        return calls.join(faults, "call")  # no call has a curve to be looked up
+    curve = bound_arguments(asked.where("function = 'ecdsa.SigningKey.generate'"), arguments, keyrules.rule_parameters(spark)).where("parameter = 'curve' and origin != 'default'").select("call", F.col("value").alias("node"))
+    curve = settled(curve)
     refs = p.flow.where("kind in ('reference', 'use')").join(curve, "node").select("call", "module", "scope", F.col("place").alias("line"), "name")
     path = F.lit(None).cast("string").alias("path")
     as_calls = refs.select(path, "module", "scope", F.lit("call").alias("kind"), "name", F.lit(None).cast("string").alias("target"), "line", F.col("line").alias("end_line"))
@@ -150,11 +206,14 @@ def rule_edges(p: Program, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Edges that change a key's type, and their rules: public keys of private ones, and signers made from keys."""
     spark = p.flow.sparkSession
     derived = keyrules.derivations(spark)
-    no_arguments = p.calls.where("receiver is not null").join(p.arguments.select("call").distinct(), "call", "left_anti")
-    public = no_arguments.join(F.broadcast(derived.select("method").distinct()), "method").select(F.col("receiver").alias("source"), F.col("call").alias("target"), F.col("method").alias("rule"))
+    deriving = p.calls.where("receiver is not null").join(F.broadcast(derived.select("method").distinct()), "method")
+    public = deriving.join(p.arguments.select("call"), "call", "left_anti").select(F.col("receiver").alias("source"), F.col("call").alias("target"), F.col("method").alias("rule"))
+    rules = derived.select(F.col("method").alias("rule"), F.col("family").alias("head"), F.concat("family", F.lit(":public")).alias("after"))
     table = F.broadcast(keyrules.signers(spark))
-    calls = p.calls.join(table, "target").select("call", F.col("target").alias("function"), "scheme", F.col("parameter").alias("key_parameter"), "modes")
-    bound = settled(bound_arguments(calls.select("call", "function"), p.arguments, keyrules.rule_parameters(spark)).where("reason is null").join(calls, ["call", "function"]))
+    calls = settled(p.calls.join(table, "target").select("call", F.col("target").alias("function"), "scheme", F.col("parameter").alias("key_parameter"), "modes"))
+    if calls.isEmpty():
+        return public, rules
+    bound = settled(bound_arguments(calls.select("call", "function"), arguments_of(p, calls), keyrules.rule_parameters(spark)).where("reason is null").join(calls, ["call", "function"]))
     constants = p.flow.where("kind = 'constant' and name = 'str'").select("node", F.col("value").alias("key_type"), F.lit("").alias("origin"))
     constants = constants.withColumn("key_type", F.split_part("key_type", F.lit("#"), F.lit(-1)))
     modes = bound.where("parameter = 'mode'").select("call", "modes", F.col("value").alias("node"))
@@ -163,18 +222,33 @@ def rule_edges(p: Program, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = modes.join(known, "node").where(F.array_contains("modes", F.col("key_type"))).select("call").distinct()
     keys = bound.where("parameter = key_parameter").join(modes.select("call").distinct().join(fits, "call", "left_anti"), "call", "left_anti")
     signers = keys.select(F.col("value").alias("source"), F.col("call").alias("target"), F.concat(F.lit("signer:"), "scheme").alias("rule"))
-    rules = derived.select(F.col("method").alias("rule"), F.col("family").alias("head"), F.concat("family", F.lit(":public")).alias("after"))
     each = keyrules.signers(spark).select("scheme", F.explode("families").alias("family"))
     rules = rules.unionByName(each.select(F.concat(F.lit("signer:"), "scheme").alias("rule"), F.concat(F.lit("pycrypto:"), "family").alias("head"), F.concat(F.lit("signer:"), "scheme", F.lit(":"), "family").alias("after")))
     return public.unionByName(signers), rules
 
 
-def key_types(p: Program) -> DataFrame:
-    """node, key_type and origin (the call that made the key) of every expression and parameter that a key reaches."""
+def reached(p: Program) -> tuple[DataFrame, DataFrame]:
+    """(node, key_type and origin of nodes that decide for themselves; node and root of those that have what their root has)."""
     made = made_keys(p).where("reason is null and key_type is not null")
+    sources = made.select(F.col("call").alias("node"), "key_type", F.col("call").alias("origin"))
     edges = settled(name_edges(p).unionByName(call_edges(p)).withColumn("rule", F.lit(None).cast("string")))
     changing, rules = rule_edges(p, edges)
-    return propagate(made.select(F.col("call").alias("node"), "key_type", F.col("call").alias("origin")), edges.unionByName(changing), rules)
+    between, up = contracted(edges.unionByName(changing), sources)
+    return settled(propagate(sources, settled(between), rules)), up
+
+
+def spelled_out(known: DataFrame, up: DataFrame) -> DataFrame:
+    return known.unionByName(known.withColumnRenamed("node", "root").join(up, "root").select("node", "key_type", "origin"))
+
+
+def key_types(p: Program) -> DataFrame:
+    """node, key_type and origin (the call that made the key) of every expression and parameter that a key reaches.
+
+    Types are followed between nodes that several edges lead to; the others are
+    spelled out by the plan that is returned, so that a condition on nodes
+    leaves the rest unmade.
+    """
+    return spelled_out(*reached(p))
 
 
 def operations(p: Program, types: DataFrame | None = None) -> DataFrame:

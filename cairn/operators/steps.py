@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,10 +32,8 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(TASKS * rows.sparkSession.sparkContext.defaultParallelism, F.monotonically_increasing_id())
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df as a checkpoint below spark.checkpoint.dir: later steps read it instead of computing it again, also after an executor is lost."""
-    spark = df.sparkSession
-    measured_joins(spark)
+def kept_in(spark: SparkSession) -> str:
+    """The folder below spark.checkpoint.dir for steps, which Spark's checkpoints use too."""
     app = spark.sparkContext.applicationId
     if app not in _ready:
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,4 +43,20 @@ def settled(df: DataFrame) -> DataFrame:
             base = tempfile.mkdtemp(prefix="cairn-steps-")
         spark.sparkContext.setCheckpointDir(f"{base.rstrip('/')}/steps")
         _ready.add(app)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df as a checkpoint below spark.checkpoint.dir: later steps read it instead of computing it again, also after an executor is lost."""
+    measured_joins(df.sparkSession)
+    kept_in(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, *by: str) -> DataFrame:
+    """df as Parquet below spark.checkpoint.dir, in parts by the columns `by`: a later step reads only the parts and columns that it needs."""
+    spark = df.sparkSession
+    measured_joins(spark)
+    path = f"{kept_in(spark)}/table-{uuid.uuid4().hex}"
+    df.write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,20 +10,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.functions.names import is_package, module_of
-from cairn.functions.syntax import dotted, parameters
+from cairn.functions.syntax import children, dotted, parameters
 from cairn.operators.steps import measured_joins, spread
 
 FACTS = "path string, module string, scope string, kind string, name string, target string, line int, end_line int"
 
 
-def module_facts(source: str) -> Iterator[tuple[str, str, str, str | None, int, int]]:
-    """(scope, kind, name, target, line, end line) of what a module defines, imports, writes and calls.
+def module_facts(source: str | ast.Module) -> Iterator[tuple[str, str, str, str | None, int, int]]:
+    """(scope, kind, name, target, line, end line) of what a module, given as its text or parsed, defines, imports, writes and calls.
 
     Kinds are function, class, parameter, import, write and call. A scope is
     the dotted path of functions and classes around; calls in class bodies,
     lambdas and comprehensions aren't given, as no caller runs them as such.
     """
-    todo: list[tuple[ast.AST, str, bool]] = [(n, "", True) for n in ast.parse(source).body]
+    tree = source if isinstance(source, ast.Module) else ast.parse(source)
+    todo: list[tuple[ast.AST, str, bool]] = [(n, "", True) for n in tree.body]
     while todo:
         node, scope, runs = todo.pop()
         inner, inner_runs = scope, runs
@@ -50,7 +51,7 @@ def module_facts(source: str) -> Iterator[tuple[str, str, str, str | None, int,
                 yield scope, "write", node.id, None, node.lineno, node.lineno
             case ast.Call() if runs and dotted(node.func):
                 yield scope, "call", dotted(node.func), None, node.lineno, node.end_lineno
-        todo += [(c, inner, inner_runs) for c in ast.iter_child_nodes(node)]
+        todo += [(c, inner, inner_runs) for c in children(node)]
 
 
 def symbol_facts(files: DataFrame) -> DataFrame:

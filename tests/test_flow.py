@@ -184,3 +184,23 @@ def test_paths_of_a_cyclic_call_graph(spark, seed, depth, limit):
         got[r.sink].append((tuple(r.path), r.reason))
     for s in sinks:
         assert sorted(got[s], key=str) == sorted(brute_paths(calls, s, depth, limit), key=str)
+
+
+def test_nodes_with_one_edge_into_them_have_what_their_root_has(spark):
+    """Types spelled out from roots are those of all nodes, with chains, circles, loops and keys made inside a chain; chains need no rounds of their own."""
+    rng = random.Random(5)
+    edges = [(f"c{i}", f"c{i + 1}", None) for i in range(200)] + [("x0", "x1", None), ("x1", "x2", None), ("x2", "x0", None), ("x2", "tail", None), ("s", "s", None), ("c150", "fork", None), ("c20", "fork", None), ("c30", "pub", "public_key"), ("pub", "after", None)]
+    edges += [(str(rng.randrange(90)), str(rng.randrange(90)), rng.choice([None, None, None, "public_key"])) for _ in range(100)] + [("c200", "0", None), ("c200", "0", None)]
+    sources = [("c0", "RSA:private", "o"), ("c100", "EC:private", "p"), ("1", "EC:private", "p"), ("2", "RSA:private", "q"), ("2", "RSA:private", "r")]
+    want = todo = set(sources)
+    while todo:
+        new = {(t, k if rule is None else k.split(":")[0] + ":public", o) for n, k, o in todo for s, t, rule in edges if s == n}
+        todo = new - want
+        want = want | todo
+    rules = spark.createDataFrame([("public_key", f, f + ":public") for f in ("RSA", "EC")], "rule string, head string, after string")
+    made = spark.createDataFrame(sources, "node string, key_type string, origin string")
+    between, up = keyflow.contracted(spark.createDataFrame(edges, "source string, target string, rule string"), made)
+    assert between.where("source like 'c%' and target like 'c%'").count() == 1  # to c100, where a key is made
+    assert {"x0", "x1", "x2", "tail", "s", "c0", "c100"}.isdisjoint(r.node for r in up.collect())
+    got = keyflow.spelled_out(keyflow.propagate(made, between, rules), up)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
