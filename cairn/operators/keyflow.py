@@ -258,12 +258,18 @@ def operations(p: Program, types: DataFrame | None = None) -> DataFrame:
     parameters that the method needs; a reason says why a call isn't one.
     """
     spark = p.flow.sparkSession
-    types = key_types(p) if types is None else types
+    called = settled(p.calls.where("receiver is not null").join(F.broadcast(keyrules.methods(spark).select("method").distinct()), "method"))
+    if types is None:
+        known, up = reached(p)
+        asked = called.select(F.col("receiver").alias("node")).distinct()
+        types = spelled_out(known, up.join(asked, "node", "left_semi"))
     made = made_keys(p).where("key_type is not null").select("call", "module", "scope", "line", F.col("target").alias("api"), F.col("operation").alias("operation_type"), "algorithm", "key_type", F.col("call").alias("origin"), "reason")
     parts = F.split("key_type", ":")
-    used = p.calls.where("receiver is not null").join(types.withColumnRenamed("node", "receiver"), "receiver")
+    used = called.join(types.withColumnRenamed("node", "receiver"), "receiver")
     used = used.withColumns({"family": parts[0], "role": parts[1]}).join(F.broadcast(keyrules.methods(spark)), ["family", "method"]).where(F.array_contains("roles", F.col("role")) | F.array_contains("roles", F.lit("*")))
-    faults = binding_faults(used.select("call", "function").distinct(), p.arguments, keyrules.method_parameters(spark)).select("call", "function", "reason")
+    used = settled(used)
+    asked = settled(used.select("call", "function").distinct())
+    faults = binding_faults(asked, arguments_of(p, asked), keyrules.method_parameters(spark)).select("call", "function", "reason")
     algorithm = F.when(F.col("family") == "signer", parts[2]).when(F.col("family") == "EC", "ECC").otherwise(F.col("family"))
     used = used.join(faults, ["call", "function"]).select("call", "module", "scope", "line", "function", "operation", algorithm.alias("algorithm"), "key_type", "origin", "reason")
     return made.unionByName(used.withColumnsRenamed({"function": "api", "operation": "operation_type"}))
